@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from factledger.llm import url_filter
+from factledger.llm import mixing, quality_rules, url_filter
 
 
 def queries() -> dict:
     return {
+        "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_url_filter": url_filter.op5_url_filter,
+        "op6_mixing": mixing.op6_mixing,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op4_quality_rules": quality_rules.ORACLE,
         "op5_url_filter": url_filter.ORACLE,
+        "op6_mixing": mixing.ORACLE,
     }
