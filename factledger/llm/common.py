@@ -49,3 +49,17 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """docs with a unique `row_id` (long) in the order of doc_id.
+
+    It is doc_id itself where that is unique and never null. Otherwise rows are sorted by (doc_id, hash of the
+    text), null first, across partitions, and numbered in that order; the numbers are fixed by writing them down.
+    """
+    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        return docs.withColumn("row_id", F.col("doc_id").cast("long"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    spread = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return materialise(spread.withColumn("row_id", F.monotonically_increasing_id()))
