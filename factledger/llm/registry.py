@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.llm import mixing, quality_rules, substring_dedup, suffix_dedup, url_filter
+from factledger.llm import mixing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_mixing": mixing.op6_mixing,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
