@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from factledger.llm import mixing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
+from factledger.llm import mixing, packing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_mixing": mixing.op6_mixing,
