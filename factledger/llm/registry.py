@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.llm import mixing, packing, quality_rules, simhash, substring_dedup, suffix_dedup, url_filter
+from factledger.llm import mixing, packing, quality_rules, simhash, substring_dedup, suffix_dedup, topk, url_filter
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_mixing": mixing.op6_mixing,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
         "op9_simhash": simhash.op9_simhash,
+        "op10_exact_topk": topk.op10_exact_topk,
     }
 
 
@@ -22,4 +23,5 @@ def oracle_sql() -> dict:
         "op4_quality_rules": quality_rules.ORACLE,
         "op5_url_filter": url_filter.ORACLE,
         "op6_mixing": mixing.ORACLE,
+        "op10_exact_topk": topk.ORACLE,
     }
