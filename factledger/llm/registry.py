@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.llm import mixing, packing, quality_rules, simhash, substring_dedup, suffix_dedup, topk, url_filter
+from factledger.llm import mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, topk, url_filter
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_mixing": mixing.op6_mixing,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+        "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_simhash": simhash.op9_simhash,
         "op10_exact_topk": topk.op10_exact_topk,
     }
