@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from factledger.llm import mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, topk, url_filter
+from factledger.llm import html_extract, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, topk, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_html_extract": html_extract.op3_html_extract,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_mixing": mixing.op6_mixing,
