@@ -55,7 +55,7 @@ def remove_repeats(rows: DataFrame) -> DataFrame:
 def cut(docs: DataFrame) -> DataFrame:
     """docs without the words of duplicate spans; other texts stay as they are, and so do all other columns."""
     rows = with_ids(docs)
-    changed = remove_repeats(rows).filter("n_removed > 0").select("row_id", F.decode("kept", F.lit("UTF-8")).alias("cut_text"))
+    changed = remove_repeats(rows).filter("n_removed > 0").select("row_id", F.decode("kept", "UTF-8").alias("cut_text"))
     text = F.when(F.col("cut_text").isNotNull(), F.col("cut_text")).otherwise(F.col("text"))
     return rows.join(changed, "row_id", "left").withColumn("text", text).select(*docs.columns)
 
