@@ -1,11 +1,371 @@
-"""Registered ledger queries and their DuckDB twins."""
+"""Registered ledger queries and their DuckDB twins.
+
+Every query returns flat columns over the ledger that the relational tables make; list columns are joined by commas,
+times are text, ranks and counts are longs, scores are rounded.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factledger import schema as S
+from factledger.functions import exprs as E
+from factledger.operators import lookup, resolve, search, semantic, triples, walk
+from factledger.plans import duck as D
+from factledger.sources import fixtures
+
+SCOPE, EVERY = D.SCOPE, D.EVERY
+
+
+def flat(*columns: str | Column) -> list[Column]:
+    return [F.col(c) if isinstance(c, str) else c for c in columns]
+
+
+def joined(name: str, alias: str | None = None) -> Column:
+    return F.array_join(name, ",").alias(alias or name)
+
+
+def stamp(name: str) -> Column:
+    return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
+
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _seen(spark: SparkSession, sf: str, scope: tuple[str, ...], at: str | None = None, lenient: bool = False) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return triples.closed(triples.current(led.facts, scope, at, lenient), led.nodes, scope).select("iri", "type", "s_iri", "o_iri", joined("layers"), "weight")
+
+
+@query
+def visible_facts_scope(spark: SparkSession, sf: str) -> DataFrame:
+    return _seen(spark, sf, SCOPE)
+
+
+@query
+def visible_facts_global(spark: SparkSession, sf: str) -> DataFrame:
+    return _seen(spark, sf, ())
+
+
+@query
+def state_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    return _seen(spark, sf, EVERY, D.AT)
+
+
+@query
+def state_as_of_lenient(spark: SparkSession, sf: str) -> DataFrame:
+    return _seen(spark, sf, EVERY, D.AT, True)
+
+
+_RANKED = ("rank", "iri", "s_iri", "property_iri", "o_iri", "effective_weight")
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select(*flat(*_RANKED), F.col("spike_rank").cast("long").alias("spike_rank"), F.round("score", 6).alias("score"))
+
+
+@query
+def recall_labels(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return _ranked(search.recall_labels(led.facts, led.nodes, SCOPE, ["Order"]))
+
+
+@query
+def recall_labels_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return _ranked(search.recall_labels(led.facts, led.nodes, EVERY, ["Customer", "Part"], 50, D.AT))
+
+
+@query
+def recall_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    return search.catalog(fixtures.load(spark, sf).nodes, limit=100).select("rank", "iri", "name", "kind")
+
+
+@query
+def recall_iris(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.lookup_nodes(fixtures.load(spark, sf).nodes, SCOPE, D.IRIS).select("position", "iri", "found", "name", "weight", joined("labels"))
+
+
+def _looked(spark: SparkSession, sf: str, limit: int, at: str | None) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return lookup.lookup_facts(led.facts, led.nodes, SCOPE, D.IRIS, limit, at).select("position", "n", "iri", "s_iri", "property_iri", "o_iri", "truncated")
+
+
+@query
+def recall_iris_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return _looked(spark, sf, 20, None)
+
+
+@query
+def recall_iris_truncated(spark: SparkSession, sf: str) -> DataFrame:
+    return _looked(spark, sf, 3, D.AT)
+
+
+def _around(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    found = walk.around(led.facts, led.nodes, SCOPE, limit=100, **D.WALKS[name])
+    cost = [F.col(c).cast("long").alias(c) for c in ("route_cost", "hub_count", "distance")]
+    return found.select("rank", "iri", "s_iri", "o_iri", *cost, joined("path_nodes"), joined("path_edges"))
+
+
+for _name in D.WALKS:
+    QUERIES[_name] = lambda spark, sf, name=_name: _around(spark, sf, name)
+
+
+def _history(df: DataFrame) -> DataFrame:
+    return df.select("rank", "iri", "s_iri", "o_iri", "current", stamp("valid_from"), stamp("valid_to"))
+
+
+@query
+def history_node(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return _history(lookup.history_node(led.facts, led.nodes, led.episodes, EVERY, D.NODE, 100))
+
+
+@query
+def history_fact(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return _history(lookup.history_fact(led.facts, led.nodes, led.episodes, EVERY, D.FACT))
+
+
+def _revision(df: DataFrame) -> DataFrame:
+    return df.select("rank", "iri", stamp("at"), "previous_fact_iri", "replacement_fact_iri", "supersedes_iri")
+
+
+@query
+def revisions_fact(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return _revision(lookup.revisions_fact(led.facts, led.nodes, led.episodes, EVERY, D.FACT))
+
+
+@query
+def revisions_node(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return _revision(lookup.revisions_node(led.facts, led.nodes, led.episodes, EVERY, D.NODE, 100))
+
+
+@query
+def about_context(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    subjects = led.nodes.filter(F.array_contains("labels", "Order")).select("iri")
+    found = search.about_context(led.facts, led.nodes, SCOPE, subjects, 20)
+    return found.select("rank", "iri", F.col("s_iri").alias("node"), F.col("o_iri").alias("about"), "spike", "effective_weight")
+
+
+@query
+def tokens_keyword(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = fixtures.load(spark, sf).nodes
+    return nodes.select("iri", F.array_join(E.keywords(F.col("search_text")), ",").alias("keywords"))
+
+
+@query
+def keyword_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    asked = E.strings(search.query_keywords(D.TEXT))
+    return fixtures.load(spark, sf).facts.select("iri", F.round(E.coverage(asked, E.tokens(F.col("fact_text"))), 6).alias("coverage")).filter("coverage > 0")
+
+
+@query
+def token_postings(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = fixtures.load(spark, sf).nodes
+    return search.token_table(nodes, "iri", "search_text").select("iri", "token", "tf", F.col("length").cast("long").alias("length"))
+
+
+@query
+def recall_text(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return _ranked(search.recall_text(led.facts, led.nodes, SCOPE, D.TEXT))
+
+
+@query
+def recall_text_phrase(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return _ranked(search.recall_text(led.facts, led.nodes, EVERY, D.PHRASE, 50))
+
+
+@query
+def text_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return search.text_candidates(led.facts, led.nodes, D.TEXT).select("iri", F.round("score", 6).alias("score"), F.col("exact").cast("long").alias("exact"), "matched", F.round("evidence", 6).alias("evidence"))
+
+
+@query
+def property_channel(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return search.property_facts(led.facts, led.nodes, "placedBy")
+
+
+def _near(spark: SparkSession, sf: str) -> tuple[fixtures.Ledger, DataFrame]:
+    led = fixtures.load(spark, sf)
+    return led, semantic.nearest(led.activations, fixtures.query_vector(spark, sf))
+
+
+@query
+def activation_knn(spark: SparkSession, sf: str) -> DataFrame:
+    return _near(spark, sf)[1].select("id", F.round("similarity", 6).alias("similarity"), "expires_at_ms")
+
+
+@query
+def ttl_live(spark: SparkSession, sf: str) -> DataFrame:
+    return semantic.live(_near(spark, sf)[1], fixtures.NOW_MS).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def activation_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    led, near = _near(spark, sf)
+    found = semantic.activation_evidence(semantic.live(near, fixtures.NOW_MS), semantic.resolved(led.facts, led.nodes, EVERY))
+    return found.groupBy("iri").agg(F.round(F.max("contribution"), 6).alias("contribution"))
+
+
+@query
+def contributing_activations(spark: SparkSession, sf: str) -> DataFrame:
+    led, near = _near(spark, sf)
+    return semantic.contributing(semantic.live(near, fixtures.NOW_MS), semantic.resolved(led.facts, led.nodes, EVERY))
+
+
+@query
+def convergence_pick(spark: SparkSession, sf: str) -> DataFrame:
+    _, near = _near(spark, sf)
+    refs = E.strings([f"{S.NAMESPACE}:relationship/{x}-{D.LIKE}" for x in ("ob", "os", "missing")])
+    found = semantic.converging(near, refs, semantic.Settings(converge=D.CONVERGE))
+    return found.select("id", F.round("similarity", 6).alias("similarity"), F.round("overlap", 6).alias("overlap"))
+
+
+def _hits(led: fixtures.Ledger) -> DataFrame:
+    return search.recall_text(led.facts, led.nodes, EVERY, D.PHRASE, S.MAX_LIMIT)
+
+
+@query
+def rrf_direct(spark: SparkSession, sf: str) -> DataFrame:
+    return semantic.direct_evidence(_hits(fixtures.load(spark, sf))).select("iri", F.round("contribution", 6).alias("contribution"), "eligible")
+
+
+def _fused(spark: SparkSession, sf: str, limit: int | None) -> tuple[fixtures.Ledger, DataFrame]:
+    led, near = _near(spark, sf)
+    return led, semantic.fuse(_hits(led), semantic.live(near, fixtures.NOW_MS), led.facts, led.nodes, EVERY, limit)
+
+
+@query
+def semantic_fused(spark: SparkSession, sf: str) -> DataFrame:
+    return _fused(spark, sf, 40)[1].select("rank", "iri", F.round("fused", 6).alias("fused"), "is_direct")
+
+
+@query
+def bundle_select(spark: SparkSession, sf: str) -> DataFrame:
+    led, fused = _fused(spark, sf, S.MAX_LIMIT)
+    return semantic.bundle(fused, led.facts)
+
+
+@query
+def structural_context(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    anchors = spark.createDataFrame([(D.FACT, 0.5), (D.ANCHOR, 0.25)], "iri string, anchor_score double")
+    return semantic.structural(anchors, led.facts, led.nodes, EVERY).select("iri", F.round("score", 6).alias("score"))
+
+
+@query
+def merge_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.suggestions(fixtures.load(spark, sf).nodes, EVERY, D.CREATED)
+
+
+@query
+def conflicts_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    return resolve.conflicts(led.facts, led.nodes, SCOPE).select("iri", "other_iri")
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part and the part with the smallest key of the same name."""
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name")
+    first = part.groupBy("p_name").agg(F.min("p_partkey").alias("low"))
+    return part.join(first, "p_name").filter("p_partkey <> low").select(fixtures.iri("part", F.col("p_partkey")).alias("source"), fixtures.iri("part", F.col("low")).alias("target"))
+
+
+def _merged(df: DataFrame) -> DataFrame:
+    return df.select("iri", "s_iri", "property_iri", "o_iri", joined("layers"), "weight", "members")
+
+
+@query
+def duplicate_consolidation(spark: SparkSession, sf: str) -> DataFrame:
+    """As if every order had one customer: facts that then say the same become one."""
+    facts = fixtures.load(spark, sf).facts.withColumns({"s_iri": F.lit("all"), "eff_qualified": F.lit(False), "eff_from": F.lit(None).cast("timestamp_ntz"), "eff_to": F.lit(None).cast("timestamp_ntz")})
+    return _merged(resolve.consolidate(facts))
+
+
+@query
+def unify_facts(spark: SparkSession, sf: str) -> DataFrame:
+    return _merged(resolve.unify(fixtures.load(spark, sf).facts, _parts(spark, sf)))
+
+
+@query
+def unify_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return resolve.unify_nodes(fixtures.load(spark, sf).nodes, _parts(spark, sf)).select("iri", "name", joined("layers"), "weight", "merged")
+
+
+@query
+def unify_property(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = spark.createDataFrame([(f"{S.NAMESPACE}:property/hasStatus", f"{S.NAMESPACE}:property/placedBy")], "source string, target string")
+    return _merged(resolve.unify(fixtures.load(spark, sf).facts, pairs, prop=True))
+
+
+@query
+def closure_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """As if all customers had been placed in one layer."""
+    led = fixtures.load(spark, sf)
+    moved = F.when(F.array_contains("labels", "Customer"), E.place(F.col("layers"), E.strings(SCOPE), E.strings(EVERY))).otherwise(F.col("layers"))
+    return resolve.violations(led.facts, led.nodes.withColumn("layers", moved)).select("iri", joined("layers"), joined("s_layers"), joined("o_layers"))
+
+
+@query
+def withdraw_plan(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    widened = led.facts.withColumn("layers", F.when(F.col("weight") > 2, E.union_append(F.col("layers"), E.strings(EVERY[:1]))).otherwise(F.col("layers")))
+    return resolve.withdraw_plan(widened, SCOPE).select("iri", "retired", joined("new_layers"))
+
+
+@query
+def judge_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """One step up for even suppliers and down for odd ones, from weights near the ends of their range."""
+    rows = fixtures.load(spark, sf).nodes.filter(F.array_contains("labels", "Supplier"))
+    edge = F.when(F.col("weight") > 3, F.lit(S.LONG_MAX)).when(F.col("weight") < -3, F.lit(S.LONG_MIN)).otherwise(F.col("weight"))
+    step = F.when(F.col("weight") % 2 == 0, 1).otherwise(-1)
+    return rows.select("iri", E.sat_add(edge, step).alias("weight"))
+
+
+@query
+def membership_algebra(spark: SparkSession, sf: str) -> DataFrame:
+    facts = fixtures.load(spark, sf).facts
+    asked = E.strings(EVERY[:2])
+    return facts.select(
+        "iri", F.array_join(E.union_dominant(F.col("layers"), asked), ",").alias("merged"), F.array_join(E.union_append(F.col("layers"), asked), ",").alias("appended"),
+        F.array_join(E.take_away(F.col("layers"), SCOPE), ",").alias("rest"), F.array_join(E.place(F.col("layers"), asked, E.strings(SCOPE)), ",").alias("placed"), F.round(E.jaccard(F.col("layers"), asked), 6).alias("alike"),
+    )
+
+
+@query
+def mint_iri_exprs(spark: SparkSession, sf: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name", "p_type")
+    name = F.concat(F.lit(" "), "p_name", F.lit("/"), "p_type", F.lit(" "))
+    made = E.mint_iri(name, "element")
+    return part.select("p_partkey", made.alias("iri"), E.property_iri(F.col("p_type")).alias("property_iri"), E.name_from_iri(made).alias("local"), E.kind_from_iri(made).alias("kind"), E.literal_iri(F.col("p_name"), F.lit("xsd:string")).alias("literal_iri"))
+
+
+@query
+def fact_text_exprs(spark: SparkSession, sf: str) -> DataFrame:
+    return fixtures.load(spark, sf).facts.select("iri", "fact_text")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return D.oracles()

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from factledger import schema as S
 from factledger.functions import exprs as E
+from factledger.sources.store import scratch
 
+_STORED: dict[tuple[str, str], str] = {}
 NOW_MS = 1_700_000_100_000
 
 
@@ -72,6 +74,19 @@ def _days(t: Column, n: Column) -> Column:
 
 
 def load(spark: SparkSession, sf_dir: str) -> Ledger:
+    """The ledger as a stored snapshot: built and written once for a session and folder, then read by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        folder = scratch(spark)
+        for name, df in zip(Ledger._fields, build(spark, sf_dir), strict=True):
+            text = {"nodes": "search_text", "facts": "fact_text"}.get(name)
+            df = df.withColumn("tokens", E.tokens(F.col(text))) if text else df  # the lexical index of a snapshot
+            df.write.parquet(f"{folder}/{name}")
+        _STORED[key] = folder
+    return Ledger(*(spark.read.parquet(f"{_STORED[key]}/{name}") for name in Ledger._fields))
+
+
+def build(spark: SparkSession, sf_dir: str) -> Ledger:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "embeddings")}
     c = F.col
     segment = customer_layers(c("c_mktsegment"), c("c_custkey"))
