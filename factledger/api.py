@@ -144,7 +144,7 @@ class FactLedger:
     def _frame(self, table: str, rows) -> DataFrame:
         schema = TABLES[table][1]
         names = [x.strip().split(" ", 1)[0] for x in schema.split(", ")]
-        return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+        return self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema).coalesce(1)  # at most a batch
 
     def _rows(self, table: str, base: int, column: str, keys) -> dict[str, dict]:
         keys = [k for k in keys if k]

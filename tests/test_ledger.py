@@ -22,7 +22,7 @@ def fact(s, p, o, **more):
 
 
 def values(df):
-    return sorted(r["o_value"] for r in df.collect())
+    return sorted(r["o_value"] for r in df.collect() if r["o_value"])
 
 
 def test_state_as_of(ledger):
