@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factledger.llm import packed
 from factledger.llm.common import materialise, table
 from factledger.llm.quality_rules import let
 from factledger.llm.url_filter import host_of
@@ -282,7 +283,7 @@ def templates(parsed: DataFrame, share: float = SHARE, least: int = PAGES) -> Da
     some = parsed.filter(F.size("paths") > 0).select("host", "paths", F.transform("texts", lambda x: F.xxhash64(x)).alias("said")).withColumn("page", F.xxhash64("said"))
     squeezed = F.filter("paths", lambda x, i: ~x.eqNullSafe(F.get("paths", i - 1)))
     reference = some.groupBy("host").agg(F.min(F.struct("page", squeezed.alias("reference"))).alias("r")).select("host", "r.reference")
-    seen = some.join(reference, "host").select("host", "page", "paths", "said", "reference").mapInArrow(facts, "host string, place string, said long, page long").distinct()
+    seen = some.join(reference, "host").select("host", "page", "paths", "said", "reference").mapInArrow(packed.frugal(facts), "host string, place string, said long, page long").distinct()
     counted = seen.groupBy("host", "place", "said").agg(F.count(F.lit(1)).alias("n"))
     total = counted.filter("place = '' and said = 0").select("host", F.col("n").alias("pages"))
     same = counted.filter("place <> '' or said <> 0").join(total, "host").filter((F.col("n") >= F.lit(least)) & (F.col("n") >= F.col("pages") * F.lit(share)))
@@ -301,7 +302,7 @@ def article() -> Column:
 def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages(page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
-    parsed = materialise(rows.mapInArrow(read_blocks, PARSED))
+    parsed = materialise(rows.mapInArrow(packed.frugal(read_blocks), PARSED))
     known = templates(parsed, share, least)
     text = parsed.join(known, "host", "left").select("page_id", "url", article().alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("long"))

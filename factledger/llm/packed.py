@@ -6,6 +6,8 @@ their number, and a task sees the payloads of a bucket in the order of their kin
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,9 +95,23 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator
             pass
 
 
+def frugal(work: Callable) -> Callable:
+    """`work`, after which the worker gives freed memory back: it stays alive, idle or for the next stage, beside the JVM."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return go
+
+
 def deal(df: DataFrame, parts: int, work: Callable, schema: str) -> DataFrame:
     """`work` on each partition of whole buckets, sorted by bucket and kind."""
-    return df.repartition(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(work, schema)
+    return df.repartition(parts, F.col("bucket")).sortWithinPartitions("bucket", "kind").mapInArrow(frugal(work), schema)
 
 
 def texts(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:

@@ -30,12 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factledger.llm import packed
 from factledger.llm.common import materialise, table
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of the caches of a worker: whole parts, and lower-case words.
-PARTS, CORES = 400_000, 1_000_000
+PARTS, CORES = 100_000, 200_000
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#]*)")
 #: Steps that the plan may take beyond its first completion, and fillings tried around one piece.
 STEPS, FILLINGS = 4000, 4
@@ -142,7 +143,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed.frugal(work), schema)
 
 
 class Pattern(NamedTuple):
@@ -314,7 +315,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool =
 
     assert len(key) <= 64 * (capacity + 1), "the plan is bounded by the capacity"
     schema = ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
-    return number(cut, histogram).mapInArrow(work, schema)
+    return number(cut, histogram).mapInArrow(packed.frugal(work), schema)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

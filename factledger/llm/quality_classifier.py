@@ -142,7 +142,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, n
             for a, b, x in _chunks(batch):
                 yield pa.RecordBatch.from_arrays([batch.column("role").slice(a, b - a), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], names=["role", "x"])
 
-    rows = positive.unionAll(unlabelled).mapInArrow(work, "role int, x binary").collect()
+    rows = positive.unionAll(unlabelled).mapInArrow(packed.frugal(work), "role int, x binary").collect()
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), WIDTH).astype(np.float64)
     role = np.array([r.role for r in rows], int)
     if not role.any() or role.all():
@@ -164,7 +164,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(s)], names=[*keep, "score"])
 
     kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(work, ", ".join(f"`{n}` {kinds[n]}" for n in keep) + ", score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(packed.frugal(work), ", ".join(f"`{n}` {kinds[n]}" for n in keep) + ", score double")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

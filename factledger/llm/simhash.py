@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["row_id", "doc_id", "fp"])
 
     slim = docs.select(F.col("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(work, "row_id long, doc_id long, fp long")
+    return slim.mapInArrow(packed.frugal(work), "row_id long, doc_id long, fp long")
 
 
 def masks(bits: int, most: int) -> np.ndarray:
@@ -155,7 +155,7 @@ def links(distinct: DataFrame, count: int, radius: int = RADIUS) -> DataFrame:
             for u, v in stars(fp, bucket, leading, half):
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    return packed.deal(distinct.select("fp").mapInArrow(emit(leading, half), packed.SCHEMA), parts, work, "u long, v long")
+    return packed.deal(distinct.select("fp").mapInArrow(packed.frugal(emit(leading, half)), packed.SCHEMA), parts, work, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -198,7 +198,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
         good = good.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     n, dim = good.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
     shards = max(1, math.ceil(n / SHARD), min(partitions(spark), n // 4096))
-    sent = good.mapInArrow(send(dim, shards, scale), packed.SCHEMA)
+    sent = good.mapInArrow(packed.frugal(send(dim, shards, scale)), packed.SCHEMA)
     first = materialise(packed.deal(sent, shards, look(dim, k, every, True), FOUND))
     mine = first.filter("vector is not null").select("query_id", "home", "vector")
     ranked = F.sort_array(F.collect_list(F.struct("score", (-F.col("vec_id")).alias("low"))), asc=False)
@@ -206,7 +206,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, scale: int = SCALE
     kth = best.select("query_id", F.col("at.score").cast("double").alias("kth"), (-F.col("at.low")).alias("kth_id"))
     asked = mine.join(kth, "query_id", "left").select("query_id", "home", "vector", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"), F.coalesce("kth_id", F.lit(0)).alias("kth_id"))
     if shards > 1:
-        blocks = asked.mapInArrow(send_queries(shards), packed.SCHEMA)
+        blocks = asked.mapInArrow(packed.frugal(send_queries(shards)), packed.SCHEMA)
         more = packed.deal(sent.unionAll(blocks), shards, look(dim, k, every, False), FOUND)
         first = first.unionAll(more)
     found = first.filter("vec_id is not null").select("query_id", "vec_id", "score")

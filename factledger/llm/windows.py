@@ -413,11 +413,11 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable, schema: str) -> DataF
     buckets = int(min(MOST_BUCKETS, max(at_least, total // BUCKET_BYTES, 1)))
     slim = docs.select("id", "text")
     some = slim.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n))) < SAMPLE)
-    cut = quantiles(unsigned(some.mapInArrow(sample_runs(kind), "a long, b long, c long, d long").collect(), 2), buckets)
-    sent = slim.mapInArrow(send_runs(kind, cut), packed.SCHEMA)
+    cut = quantiles(unsigned(some.mapInArrow(packed.frugal(sample_runs(kind)), "a long, b long, c long, d long").collect(), 2), buckets)
+    sent = slim.mapInArrow(packed.frugal(send_runs(kind, cut)), packed.SCHEMA)
     spans = materialise(packed.deal(sent, buckets, compare_runs(kind, buckets), packed.SCHEMA))
     probes = spans.filter("kind = 1")
-    with_texts = lambda rows: probes.unionAll(rows.mapInArrow(send_texts(buckets), packed.SCHEMA))
+    with_texts = lambda rows: probes.unionAll(rows.mapInArrow(packed.frugal(send_texts(buckets)), packed.SCHEMA))
     cut2 = quantiles(unsigned(packed.deal(with_texts(some), buckets, probed(kind, sample_windows), "a long, b long, c long, d long, e long").collect(), 3), buckets)
     singles = packed.deal(with_texts(slim), buckets, probed(kind, send_windows(cut2)), packed.SCHEMA)
     windows = materialise(packed.deal(singles, buckets, compare_windows(kind, buckets), packed.SCHEMA))
@@ -443,7 +443,7 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable, schema: str) -> DataF
                 for a, b in packed.chunks(offsets, CHUNK):
                     yield finish(batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], places.of(ids[a:b]))
 
-    whole = docs.mapInArrow(send_texts(buckets), packed.SCHEMA)
+    whole = docs.mapInArrow(packed.frugal(send_texts(buckets)), packed.SCHEMA)
     return packed.deal(found.unionAll(whole), buckets, work, schema)
 
 
