@@ -282,7 +282,8 @@ def templates(parsed: DataFrame, share: float = SHARE, least: int = PAGES) -> Da
     """host, template: hashes of the texts that stay the same in one place over most different pages of the host."""
     some = parsed.filter(F.size("paths") > 0).select("host", "paths", F.transform("texts", lambda x: F.xxhash64(x)).alias("said")).withColumn("page", F.xxhash64("said"))
     squeezed = F.filter("paths", lambda x, i: ~x.eqNullSafe(F.get("paths", i - 1)))
-    reference = some.groupBy("host").agg(F.min(F.struct("page", squeezed.alias("reference"))).alias("r")).select("host", "r.reference")
+    # Stored, so that the joins by host stand on their own and a hot host can be split there.
+    reference = materialise(some.groupBy("host").agg(F.min(F.struct("page", squeezed.alias("reference"))).alias("r")).select("host", "r.reference"))
     seen = some.join(reference, "host").select("host", "page", "paths", "said", "reference").mapInArrow(packed.frugal(facts), "host string, place string, said long, page long").distinct()
     counted = seen.groupBy("host", "place", "said").agg(F.count(F.lit(1)).alias("n"))
     total = counted.filter("place = '' and said = 0").select("host", F.col("n").alias("pages"))
@@ -303,7 +304,7 @@ def extract(pages: DataFrame, share: float = SHARE, least: int = PAGES) -> DataF
     """page_id, url, text, n_chars of every row of pages(page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(F.col("url")).alias("host"), "html")
     parsed = materialise(rows.mapInArrow(packed.frugal(read_blocks), PARSED))
-    known = templates(parsed, share, least)
+    known = materialise(templates(parsed, share, least))
     text = parsed.join(known, "host", "left").select("page_id", "url", article().alias("text"))
     return text.withColumn("n_chars", F.length("text").cast("long"))
 
