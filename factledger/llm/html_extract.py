@@ -186,10 +186,10 @@ def blocks(root: Node) -> list[Block]:
 class Slot:
     """A tree of block paths; runs of like siblings are one repeated node."""
 
-    __slots__ = ("tag", "children", "texts")
+    __slots__ = ("tag", "children", "texts", "shape", "size")
 
     def __init__(self, tag: str) -> None:
-        self.tag = tag
+        self.tag, self.shape, self.size = tag, 0, 1
         self.children: list[Slot] = []
         self.texts: list[int] = []  # numbers of the paths that end right here
 
@@ -206,30 +206,68 @@ def skeleton(paths: tuple[str, ...]) -> Slot:
     return root
 
 
-def match(a: Slot, b: Slot, memo: dict) -> tuple[int, list]:
-    """Simple tree matching: the most nodes two trees with like roots share, order and ancestry kept; and the pairs of children."""
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key]
-    if a.tag != b.tag:
-        memo[key] = (0, [])
-        return memo[key]
-    n, m = len(a.children), len(b.children)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + match(a.children[i - 1], b.children[j - 1], memo)[0])
-    pairs, i, j = [], n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
+def shape(root: Slot, known: dict) -> None:
+    """Gives every node the number of its shape and its size: equal numbers, equal subtrees."""
+    todo = [(root, False)]
+    while todo:
+        node, ready = todo.pop()
+        if ready:
+            node.shape = known.setdefault((node.tag, *(c.shape for c in node.children)), len(known))
+            node.size = 1 + sum(c.size for c in node.children)
         else:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-    memo[key] = (1 + best[n][m], pairs[::-1])
-    return memo[key]
+            todo.append((node, True))
+            todo += [(c, False) for c in node.children]
+
+
+def equal_ends(a: Slot, b: Slot) -> tuple[int, int]:
+    """How many first and how many last children are alike: matching those to each other is never worse than any other way."""
+    n, m = len(a.children), len(b.children)
+    most = min(n, m)
+    first = next((i for i in range(most) if a.children[i].shape != b.children[i].shape), most)
+    last = next((i for i in range(most - first) if a.children[n - 1 - i].shape != b.children[m - 1 - i].shape), most - first)
+    return first, last
+
+
+def match(a: Slot, b: Slot, memo: dict) -> tuple[int, list]:
+    """Simple tree matching: the most nodes two trees with like roots share, order and ancestry kept; and the pairs of children.
+
+    Pairs of subtrees wait on a list for those below them, so a tree may be of any depth.
+    """
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        key = (id(x), id(y))
+        if key in memo:
+            todo.pop()
+            continue
+        if x.tag != y.tag:
+            memo[key] = (0, [])
+            continue
+        n, m = len(x.children), len(y.children)
+        first, last = equal_ends(x, y)
+        left, right = x.children[first : n - last], y.children[first : m - last]
+        below = [(p, q) for p in left for q in right if p.tag == q.tag and (id(p), id(q)) not in memo]
+        if below:
+            todo += below
+            continue
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, p in enumerate(left, 1):
+            for j, q in enumerate(right, 1):
+                own = memo[id(p), id(q)][0] if p.tag == q.tag else 0
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + own)
+        pairs, i, j = [], len(left), len(right)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                pairs.append((first + i - 1, first + j - 1))
+                i, j = i - 1, j - 1
+        ends = [*range(first), *range(n - last, n)]
+        pairs = [*((i, i) for i in range(first)), *pairs[::-1], *((n - last + i, m - last + i) for i in range(last))]
+        memo[key] = (1 + best[len(left)][len(right)] + sum(x.children[i].size for i in ends), pairs)
+    return memo[id(a), id(b)]
 
 
 @lru_cache(4096)
@@ -237,7 +275,10 @@ def aligned(page: tuple[str, ...], reference: tuple[str, ...]) -> tuple[str | No
     """The place in the reference's tree of each path of a page, None where it matches none."""
     memo: dict = {}
     out: list[str | None] = [None] * len(page)
-    todo = [(skeleton(page), skeleton(reference), "")]
+    own, other, shapes = skeleton(page), skeleton(reference), {}
+    shape(own, shapes)
+    shape(other, shapes)
+    todo = [(own, other, "")]
     while todo:
         a, b, place = todo.pop()
         for n in a.texts:

@@ -249,6 +249,40 @@ def test_html(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def most_shared(a, b):
+    """Size of the largest match of two trees, straight from its definition."""
+    if a.tag != b.tag:
+        return 0
+
+    def align(x, y):
+        if not x or not y:
+            return 0
+        return max(align(x[1:], y), align(x, y[1:]), most_shared(x[0], y[0]) + align(x[1:], y[1:]))
+
+    return 1 + align(tuple(a.children), tuple(b.children))
+
+
+def test_tree_matching_against_its_definition():
+    rng = random.Random(11)
+    for _ in range(300):
+        trees = [html_extract.skeleton(tuple("/".join(rng.choice(["div", "p", "ul"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 6)))) for _ in range(2)]
+        shapes = {}
+        for t in trees:
+            html_extract.shape(t, shapes)
+        size, pairs = html_extract.match(*trees, {})
+        assert size == most_shared(*trees)
+        assert all(i < k and j < n for (i, j), (k, n) in zip(pairs, pairs[1:], strict=False))
+
+
+def test_very_deep_and_very_wide_pages(spark):
+    deep = "<div>" * 5000 + "bottom" + "</div>" * 5000
+    wide = "".join(f"<h2>h{i}</h2><p>p{i}</p>" for i in range(3000))
+    df = spark.createDataFrame([(1, "http://d.org/1", deep), (2, "http://w.org/1", wide), (3, "http://w.org/2", wide + "<p>more</p>")], "page_id long, url string, html string")
+    got = by_id(html_extract.extract(df), "page_id")
+    lines = [x for i in range(3000) for x in (f"h{i}", f"p{i}")]
+    assert got[1].text == "bottom" and got[2].text == "\n".join(lines) and got[3].text == "\n".join([*lines, "more"])
+
+
 def test_hashes_of_nothing(docs):
     empty = hashlib.sha256(b"").hexdigest()
     assert empty.startswith("e3b0c442")
