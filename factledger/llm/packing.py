@@ -35,7 +35,7 @@ from factledger.llm.common import materialise, table
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of the caches of a worker: whole parts, and lower-case words.
+#: Entries of the younger and of the older half of a worker's caches, each: whole parts, and lower-case words.
 PARTS, CORES = 100_000, 200_000
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#]*)")
 #: Steps that the plan may take beyond its first completion, and fillings tried around one piece.
@@ -62,6 +62,8 @@ class Encoder:
         self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.parts: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        self.old_cores: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -80,22 +82,41 @@ class Encoder:
                     self.cores[w] = self.whole(w)
 
     def learn(self, parts: set[str]) -> None:
-        new = [x for x in parts if x not in self.parts]
-        if len(self.parts) + len(new) > PARTS:
-            self.parts.clear()
-            new = list(parts)
+        """A full half of a cache becomes the older one; what is still used there moves on, the rest goes with it."""
+        if len(self.parts) > PARTS:
+            self.parts, self.old_parts = {}, self.parts
         if len(self.cores) > CORES:
-            self.cores.clear()
-        split = [(x, _SIMPLE.fullmatch(x)) for x in new]
-        need = {w for _, m in split if m for w in (m[1].lower(),) if w not in self.cores}
+            self.cores, self.old_cores = {}, self.cores
+        own, old, new = self.parts, self.old_parts, []
+        for x in parts:
+            if x not in own:
+                known = old.get(x)
+                if known is None:
+                    new.append(x)
+                else:
+                    own[x] = known
+        split, need = [], set()
+        for x in new:
+            if x.isascii() and x.isalpha():
+                core, mark = x.lower(), ""
+            else:
+                m = _SIMPLE.fullmatch(x)
+                if m is None:
+                    own[x] = self.whole(x)
+                    continue
+                core, mark = m[1].lower(), m[2]
+            split.append((x, core, mark))
+            if core not in self.cores:
+                known = self.old_cores.get(core)
+                if known is None:
+                    need.add(core)
+                else:
+                    self.cores[core] = known
+            if mark and mark not in self.cores:
+                self.cores[mark] = self.whole(mark)
         self.learn_cores(list(need))
-        for x, m in split:
-            if m is None:
-                self.parts[x] = self.whole(x)
-                continue
-            if m[2] and m[2] not in self.cores:
-                self.cores[m[2]] = self.whole(m[2])
-            self.parts[x] = self.cores[m[1].lower()] + (self.cores[m[2]] if m[2] else b"")
+        for x, core, mark in split:
+            own[x] = self.cores[core] + self.cores[mark] if mark else self.cores[core]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         held, n = [], 0
