@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factledger.llm import mixing, packing, quality_classifier, simhash, substring_dedup
+from factledger.llm import mixing, near_dedup, packing, quality_classifier, substring_dedup
 from factledger.llm.common import count_words, materialise, table
 
 
@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id."""
-    return simhash.one_each(docs)
+    return near_dedup.one_each(docs)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,13 +43,13 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("substring dedup", substrings),
     ("mixing sources to target weights", mixture),
     ("best-fit packing", sequences),
 ]
 
-#: Fitting, ball hashing and packing are no SQL; tests hold the stages against brute force.
+#: Fitting, prefix filtering and packing are no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
