@@ -3,7 +3,7 @@
 Pages are parsed into small trees. Elements that by their tag, role or class are never article text (menus, forms,
 scripts and the like) are left out at once. What remains is aligned, by simple tree matching, with the tree of one page of the same
 host; runs of like siblings count as one repeated node, so trees stay small. Over ALL pages of the host it is counted in how many
-different pages each aligned node holds which text. A node whose text is the same in most of them is template; slots
+different pages each aligned node holds which text, and, as the one page may be a stub or of another layout, each path of tags too. A node whose text is the same in most of them is template; slots
 that vary are content. Of these the article is the densest region: an `article` or `main` element where there is one.
 
 Statistics are summed by (host, node, text) before they are shuffled, so a host with a third of all pages is a few rows a
@@ -303,7 +303,7 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, place, text, whole page) of every aligned block, once for each different page of a batch."""
+    """(host, place, text, whole page) of every block, by its place in the reference if it has one and by its path, once for each different page of a batch."""
     for batch in batches:
         out: set[tuple] = set()
         for host, page, paths, said, reference in zip(*(batch.column(n).to_pylist() for n in ("host", "page", "paths", "said", "reference")), strict=True):
@@ -314,6 +314,7 @@ def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 of += of + 1 < len(run) and run[of + 1] == n
                 if places[of] is not None:
                     out.add((host, places[of], text, page))
+                out.add((host, f"?{paths[n]}", text, page))  # also where the reference has no such node
             out.add((host, "", 0, page))
         rows = list(out)
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "place", "said", "page"])
