@@ -1,10 +1,12 @@
 """Best-fit packing of token pieces into sequences by bin completion.
 
 Documents become token pieces of at most `capacity` ids. Only how many pieces there are of each length (at most
-`capacity` numbers) goes to the driver, which plans there: around the longest piece left, bin completion looks for
-fillings that no other one dominates, nearest to full first, repeats a filling as often as the counts allow, prunes by the
-bound on waste and keeps the better of it and best-fit decreasing. The plan is a list of patterns, bounded by `capacity` as well;
-pieces of one length are numbered across the cluster and look up their place in it.
+`capacity` numbers) goes to the driver, which plans there by branch and bound: around the longest piece left, the undominated
+fillings are tried depth first, nearest to full first; a branch ends once its waste forbids fewer sequences than the
+incumbent has, and best-fit decreasing is the first incumbent. A filling is repeated as often as the counts allow, and once
+as the other branch, so that every plan can be reached. The search ends at a lower bound on the sequences or after `NODES`
+fillings; a plan is whole and valid then, only not proven to be the smallest. The plan is a list of patterns, bounded by
+`capacity` as well; pieces of one length are numbered across the cluster and look up their place in it.
 
 Numbering cuts the pieces of one length into parts of bounded size (about the square root of their count), so a length
 that a third of all pieces share is no single task.
@@ -12,20 +14,21 @@ that a third of all pieces share is no single task.
 Defined results: a null or empty text is the one token 0; repeated rows and copies are pieces of their own; an empty table
 gives an empty table; a null doc_id stays null; only doc_id and text are read, so other columns may have any name.
 The tokenizer is a file named by a parameter. Its ids of a text are put together from those of its parts between single
-spaces and line feeds, which it can't merge; parts are kept in a cache of bounded size.
+spaces and line feeds, which it can't merge. Texts are taken some megabytes at a time: Arrow splits them and numbers their
+different parts, each of which is encoded once; ids are gathered by number. Ids of words are remembered in a bounded
+cache, which ends with the task.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,11 +38,12 @@ from factledger.llm.common import materialise, table
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of the younger and of the older half of a worker's caches, each: whole parts, and lower-case words.
-PARTS, CORES = 100_000, 200_000
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?*$%&#]*)")
-#: Steps that the plan may take beyond its first completion, and fillings tried around one piece.
-STEPS, FILLINGS = 4000, 4
+#: Bytes of text that are split at once, and ids that the cache of words may hold.
+TEXT_BYTES, CACHED_IDS = 4 << 20, 2_000_000
+#: Parts whose ids come from a lower-case word and the marks behind it.
+_SIMPLE = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,;:!?*$%&#]*)$"
+#: Fillings that the plan may try.
+NODES = 20_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -48,8 +52,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges [start, start + size), one range behind the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts."""
+    """Unsigned 32-bit ids of texts."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -60,107 +70,89 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         size = self.model.get_vocab_size()
         self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.parts: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
-        self.old_cores: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn_cores(self, words: list[str]) -> None:
-        """Ids of words of plain letters, many in one line; a word ends where a token says so."""
-        for i in range(0, len(words), 256):
-            some = words[i : i + 256]
-            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some) and (not len(ids) or cuts[-1] == len(ids)):
-                for w, part in zip(some, np.split(ids, cuts[:-1]), strict=True):
-                    self.cores[w] = part.tobytes()
-            else:
-                for w in some:
-                    self.cores[w] = self.whole(w)
-
-    def learn(self, parts: set[str]) -> None:
-        """A full half of a cache becomes the older one; what is still used there moves on, the rest goes with it."""
-        if len(self.parts) > PARTS:
-            self.parts, self.old_parts = {}, self.parts
-        if len(self.cores) > CORES:
-            self.cores, self.old_cores = {}, self.cores
-        own, old, new = self.parts, self.old_parts, []
-        for x in parts:
-            if x not in own:
-                known = old.get(x)
-                if known is None:
-                    new.append(x)
-                else:
-                    own[x] = known
-        split, need = [], set()
-        for x in new:
-            if x.isascii() and x.isalpha():
-                core, mark = x.lower(), ""
-            else:
-                m = _SIMPLE.fullmatch(x)
-                if m is None:
-                    own[x] = self.whole(x)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.n = np.zeros(1 << 16, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.n + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
+        k = len(self.known)
+        while k + len(words) > len(self.start):
+            self.start, self.size = np.r_[self.start, np.zeros_like(self.start)], np.r_[self.size, np.zeros_like(self.size)]
+        self.ids[self.n : self.n + len(ids)] = ids
+        self.size[k : k + len(words)] = sizes
+        self.start[k : k + len(words)] = self.n + np.cumsum(sizes) - sizes
+        self.n += len(ids)
+        self.known.update(zip(words, range(k, k + len(words)), strict=True))
+
+    def numbers(self, words: list[str], plain: bool) -> np.ndarray:
+        """The cache's numbers of these different words; plain ones are encoded many in a line, as a token says where a word ends."""
+        new = [w for w in words if w not in self.known]
+        for i in range(0, len(new), 256):
+            some = new[i : i + 256]
+            if plain:
+                ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                if len(cuts) == len(some) and cuts[-1] == len(ids):
+                    self.add(some, ids, np.diff(np.r_[0, cuts]))
                     continue
-                core, mark = m[1].lower(), m[2]
-            split.append((x, core, mark))
-            if core not in self.cores:
-                known = self.old_cores.get(core)
-                if known is None:
-                    need.add(core)
-                else:
-                    self.cores[core] = known
-            if mark and mark not in self.cores:
-                self.cores[mark] = self.whole(mark)
-        self.learn_cores(list(need))
-        for x, core, mark in split:
-            own[x] = self.cores[core] + self.cores[mark] if mark else self.cores[core]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        held, n = [], 0
-        for t in texts:
-            held.append(t.replace("\n", " ").split(" "))
-            n += len(held[-1])
-            if n > 50_000:
-                yield from self.drain(held)
-                held, n = [], 0
-        yield from self.drain(held)
-
-    def drain(self, held: list[list[str]]) -> Iterator[bytes]:
-        self.learn(set().union(*held) if held else set())
-        get = self.parts.__getitem__
-        for words in held:
-            yield b"".join(map(get, words))
-
-
-@lru_cache(1)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+            each = [x.ids for x in self.model.encode_batch_fast(some, add_special_tokens=False)]
+            self.add(some, np.array([v for x in each for v in x], np.uint32), np.array([len(x) for x in each], np.int64))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these texts, one text behind the other, and where each text's ids begin (one more at the end)."""
+        if self.n > CACHED_IDS:
+            self.forget()
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        part = split.flatten().dictionary_encode()
+        different = part.dictionary
+        found = pc.extract_regex(different, _SIMPLE)
+        simple = pc.is_valid(found)
+        cores = pc.utf8_lower(found.field("core").filter(simple)).dictionary_encode()
+        marks = found.field("mark").filter(simple).dictionary_encode()
+        is_simple = simple.to_numpy(zero_copy_only=False)
+        first, second = np.zeros(len(different), np.int64), np.zeros(len(different), np.int64)
+        first[is_simple] = self.numbers(cores.dictionary.to_pylist(), True)[cores.indices.to_numpy()]
+        second[is_simple] = self.numbers(marks.dictionary.to_pylist(), False)[marks.indices.to_numpy()]
+        first[~is_simple] = self.numbers(different.filter(pc.invert(simple)).to_pylist(), False)
+        second[~is_simple] = self.numbers([""], False)[0]
+        size = np.stack([self.size[first], self.size[second]], axis=1)
+        of_part = self.ids[ranges(np.stack([self.start[first], self.start[second]], axis=1).ravel(), size.ravel())]
+        size = size.sum(axis=1)
+        use = part.indices.to_numpy()
+        ids = of_part[ranges((np.cumsum(size) - size)[use], size[use])]
+        ends = np.r_[0, np.cumsum(size[use])]
+        return ids, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids, if asked for) of docs(doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(path)
+        model = Encoder(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                out: list[list] = [[], [], [], [], [], []]
-                for doc, ids in zip(part.column("doc_id").to_pylist(), model.encode(texts), strict=True):
-                    ids = ids + b"\0\0\0\0"
-                    for k in range(0, len(ids), 4 * capacity):
-                        own = ids[k : k + 4 * capacity]
-                        row = (doc, k // (4 * capacity), k // 4, len(own) // 4, zlib.crc32(own), own)
-                        for column, v in zip(out, row, strict=True):
-                            column.append(v)
-                cols = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:5])]
+            offsets = packed.texts(batch, "text")[1]
+            for a, b in packed.chunks(offsets, TEXT_BYTES):
+                ids, begins = model.encode(pc.fill_null(batch.column("text").slice(a, b - a).cast(pa.string()), ""))
+                ids = np.insert(ids, begins[1:], np.uint32(END)).astype("<u4")
+                begins = begins + np.arange(len(begins))
+                count = -(-np.diff(begins) // capacity)
+                row = np.repeat(np.arange(b - a), count)
+                piece = ranges(np.zeros(b - a, np.int64), count)
+                start = piece * capacity
+                at = begins[row] + start
+                length = np.minimum(capacity, begins[row + 1] - at)
+                view = memoryview(ids).cast("B")
+                own = [view[4 * x : 4 * y] for x, y in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                cols = [batch.column("doc_id").slice(a, b - a).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, own), pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if with_ids:
-                    cols, names = [*cols, pa.array(out[5], pa.binary())], [*names, "ids"]
+                    cols, names = [*cols, pa.array([bytes(x) for x in own], pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else "")
@@ -174,72 +166,64 @@ class Pattern(NamedTuple):
     times: int
 
 
-def fillings(count: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room from the lengths left, nearest to full first, then with the larger lengths."""
-    if room <= 0:
-        return [()]
+def smear(bits: int, by: int) -> int:
+    """Every set bit also set at the next `by` places."""
+    done = 0
+    while done < by:
+        step = min(done + 1, by - done)
+        bits |= bits << step
+        done += step
+    return bits
+
+
+def undominated(rest: tuple[int, ...], room: int, left: int) -> bool:
+    """Whether no piece of `left` (a bit for each length that is still there) could stand for some of the filling's and waste no more."""
+    slack = room - sum(rest)
+    none_or_two, ones = 1, 0  # sums of no piece, or of two and more; sums of one
+    for v in rest:
+        none_or_two |= ((none_or_two & ~1) << v) | (ones << v)
+        ones |= 1 << v
+    better = smear(none_or_two, slack) | (smear(ones << 1, slack - 1) if slack else 0)
+    return not better & left & ~1
+
+
+def fillings(count: np.ndarray, room: int, waste: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of the room from the lengths left that waste at most so much, nearest to full first, larger pieces first."""
     if count[room]:
-        return [(room,)]  # dominates all others
-    out: list[tuple[int, ...]] = []
-    have = np.flatnonzero(count[: room + 1] > 0)
-    if not len(have):
-        return [()]
-
-    def pairs(space: int, left: np.ndarray, limit: int) -> list[tuple[int, int]]:
-        a = np.flatnonzero(left[: space + 1] > 0)
-        a = a[(a * 2 >= space) & (a < space)]
-        ok = a[(left[space - a] > 0) & ((a * 2 != space) | (left[a] > 1))]
-        return [(int(x), space - int(x)) for x in ok[::-1][:limit]]
-
-    out += pairs(room, count, most)
-    for a in have[::-1][:64]:
-        if len(out) >= most:
-            break
-        left = count.copy()
-        left[a] -= 1
-        out += [(int(a), *p) for p in pairs(room - int(a), left, 1) if p[0] <= a]
-    if out:
-        return out[:most]
-    # No exact filling of up to three: the fullest one there is, by sums that can be reached.
-    reach, steps = 1, []
-    cap = (1 << (room + 1)) - 1
-    for v in have[::-1]:
-        v, n, k = int(v), int(min(count[v], room // v)), 1
-        while n > 0:
+        yield (room,) if room else ()  # dominates all others
+        return
+    have = np.flatnonzero(count[: room + 1])
+    have = have[have > 0].tolist()
+    number = [int(min(count[v], room // v)) for v in have]
+    every = (1 << (room + 1)) - 1
+    reach = [1]  # sums that the first i lengths make
+    for v, n in zip(have, number, strict=True):
+        sums, k = reach[-1], 1
+        while n > 0 and sums != every:
             k = min(k, n)
-            steps.append((v, k, reach))
-            reach |= (reach << (v * k)) & cap
+            sums |= (sums << (v * k)) & every
             n, k = n - k, k * 2
-        if reach >> room & 1:
-            break
-    at, found = reach.bit_length() - 1, []
-    for v, k, before in reversed(steps):
-        if not before >> at & 1:
-            found += [v] * k
-            at -= v * k
-    return [tuple(sorted(found, reverse=True))]
-
-
-def complete(count: np.ndarray, capacity: int, choose: Callable[[int], int], bound: int) -> tuple[list[Pattern], int]:
-    """Bin completion with the filling `choose` says at each step; gives up once waste reaches the bound."""
-    count, plan, bins, waste, step = count.copy(), [], 0, 0, 0
-    for longest in range(capacity, 0, -1):
-        while count[longest]:
-            count[longest] -= 1
-            options = fillings(count, capacity - longest, FILLINGS)
-            rest = options[min(choose(step), len(options) - 1)]
-            count[longest] += 1
-            need = np.bincount((longest, *rest), minlength=capacity + 1)
-            used = np.flatnonzero(need)
-            times = int((count[used] // need[used]).min())
-            count[used] -= need[used] * times
-            plan.append(Pattern((longest, *rest), times))
-            bins += times
-            waste += times * (capacity - longest - sum(rest))
-            step += 1
-            if waste >= bound:
-                return plan, -1
-    return plan, bins
+        reach.append(sums)
+    bits = sum(1 << v for v in have)
+    for target in range(room, max(-1, room - waste - 1), -1):
+        if not reach[-1] >> target & 1:
+            continue
+        todo = [(len(have), target, ())]
+        while todo:
+            i, t, taken = todo.pop()
+            if not t:
+                used = {v: taken.count(v) for v in set(taken)}
+                gone = sum(1 << v for v, n in used.items() if count[v] <= n)
+                if undominated(taken, room, bits & ~gone):
+                    yield taken
+                continue
+            while i and have[i - 1] > t:
+                i -= 1
+            if not i or not reach[i] >> t & 1:
+                continue
+            v = have[i - 1]
+            # Fewer of this length wait below; most of it goes first.
+            todo += [(i - 1, t - k * v, taken + (v,) * k) for k in range(min(number[i - 1], t // v) + 1) if reach[i - 1] >> (t - k * v) & 1]
 
 
 def best_fit(count: np.ndarray, capacity: int) -> tuple[list[Pattern], int]:
@@ -267,26 +251,67 @@ def best_fit(count: np.ndarray, capacity: int) -> tuple[list[Pattern], int]:
     return plan, sum(p.times for p in plan)
 
 
-def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[Pattern]:
-    """Patterns that use up the counts (by length, 0 to capacity) in as few sequences as the search finds.
+def least(count: np.ndarray, capacity: int) -> int:
+    """A lower bound on the sequences: by all lengths, and by those of some size and more, which can't share with what is too long."""
+    sizes = np.arange(capacity + 1)
+    n, total = np.cumsum(count), np.cumsum(count * sizes)
+    best = -(-int(total[-1]) // capacity)
+    half = capacity // 2
+    over = int(n[-1] - n[half])
+    for small in range(1, half + 1):
+        big = int(n[-1] - n[capacity - small])  # longer than the rest of a sequence beside `small`
+        free = (over - big) * capacity - int(total[capacity - small] - total[half])
+        held = int(total[half] - total[small - 1])
+        best = max(best, over + max(0, -(-(held - free) // capacity)))
+    return best
+
 
-    A branch takes another filling at one step than the plan so far; none is followed whose waste already forbids
-    fewer sequences than the incumbent has, and the search ends at the lower bound.
-    """
-    count = np.asarray(count, np.int64)
+def plan(count: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+    """Patterns that use up the counts (by length, 0 to capacity) in as few sequences as the search finds."""
+    count = np.array(count, np.int64)
+    count[0] = 0
     total = int((count * np.arange(capacity + 1)).sum())
-    least = -(-total // capacity)
+    goal = least(count, capacity)
     best, bins = best_fit(count, capacity)
-    branch, left = 0, steps
-    while bins > least and left > 0:
-        at, other = (branch - 1) // (FILLINGS - 1), (branch - 1) % (FILLINGS - 1) + 1
-        found, n = complete(count, capacity, lambda step, at=at, other=other, first=not branch: 0 if first or step != at else other, (bins - 1) * capacity - total + 1)
-        if 0 <= n < bins:
-            best, bins = found, n
-        left -= len(found) * (branch > 0)
-        branch += 1
-        if at > len(found):
-            break
+    taken: list[Pattern] = []
+
+    def options(own: np.ndarray, waste: int) -> Iterator[Pattern]:
+        """Fillings around the longest piece, after sequences that waste so much."""
+        longest = int(np.flatnonzero(own)[-1])
+        room = capacity - longest
+        own[longest] -= 1
+        for rest in fillings(own, room, min(room, (bins - 1) * capacity - total - waste)):
+            need = np.bincount((longest, *rest), minlength=capacity + 1)
+            used = np.flatnonzero(need)
+            most = int(((own[used] + (used == longest)) // need[used]).min())
+            yield Pattern((longest, *rest), most)
+            if most > 1:
+                yield Pattern((longest, *rest), 1)
+
+    path = [(0, options(count.copy(), 0), [])] if bins > goal else []
+    while path and nodes > 0 and bins > goal:
+        waste, found, done = path[-1]
+        if done:
+            p = done.pop()
+            taken.pop()
+            for v in p.lengths:
+                count[v] += p.times
+        p = next(found, None)
+        if p is None:
+            path.pop()
+            continue
+        nodes -= 1
+        now = waste + p.times * (capacity - sum(p.lengths))
+        if now > (bins - 1) * capacity - total:
+            continue
+        for v in p.lengths:
+            count[v] -= p.times
+        done.append(p)
+        taken.append(p)
+        if count.any():
+            path.append((now, options(count.copy(), now), []))
+        else:
+            best, bins = list(taken), sum(x.times for x in taken)
     return best
 
 
