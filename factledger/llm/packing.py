@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -58,18 +59,23 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
+@lru_cache(1)
+def tokenizer(path: str) -> tuple:
+    """The tokenizer, and which of its tokens end a word; a worker loads it once."""
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    return model, np.array([(model.id_to_token(i) or "").endswith("</w>") for i in range(model.get_vocab_size())])
+
+
 class Encoder:
     """Unsigned 32-bit ids of texts."""
 
     def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        size = self.model.get_vocab_size()
-        self.ends = np.array([(self.model.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.model, self.ends = tokenizer(path)
         self.forget()
 
     def forget(self) -> None:
