@@ -4,8 +4,8 @@ Documents become token pieces of at most `capacity` ids. Only how many pieces th
 `capacity` numbers) goes to the driver, which plans there by branch and bound: around the longest piece left, the undominated
 fillings are tried depth first, nearest to full first; a branch ends once its waste forbids fewer sequences than the
 incumbent has, and best-fit decreasing is the first incumbent. A filling is repeated as often as the counts allow, and once
-as the other branch, so that every plan can be reached. The search ends at a lower bound on the sequences or after `NODES`
-fillings; a plan is whole and valid then, only not proven to be the smallest. The plan is a list of patterns, bounded by
+as the other branch, so that every plan can be reached. The search ends at a lower bound on the sequences or after `STEPS`
+steps; a plan is whole and valid then, only not proven to be the smallest. The plan is a list of patterns, bounded by
 `capacity` as well; pieces of one length are numbered across the cluster and look up their place in it.
 
 Numbering cuts the pieces of one length into parts of bounded size (about the square root of their count), so a length
@@ -43,8 +43,8 @@ TOKENIZER = "word_bpe_49k.json"
 TEXT_BYTES, CACHED_IDS = 4 << 20, 2_000_000
 #: Parts whose ids come from a lower-case word and the marks behind it.
 _SIMPLE = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,;:!?*$%&#]*)$"
-#: Fillings that the plan may try.
-NODES = 20_000
+#: Steps of the plan's search: pieces tried for a filling, and so many more for each sequence that fillings are looked for.
+STEPS, NODE_STEPS = 500_000, 100
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -193,8 +193,12 @@ def undominated(rest: tuple[int, ...], room: int, left: int) -> bool:
     return not better & left & ~1
 
 
-def fillings(count: np.ndarray, room: int, waste: int) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of the room from the lengths left that waste at most so much, nearest to full first, larger pieces first."""
+def fillings(count: np.ndarray, room: int, waste: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of the room from the lengths left that waste at most so much, nearest to full first, larger pieces first.
+
+    It ends once no steps are left; `steps` holds their number.
+    """
+    steps[0] -= NODE_STEPS
     if count[room]:
         yield (room,) if room else ()  # dominates all others
         return
@@ -215,7 +219,8 @@ def fillings(count: np.ndarray, room: int, waste: int) -> Iterator[tuple[int, ..
         if not reach[-1] >> target & 1:
             continue
         todo = [(len(have), target, ())]
-        while todo:
+        while todo and steps[0] > 0:
+            steps[0] -= 1
             i, t, taken = todo.pop()
             if not t:
                 used = {v: taken.count(v) for v in set(taken)}
@@ -272,7 +277,7 @@ def least(count: np.ndarray, capacity: int) -> int:
     return best
 
 
-def plan(count: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
+def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[Pattern]:
     """Patterns that use up the counts (by length, 0 to capacity) in as few sequences as the search finds."""
     count = np.array(count, np.int64)
     count[0] = 0
@@ -280,13 +285,14 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> lis
     goal = least(count, capacity)
     best, bins = best_fit(count, capacity)
     taken: list[Pattern] = []
+    left = [steps]
 
     def options(own: np.ndarray, waste: int) -> Iterator[Pattern]:
         """Fillings around the longest piece, after sequences that waste so much."""
         longest = int(np.flatnonzero(own)[-1])
         room = capacity - longest
         own[longest] -= 1
-        for rest in fillings(own, room, min(room, (bins - 1) * capacity - total - waste)):
+        for rest in fillings(own, room, min(room, (bins - 1) * capacity - total - waste), left):
             need = np.bincount((longest, *rest), minlength=capacity + 1)
             used = np.flatnonzero(need)
             most = int(((own[used] + (used == longest)) // need[used]).min())
@@ -295,7 +301,7 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> lis
                 yield Pattern((longest, *rest), 1)
 
     path = [(0, options(count.copy(), 0), [])] if bins > goal else []
-    while path and nodes > 0 and bins > goal:
+    while path and left[0] > 0 and bins > goal:
         waste, found, done = path[-1]
         if done:
             p = done.pop()
@@ -306,7 +312,6 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> lis
         if p is None:
             path.pop()
             continue
-        nodes -= 1
         now = waste + p.times * (capacity - sum(p.lengths))
         if now > (bins - 1) * capacity - total:
             continue
