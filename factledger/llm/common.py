@@ -43,23 +43,42 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, or one like it that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def with_ids(docs: DataFrame) -> DataFrame:
-    """docs with a unique `row_id` (long) in the order of doc_id.
+def with_ids(docs: DataFrame, name: str = "row_id") -> DataFrame:
+    """docs with a unique number (long) in the order of doc_id, in a column of this name, which docs must not have.
 
-    It is doc_id itself where that is unique and never null. Otherwise rows are sorted by (doc_id, hash of the
-    text), null first, across partitions, and numbered in that order; the numbers are fixed by writing them down.
+    It is doc_id itself where that is unique and never null. Otherwise rows are sorted across partitions by doc_id, null
+    first, and by hashes of the text and of all plain columns, and numbered from 0 in that order, so the numbers are the same in every run up
+    to rows that are alike; the numbers are fixed by writing them down.
     """
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return docs.withColumn("row_id", F.col("doc_id").cast("long"))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    spread = docs.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
-    return materialise(spread.withColumn("row_id", F.monotonically_increasing_id()))
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    plain = [c for c, t in docs.dtypes if "<" not in t and t not in ("variant", "interval")]
+    keys = {f"{name}_{i}": k for i, k in enumerate((F.xxhash64("text"), F.xxhash64(*plain)))}
+    order = [F.col("doc_id").asc_nulls_first(), *keys]
+    spread = docs.withColumns(keys).repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop(*keys)
+    part, own = f"{name}_part", f"{name}_own"
+    placed = materialise(spread.withColumns({part: F.spark_partition_id(), own: F.monotonically_increasing_id()}))
+    counts = {r[0]: r[1] for r in placed.groupBy(part).count().collect()}  # as many rows as partitions
+    before, at = [], 0
+    for k, n in sorted(counts.items()):
+        before.append((k, at - (k << 33)))  # own numbers of partition k begin at k * 2^33
+        at += n
+    begins = docs.sparkSession.createDataFrame(before, f"`{part}` int, `{name}_begin` long")
+    return placed.join(F.broadcast(begins), part).withColumn(name, F.col(own) + F.col(f"{name}_begin")).select(*docs.columns, name)

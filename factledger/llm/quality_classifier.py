@@ -21,9 +21,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from factledger.llm import packed
-from factledger.llm.common import table
+from factledger.llm.common import free_name, table
 from factledger.llm.quality_rules import STOP_WORDS
 from factledger.llm.windows import CHUNK, Rolling, word_units, _BYTES
 
@@ -152,8 +153,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, n
     return fit(x[role == 1], x[role == 0], min(0.99, max(0.01, float(prior))))
 
 
-def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns of `keep` and the score of every row of docs."""
+def score(docs: DataFrame, labels: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns of `keep` and, under `name`, the score of every row of docs."""
     mean, spread, w = learn(docs, labels)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +162,16 @@ def score(docs: DataFrame, labels: DataFrame, keep: list[str]) -> DataFrame:
             for a, b, x in _chunks(batch):
                 s = sigmoid(np.clip((x - mean) / spread, -8, 8) @ w[:-1] + w[-1])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(s)], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), pa.array(s)], names=[*keep, name])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(packed.frugal(work), ", ".join(f"`{n}` {kinds[n]}" for n in keep) + ", score double")
+    schema = StructType([*(docs.schema[n] for n in keep), StructField(name, DoubleType())])
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(packed.frugal(work), schema)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of docs that the classifier takes for good, all columns as they are."""
-    return score(docs, labels, docs.columns).filter(F.col("score") >= cut).select(*docs.columns)
+    """The rows of docs that the classifier takes for good, all columns as they are, whatever their names."""
+    name = free_name(docs, "score")
+    return score(docs, labels, docs.columns, name).filter(F.col(name) >= cut).select(*docs.columns)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

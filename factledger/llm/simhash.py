@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.llm import packed
-from factledger.llm.common import materialise, partitions, table, with_ids
+from factledger.llm.common import free_name, materialise, partitions, table, with_ids
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 BITS = 64
@@ -188,9 +188,10 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
 
 def one_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose row is the first of its component; all columns as they are."""
-    rows = with_ids(docs)
-    first = near_duplicates(rows).filter("row_id = component_row").select("row_id")
-    return rows.join(first, "row_id", "left_semi").select(*docs.columns)
+    row = free_name(docs, "row_id")
+    rows = with_ids(docs, row)
+    first = near_duplicates(rows.select(F.col(row).alias("row_id"), "doc_id", "text")).filter("row_id = component_row").select(F.col("row_id").alias(row))
+    return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ shares costs a sorted run of rows, cut over buckets by document and start.
 
 Defined results: a null or empty text has no words and the hash of nothing; texts shorter than a window lose
 nothing; rows that repeat a doc_id, or have none, are documents of their own, so that exact copies repeat each other; an empty table gives
-an empty table; `cut` hands through all columns, if none is named row_id. Words are compared by 128-bit fingerprints.
+an empty table; `cut` hands through all columns, whatever their names. Words are compared by 128-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factledger.llm import windows
-from factledger.llm.common import table, with_ids
+from factledger.llm.common import free_name, table, with_ids
 
 LENGTH, PIECE = 35, 12
 
@@ -54,10 +54,12 @@ def remove_repeats(rows: DataFrame) -> DataFrame:
 
 def cut(docs: DataFrame) -> DataFrame:
     """docs without the words of duplicate spans; other texts stay as they are, and so do all other columns."""
-    rows = with_ids(docs)
-    changed = remove_repeats(rows).filter("n_removed > 0").select("row_id", F.decode("kept", "UTF-8").alias("cut_text"))
-    text = F.when(F.col("cut_text").isNotNull(), F.col("cut_text")).otherwise(F.col("text"))
-    return rows.join(changed, "row_id", "left").withColumn("text", text).select(*docs.columns)
+    row, kept = free_name(docs, "row_id"), free_name(docs, "kept_text")
+    rows = with_ids(docs, row)
+    found = remove_repeats(rows.select(F.col(row).alias("row_id"), "doc_id", "text")).filter("n_removed > 0")
+    changed = found.select(F.col("row_id").alias(row), F.decode("kept", "UTF-8").alias(kept))
+    text = F.when(F.col(kept).isNotNull(), F.col(kept)).otherwise(F.col("text"))
+    return rows.join(changed, row, "left").withColumn("text", text).select(*docs.columns)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,7 +181,8 @@ def test_url_filter(spark):
 
 
 def test_mixing(docs, none):
-    got = by_id(mixing.mix(docs, count_words(docs.text)))
+    flat = lambda d: d.select("doc.doc_id", "mix_size", "mix_target", "mix_copies")
+    got = by_id(flat(mixing.mix(docs, count_words(docs.text))))
     size = {i: len(WORD.findall(t or "")) for i, t, *_ in corpus()}
     of = {i: r[3] for i, r in zip(size, corpus(), strict=True)}
     total = defaultdict(int)
@@ -205,7 +206,7 @@ def test_mixing(docs, none):
         taken[of[i]] += r.mix_copies * size[i]
     off = {s: (taken[s], target[s], max(size[i] for i in size if of[i] == s)) for s in names}
     assert all(abs(a - b) <= most for a, b, most in off.values()), off
-    again = by_id(mixing.mix(docs.repartition(2), count_words(docs.text)))
+    again = by_id(flat(mixing.mix(docs.repartition(2), count_words(docs.text))))
     assert {k: r.mix_copies for k, r in again.items()} == {k: r.mix_copies for k, r in got.items()}
     assert mixing.mix(none, count_words(none.text)).count() == 0
 
