@@ -57,7 +57,7 @@ def split(bucket: np.ndarray, columns: dict[str, np.ndarray], kind: int) -> Iter
 class Sender:
     """Gathers records and lets them go as payloads once there are enough of them."""
 
-    def __init__(self, kind: int, limit: int = 1_000_000) -> None:
+    def __init__(self, kind: int, limit: int = 1 << 18) -> None:
         self.kind, self.limit, self.held, self.n = kind, limit, [], 0
 
     def add(self, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,13 @@
 """Substring dedup by relative Lempel-Ziv parsing over words.
 
-Every document is factored against all reference blocks at once: their index is the table of anchored runs, dealt
-to blocks by sampled splitters (see `windows`). A document's factors are its runs; a run that occurs whole in some
-other place extends the factor by a whole step, and where a factor begins or ends its single windows are checked one by
-one against the index. Factors of 35 words or more become duplicate spans: a word goes if a window covers it whose
-words also start anywhere else, in the same document or another one.
+Every document is factored against all reference blocks. Their index has the 35-word windows of all documents, by
+content, in blocks dealt by sampled splitters (see `windows`): windows that share an anchor are held as one run, and looked up
+one by one only where a run doesn't occur whole. A look-up gives a place that the window repeats: the first one there is, or for
+the first one itself the last. A document is then parsed from left to right: a factor begins at the next window that repeats and goes on as long
+as the following windows continue at the same place, so it is a copy of the words there (`factors`: start and length in words, and
+where they are copied from). Windows across the end of a factor are looked up on their own, as all are. A factor has 35
+words or more and is a duplicate span; a word goes if a factor covers it. The factor is the longest copy of the place that the index names,
+not of all places; which words are covered does not depend on that.
 
 No reference block is broadcast and nothing is compared pair by pair, so a passage that a third of all documents
 shares costs a sorted run of rows, cut over buckets by document and start.
@@ -25,11 +28,29 @@ from factledger.llm import windows
 from factledger.llm.common import free_name, table, with_ids
 
 LENGTH, PIECE = 35, 12
+SCHEMA = "row_id long, doc_id long, n_words long, n_removed long, kept binary, factors array<struct<start: long, length: long, from_row: long, from_start: long>>"
+
+
+def parse(found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The factors (row, start, words, row copied from, start there) that records of repeated windows make, from left to right."""
+    row, p, m, from_row, from_p = found
+    if not len(row):
+        return found
+    end = p + m
+    reach = np.maximum.accumulate((row << 34) + end)  # records of a row come by start, the longer first
+    keep = np.r_[True, (row[1:] << 34) + end[1:] > reach[:-1]]
+    row, p, m, from_row, from_p = (x[keep] for x in (row, p, m, from_row, from_p))
+    on = (row[1:] == row[:-1]) & (p[1:] == p[:-1] + m[:-1]) & (from_row[1:] == from_row[:-1]) & (from_p[1:] == from_p[:-1] + m[:-1])
+    first = np.flatnonzero(np.r_[True, ~on])
+    return row[first], p[first], np.add.reduceat(m, first) + LENGTH - 1, from_row[first], from_p[first]
 
 
 def finish(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, found: tuple) -> pa.RecordBatch:
     units = windows.word_units(data, offsets)
-    gone = windows.covered(units, found, LENGTH)
+    row, start, words, from_row, from_start = parse(found)
+    gone = windows.covered(units, (row, start, words - LENGTH + 1), LENGTH)
+    factor = pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (start, words, from_row, from_start)], ["start", "length", "from_row", "from_start"])
+    factors = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(offsets))), pa.int32()), factor)
     stay = np.flatnonzero(~gone)
     n = len(data)
     inside = np.bincount(units.start[stay], minlength=n + 1) - np.bincount(units.end[stay], minlength=n + 1)
@@ -42,14 +63,15 @@ def finish(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, found:
     ends = np.r_[0, np.cumsum(take)][offsets].astype(np.int64)
     kept = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(out[take].tobytes())])
     lost = np.diff(np.r_[0, np.cumsum(gone)][units.begins]).astype(np.int64)
-    return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc_id"), pa.array(np.diff(units.begins).astype(np.int64)), pa.array(lost), kept.cast(pa.binary())], names=["row_id", "doc_id", "n_words", "n_removed", "kept"])
+    columns = [batch.column("id"), batch.column("doc_id"), pa.array(np.diff(units.begins).astype(np.int64)), pa.array(lost), kept.cast(pa.binary()), factors]
+    return pa.RecordBatch.from_arrays(columns, names=["row_id", "doc_id", "n_words", "n_removed", "kept", "factors"])
 
 
 def remove_repeats(rows: DataFrame) -> DataFrame:
-    """row_id, doc_id, n_words, n_removed and the kept words (joined by one space) of rows(row_id, doc_id, text)."""
+    """row_id, doc_id, n_words, n_removed, the kept words (joined by one space) and the factors of rows(row_id, doc_id, text)."""
     kind = windows.Kind(windows.word_units, LENGTH, PIECE, False)
     slim = rows.select(F.col("row_id").alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return windows.repeats(slim, kind, finish, "row_id long, doc_id long, n_words long, n_removed long, kept binary")
+    return windows.repeats(slim, kind, finish, SCHEMA)
 
 
 def cut(docs: DataFrame) -> DataFrame:

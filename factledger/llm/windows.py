@@ -8,11 +8,13 @@ document that share an anchor form a run. Exactness needs nothing else: equal wi
    holds a third of all rows is cut by document, as document and start are part of the key. A run equal to the one before
    it repeats it whole. A run whose anchor piece also occurs in a different run is a probe.
 2. Probes are spread into their single windows, again dealt by sampled splitters of their leading units and sorted.
-   Equal neighbours repeat, also across the border of two buckets.
-3. Documents gather what was found about them.
+   Equal neighbours repeat, also across the border of two buckets: the first and last rows of all buckets are compared in a join.
+3. Documents gather what was found about them: which windows repeat, and a place that each of them repeats.
 
 Documents cross the network twice, as compressed blocks; nothing is ever joined pair by pair. The sample behind
-the splitters is bounded (`SAMPLE` documents) and decides only how evenly work is dealt, never a result.
+the splitters is bounded (about `SAMPLE_BYTES` of text, and `SAMPLE_ROWS` rows of each chunk) and decides only how evenly work is dealt, never
+a result. There are at most `FAN` splitters, as every worker holds them; where that leaves buckets larger than `BUCKET_BYTES`, a
+second deal cuts them by hashes of their keys (and by document where one key fills a bucket).
 """
 
 from __future__ import annotations
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 from factledger.llm import packed
 from factledger.llm.common import materialise, partitions
 
-#: Documents behind the splitters, bytes of text a bucket gets (about), units hashed at once.
-SAMPLE, BUCKET_BYTES, MOST_BUCKETS, CHUNK = 2000, 6 << 20, 50_000, 1 << 20
+#: Bytes of text behind the splitters (about) and rows of a chunk there; bytes of text a bucket gets (about); most splitters; bytes hashed at once.
+SAMPLE_BYTES, SAMPLE_ROWS, BUCKET_BYTES, FAN, CHUNK = 8 << 20, 4096, 6 << 20, 20_000, 1 << 18
 _LOW = np.uint64(0xFFFFFFFF)
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
 SPAN, PROBE, EDGE, TEXT = 0, 1, 2, 9
@@ -206,22 +208,68 @@ def send_runs(kind: Kind, splitters: list[tuple]) -> Callable:
     return work
 
 
+def thin(hashes: np.ndarray) -> np.ndarray:
+    """An eighth of these rows, by hash, and no more than `SAMPLE_ROWS` or so."""
+    share = min(0.125, SAMPLE_ROWS / max(1, len(hashes)))
+    return hashes < np.uint64(int(share * 2**64))
+
+
 def sample_runs(kind: Kind) -> Callable:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, data, offsets in each_chunk(batches):
             r = runs(kind.units(data, offsets), kind)
             doc = ids[r["row"]]
-            some = mix(r["s"] ^ mix(doc.astype(np.uint64))) % np.uint64(8) == 0
+            some = thin(mix(r["s"] ^ mix(doc.astype(np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(x[some].view(np.int64)) for x in (r["g"], r["s"], doc, r["p"])], names=["a", "b", "c", "d"])
 
     return work
 
 
+def narrow(rows: DataFrame, coarse: int, fine: int, keys: list[str], whole: list[str]) -> DataFrame:
+    """Rows dealt over `coarse` buckets, cut into `fine` buckets each by the first of `keys` that differs there, or else by document.
+
+    A bucket between two equal splitters holds one value of the key that they share.
+    """
+    if fine == 1:
+        return rows
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = packed.Sender(PROBE)
+        for bucket, pairs in packed.by_bucket(batches):
+            for _, payload in pairs:
+                batch = packed.unpack(payload)
+                cols = {n: packed.column(batch, n) for n in batch.schema.names}
+                by = keys[0] if bucket >= 0 and not int(whole[bucket]) else keys[1]
+                sub = (mix(cols[by].astype(np.uint64)) % np.uint64(fine)).astype(np.int64)
+                yield from out.add(bucket * fine + sub, cols)
+        yield from out.flush()
+
+    return packed.deal(rows, coarse, work, packed.SCHEMA)
+
+
+def inside_one_key(splitters: list[tuple], n: int) -> list[bool]:
+    """For each bucket whether the splitters around it share their first n values."""
+    lead = [x[:n] for x in splitters]
+    return [False, *(a == b for a, b in zip(lead, lead[1:], strict=False)), *([False] * min(1, len(lead)))]
+
+
 def gather(pairs: Iterator[tuple[int, bytes]], names: list[str]) -> list[np.ndarray] | None:
     found = [packed.unpack(p) for _, p in pairs]
     return [np.concatenate([packed.column(b, n) for b in found]) for n in names] if found else None
 
 
+def repeated(doc: np.ndarray, p: np.ndarray, number: np.ndarray, first: np.ndarray, first_stays: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted rows in numbered groups: which repeat another place, and the row of a place that they repeat.
+
+    That is the first of the group, and for the first itself the last one. Rows of one document and start are one place.
+    """
+    last = np.r_[first[1:], len(doc)] - 1
+    own, end = first[number], last[number]
+    at_first = (doc == doc[own]) & (p == p[own])
+    alone = (doc[own] == doc[end]) & (p[own] == p[end])
+    return ~at_first if first_stays else ~alone, np.where(at_first, end, own)
+
+
 def compare_runs(kind: Kind, doc_buckets: int) -> Callable:
     """Repeated runs, and probes for single windows, sent to their documents."""
 
@@ -231,8 +279,6 @@ def compare_runs(kind: Kind, doc_buckets: int) -> Callable:
             order = multikey_quicksort([g, s, doc.view(np.uint64) ^ np.uint64(1 << 63), p])
             g, s, doc, p, m = g[order], s[order], doc[order], p[order], m[order]
             again = np.r_[False, (g[1:] == g[:-1]) & (s[1:] == s[:-1])]
-            once = doc.copy()  # rows of one id and start are one place, which doesn't repeat itself
-            same_place = np.r_[False, again[1:] & (once[1:] == once[:-1]) & (p[1:] == p[:-1])]
             first = np.flatnonzero(~again)
             lead = g[first]
             shared = np.r_[False, lead[1:] == lead[:-1]]
@@ -241,14 +287,9 @@ def compare_runs(kind: Kind, doc_buckets: int) -> Callable:
             probe = np.zeros(len(g), bool)
             probe[first[shared]] = True
             number = np.cumsum(~again) - 1
-            if kind.first_stays:
-                at_first = (doc == doc[first][number]) & (p == p[first][number])
-                gone = again & ~at_first
-            else:
-                places = np.bincount(number, weights=~same_place)
-                gone = places[number] > 1
+            gone, source = repeated(doc, p, number, first, kind.first_stays)
             for what, is_probe in ((gone, 0), (probe, 1)):
-                cols = {"doc": doc[what], "p": p[what], "m": m[what]}
+                cols = {"doc": doc[what], "p": p[what], "m": m[what]} | ({} if is_probe else {"from_doc": doc[source[what]], "from_p": p[source[what]]})
                 found = list(packed.split(doc_bucket(cols["doc"], doc_buckets), cols, is_probe))
                 for i in range(0, len(found), 64):
                     yield packed.rows(found[i : i + 64])
@@ -271,21 +312,21 @@ def send_texts(doc_buckets: int) -> Callable:
 
 
 class Places:
-    """Records of (doc, p, m) looked up by document."""
+    """Records of (doc, p, m and others) looked up by document, in the order of p, the longer first."""
 
-    def __init__(self, found: list[pa.RecordBatch]) -> None:
+    def __init__(self, found: list[pa.RecordBatch], others: tuple[str, ...] = ()) -> None:
         cat = lambda n: np.concatenate([packed.column(b, n).astype(np.int64) for b in found]) if found else np.zeros(0, np.int64)
         doc, p, m = cat("doc"), cat("p"), cat("m")
-        order = np.lexsort([p, doc])
-        self.doc, self.p, self.m = doc[order], p[order], m[order]
+        order = np.lexsort([-m, p, doc])
+        self.doc, self.columns = doc[order], [p[order], m[order], *(cat(n)[order] for n in others)]
 
-    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of ids, p, m) for the records of these documents."""
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row of ids, p, m, others) for the records of these documents."""
         a, b = np.searchsorted(self.doc, ids, "left"), np.searchsorted(self.doc, ids, "right")
         n = b - a
         row = np.repeat(np.arange(len(ids)), n)
         at = np.arange(int(n.sum())) + (a - (np.cumsum(n) - n))[row]
-        return row, self.p[at], self.m[at]
+        return row, *(c[at] for c in self.columns)
 
 
 def lead_token(units: Units, at: np.ndarray, data: np.ndarray) -> np.ndarray:
@@ -340,7 +381,7 @@ def probed(kind: Kind, use: Callable) -> Callable:
 
 def send_windows(splitters: list[tuple]) -> Callable:
     def use() -> Callable:
-        out = packed.Sender(PROBE, 500_000)
+        out = packed.Sender(PROBE)
 
         def go(w: dict | None) -> Iterator[pa.RecordBatch]:
             yield from out.flush() if w is None else out.add(place([w["a"], w["b"], w["c"], w["doc"], w["p"]], splitters), w)
@@ -353,7 +394,7 @@ def send_windows(splitters: list[tuple]) -> Callable:
 def sample_windows() -> Callable:
     def go(w: dict | None) -> Iterator[pa.RecordBatch]:
         if w is not None:
-            some = mix(w["b"] ^ mix(w["doc"].astype(np.uint64))) % np.uint64(8) == 0
+            some = thin(mix(w["b"] ^ mix(w["doc"].astype(np.uint64))))
             yield pa.RecordBatch.from_arrays([pa.array(x[some].astype(np.int64) if x.dtype != np.uint64 else x[some].view(np.int64)) for x in (w["a"], w["b"], w["c"], w["doc"], w["p"])], names=list("abcde"))
 
     return go
@@ -368,33 +409,40 @@ def compare_windows(kind: Kind, doc_buckets: int) -> Callable:
             order = multikey_quicksort([a, b, c, doc.view(np.uint64) ^ np.uint64(1 << 63), p])
             a, b, c, doc, p = a[order], b[order], c[order], doc[order], p[order]
             again = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (c[1:] == c[:-1])]
-            same_place = np.r_[False, again[1:] & (doc[1:] == doc[:-1]) & (p[1:] == p[:-1])]
-            number = np.cumsum(~again) - 1
-            first = np.flatnonzero(~again)
-            if kind.first_stays:
-                gone = again & ~((doc == doc[first][number]) & (p == p[first][number]))
-            else:
-                gone = np.bincount(number, weights=~same_place)[number] > 1
-            cols = {"doc": doc[gone], "p": p[gone], "m": np.ones(int(gone.sum()), np.uint16)}
+            gone, source = repeated(doc, p, np.cumsum(~again) - 1, np.flatnonzero(~again), kind.first_stays)
+            cols = {"doc": doc[gone], "p": p[gone], "m": np.ones(int(gone.sum()), np.uint16), "from_doc": doc[source[gone]], "from_p": p[source[gone]]}
             found = list(packed.split(doc_bucket(cols["doc"], doc_buckets), cols, 0))
-            edge = {"bucket": [bucket, bucket], "last": [0, 1]} | {n: [int(x[0]), int(x[-1])] for n, x in (("a", a), ("b", b), ("c", c))} | {"doc": [int(doc[0]), int(doc[-1])], "p": [int(p[0]), int(p[-1])]}
-            edge = {k: pa.array(v, pa.uint64() if k in "abc" else pa.int64()) for k, v in edge.items()}
+            ends = [0, len(a) - 1]
+            edge = {n: x[ends].view(np.int64) for n, x in (("a", a), ("b", b), ("c", c))} | {"doc": doc[ends], "p": p[ends].astype(np.int64)}
             yield packed.rows([*found, (-1, EDGE, packed.pack(edge))])
 
     return work
 
 
-def across(edges: list[bytes], first_stays: bool) -> list[tuple[int, int]]:
-    """(doc, p) of windows that repeat one in another bucket; every bucket has two rows here."""
-    rows = [r for e in edges for r in packed.unpack(e).to_pylist()]
-    groups: dict[tuple, list] = {}
-    for r in rows:
-        groups.setdefault((r["a"], r["b"], r["c"]), []).append((r["doc"], r["p"]))
-    out = []
-    for places in groups.values():
-        places = sorted(set(places))
-        out += places[1:] if first_stays else places if len(places) > 1 else []
-    return out
+def across(windows: DataFrame, first_stays: bool, doc_buckets: int) -> DataFrame:
+    """Packed records of windows that repeat one in another bucket; every bucket has two rows here."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column("payload"):
+                yield packed.unpack(payload.as_py())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = packed.Sender(SPAN)
+        for batch in batches:
+            doc, p, from_doc, from_p = (packed.column(batch, n) for n in ("doc", "p", "from_doc", "from_p"))
+            yield from out.add(doc_bucket(doc, doc_buckets), {"doc": doc, "p": p.astype(np.uint32), "m": np.ones(len(doc), np.uint16), "from_doc": from_doc, "from_p": from_p.astype(np.uint32)})
+        yield from out.flush()
+
+    key = ["a", "b", "c"]
+    edges = windows.filter(F.col("kind") == EDGE).mapInArrow(packed.frugal(unpacked), "a long, b long, c long, doc long, p long").distinct()
+    place = F.struct("doc", "p")
+    groups = edges.groupBy(*key).agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")
+    both = edges.join(groups, key)
+    if first_stays:
+        both = both.filter(place != F.col("low"))
+    source = F.when(place == F.col("low"), F.col("high")).otherwise(F.col("low"))
+    return both.select("doc", "p", source["doc"].alias("from_doc"), source["p"].alias("from_p")).mapInArrow(packed.frugal(pack), packed.SCHEMA)
 
 
 def unsigned(rows: list, n: int) -> list[tuple]:
@@ -407,27 +455,22 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable, schema: str) -> DataF
 
     docs has id (long, not null), text, and any further columns; rows are sent whole.
     """
-    spark = docs.sparkSession
-    total, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    at_least = partitions(spark)
-    buckets = int(min(MOST_BUCKETS, max(at_least, total // BUCKET_BYTES, 1)))
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(partitions(docs.sparkSession), total // BUCKET_BYTES, 1)
+    coarse = min(buckets, FAN)
+    fine = -(-buckets // coarse)
     slim = docs.select("id", "text")
-    some = slim.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n))) < SAMPLE)
-    cut = quantiles(unsigned(some.mapInArrow(packed.frugal(sample_runs(kind)), "a long, b long, c long, d long").collect(), 2), buckets)
-    sent = slim.mapInArrow(packed.frugal(send_runs(kind, cut)), packed.SCHEMA)
-    spans = materialise(packed.deal(sent, buckets, compare_runs(kind, buckets), packed.SCHEMA))
+    some = slim.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, total))) < SAMPLE_BYTES)
+    cut = quantiles(unsigned(some.mapInArrow(packed.frugal(sample_runs(kind)), "a long, b long, c long, d long").collect(), 2), coarse)
+    sent = narrow(slim.mapInArrow(packed.frugal(send_runs(kind, cut)), packed.SCHEMA), coarse, fine, ["g", "s"], inside_one_key(cut, 1))
+    spans = materialise(packed.deal(sent, coarse, compare_runs(kind, buckets), packed.SCHEMA))
     probes = spans.filter("kind = 1")
     with_texts = lambda rows: probes.unionAll(rows.mapInArrow(packed.frugal(send_texts(buckets)), packed.SCHEMA))
-    cut2 = quantiles(unsigned(packed.deal(with_texts(some), buckets, probed(kind, sample_windows), "a long, b long, c long, d long, e long").collect(), 3), buckets)
-    singles = packed.deal(with_texts(slim), buckets, probed(kind, send_windows(cut2)), packed.SCHEMA)
-    windows = materialise(packed.deal(singles, buckets, compare_windows(kind, buckets), packed.SCHEMA))
-    edges = [r.payload for r in windows.filter(F.col("kind") == EDGE).select("payload").collect()]
-    more = across(edges, kind.first_stays)
-    found = spans.filter("kind = 0").unionAll(windows.filter("kind = 0"))
-    if more:
-        doc = np.array([d for d, _ in more], np.int64)
-        cols = {"doc": doc, "p": np.array([p for _, p in more], np.uint32), "m": np.ones(len(more), np.uint16)}
-        found = found.unionAll(spark.createDataFrame([(b, k, bytearray(p)) for b, k, p in packed.split(doc_bucket(doc, buckets), cols, SPAN)], packed.SCHEMA))
+    cut2 = quantiles(unsigned(packed.deal(with_texts(some), coarse, probed(kind, sample_windows), "a long, b long, c long, d long, e long").collect(), 3), coarse)
+    singles = packed.deal(with_texts(slim), coarse, probed(kind, send_windows(cut2)), packed.SCHEMA)
+    singles = narrow(singles, coarse, fine, ["b", "doc"], inside_one_key(cut2, 3))
+    windows = materialise(packed.deal(singles, coarse, compare_windows(kind, buckets), packed.SCHEMA))
+    found = spans.filter("kind = 0").unionAll(windows.filter("kind = 0")).unionAll(across(windows, kind.first_stays, buckets))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, pairs in packed.by_bucket(batches):
@@ -436,7 +479,7 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable, schema: str) -> DataF
                 if what != TEXT:
                     held.append(packed.unpack(payload))
                     continue
-                places = places or Places(held)
+                places = places or Places(held, ("from_doc", "from_p"))
                 batch = packed.unpack(payload)
                 data, offsets = packed.texts(batch, "text")
                 ids = batch.column("id").to_numpy(zero_copy_only=False)
@@ -444,12 +487,12 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable, schema: str) -> DataF
                     yield finish(batch.slice(a, b - a), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], places.of(ids[a:b]))
 
     whole = docs.mapInArrow(packed.frugal(send_texts(buckets)), packed.SCHEMA)
-    return packed.deal(found.unionAll(whole), buckets, work, schema)
+    return packed.deal(found.unionAll(whole), coarse, work, schema)
 
 
-def covered(units: Units, found: tuple[np.ndarray, np.ndarray, np.ndarray], length: int) -> np.ndarray:
+def covered(units: Units, found: tuple[np.ndarray, ...], length: int) -> np.ndarray:
     """Which units of a chunk lie in repeated windows."""
-    row, p, m = found
+    row, p, m = found[:3]
     n = len(units.codes[0])
     if not len(row):
         return np.zeros(n, bool)
