@@ -180,6 +180,57 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), outcomes.limit(0)).count() == 0
 
 
+def test_reputation_shrinks_from_host_to_domain_to_suffix(spark):
+    """Against the same model in plain Python; some hosts above the bar and some below, repeated rows and null ids."""
+    rng = random.Random(8)
+    share = {"a.spam.co.uk": 0.9, "b.spam.co.uk": 0.8, "fine.co.uk": 0.05, "x.ok.org": 0.1, "y.ok.org": 0.02, "u@z.ok.org:80": 0.1, "10.0.0.1": 0.6, "10.0.0.2": 0.1, "few.spam.co.uk": 1.0, "": 0.1}
+    rows, bad = [], []
+    for h, p in share.items():
+        for _ in range(3 if h.startswith("few") else 60):
+            bad.append((len(rows), int(rng.random() < p)))
+            rows.append((len(rows), f"http://{h}/x" if h else None))
+    rows += [rows[0]] * 3 + [(None, "http://new.ok.org/"), (None, "http://new.spam.co.uk/")]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, n string, host long")
+    got = {r.host: r for r in url_filter.judge(pages, spark.createDataFrame(bad, "page_id long, bad int"), []).collect()}
+    domain = {h: h for h in ("10.0.0.1", "10.0.0.2", "")} | {"fine.co.uk": "fine.co.uk"} | {h: "spam.co.uk" for h in share if "spam" in h} | {h: "ok.org" for h in share if "ok.org" in h}
+    suffix = {"10.0.0.1": "address", "10.0.0.2": "address", "": "", "fine.co.uk": "co.uk", "spam.co.uk": "co.uk", "ok.org": "org"}
+    known = dict(bad)
+    count = {h: [0, 0] for h in share}
+    for i, url in rows[:-2]:
+        h = url.split("/")[2] if url else ""
+        count[h][0] += 1
+        count[h][1] += known[i]
+
+    def up(counts, name):
+        out = defaultdict(lambda: [0, 0])
+        for k, (n, b) in counts.items():
+            out[name[k]][0] += n
+            out[name[k]][1] += b
+        return out
+
+    def strength(counts):
+        n, b, k = sum(x for x, _ in counts.values()), sum(x for _, x in counts.values()), len(counts)
+        p = b / n
+        spread = n - sum(x * x for x, _ in counts.values()) / n - (k - 1)
+        rho = (sum(y * y / x for x, y in counts.values()) - n * p * p - p * (1 - p) * (k - 1)) / (p * (1 - p) * spread)
+        return 1 / min(0.9, max(0.001, rho)) - 1
+
+    of_domain, whole = up(count, domain), sum(b for _, b in count.values())
+    of_suffix = up(of_domain, suffix)
+    m0 = (whole + 1) / (sum(n for n, _ in count.values()) + 2)
+    ks, kd, kh = strength(of_suffix), strength(of_domain), strength(count)
+    ms = {k: (b + ks * m0) / (n + ks) for k, (n, b) in of_suffix.items()}
+    md = {k: (b + kd * ms[suffix[k]]) / (n + kd) for k, (n, b) in of_domain.items()}
+    for h, (n, b) in [*count.items(), ("new.ok.org", (0, 0)), ("new.spam.co.uk", (0, 0))]:
+        prior = md[domain.get(h, h[4:])]
+        x, y = b + kh * prior, n - b + kh * (1 - prior)
+        mean = x / (x + y)
+        lower = mean - (x * y / ((x + y) ** 2 * (x + y + 1))) ** 0.5
+        assert got[h].bad_mean == pytest.approx(mean, abs=2e-6)
+        assert got[h].verdict == ("block" if lower > min(0.5, 3 * m0 / (1 - m0 + 3 * m0)) else "allow"), h
+    assert got["a.spam.co.uk"].verdict == got["few.spam.co.uk"].verdict == "block" and got["y.ok.org"].verdict == "allow"
+
+
 def test_mixing(docs, none):
     flat = lambda d: d.select("doc.doc_id", "mix_size", "mix_target", "mix_copies")
     got = by_id(flat(mixing.mix(docs, count_words(docs.text))))
