@@ -1,12 +1,14 @@
-"""Near-dedup of the pipeline: word 5-grams, Jaccard similarity of 0.8 or more, found exactly by prefix filtering.
+"""The pipeline's SimHash near-dedup: word 5-grams, Jaccard similarity of 0.8 or more, no pair missed.
 
-The stage has no contract of fingerprints, so unlike op9 it works on the shingle sets themselves. Texts whose words are the same
-(ASCII case and spaces aside) are merged first. Of a text's shingles only those that stand in another text matter: the
+Texts whose words are the same (ASCII case and spaces aside) are merged first. Ball hashing (see `simhash`) of fingerprints over 5-word
+shingles then finds the texts whose fingerprints differ in few bits; their similarity is verified on the shingle sets. Fingerprints alone
+can't give right results here: at a similarity of 0.8 two of 64 bits differ in about ten places, a radius whose variants can't be written out. So
+prefix filtering, which is exact, completes the links. Of a text's shingles only those that stand in another text matter: the
 others are in no intersection. In the order of rising text counts, two sets within the threshold have a shingle in common among the first
 n - ceil(0.8 n) + 1 of each, so only those are looked up, and no pair is missed. Pairs are verified by the size of the intersection.
 
-Groups are the components of all such pairs. So that a large group of near copies does not become all its pairs, each text is first
-compared with a few others from its lookups; afterwards only pairs of different groups are made.
+Groups are the components of all such pairs. So that a large group of near copies does not become all its pairs, the links of ball hashing and of
+a few look-ups of each text come first; afterwards only pairs of different groups are made.
 
 Defined results: texts of fewer than five words are one shingle; null or empty texts and texts of spaces only are copies of each other; an
 empty table gives an empty table. Shingles are compared by 64-bit hashes.
@@ -23,8 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factledger.llm import packed
-from factledger.llm.common import materialise, partitions, with_ids
-from factledger.llm.simhash import components
+from factledger.llm.common import free_name, materialise, partitions, with_ids
+from factledger.llm.simhash import components, fingerprints, links
 
 SHINGLE = 5
 #: Similarity as a fraction.
@@ -97,6 +99,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").filter((OVER + UNDER) * both >= OVER * (F.col("nu") + F.col("nv"))).select("u", "v")
 
 
+def ball(distinct: DataFrame) -> DataFrame:
+    """u, v: texts whose fingerprints are the same or linked by ball hashing; stars, not all pairs."""
+    marked = materialise(fingerprints(distinct.withColumn("doc_id", F.col("row_id")).select("row_id", "doc_id", "text"), SHINGLE))
+    first = materialise(marked.groupBy("fp").agg(F.min("row_id").alias("first")))
+    near = links(first.select("fp"), first.count())
+    a, b = first.select(F.col("fp").alias("u"), F.col("first").alias("a")), first.select(F.col("fp").alias("v"), F.col("first").alias("b"))
+    other = near.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = marked.join(first, "fp").filter("row_id <> first").select(F.col("first").alias("u"), F.col("row_id").alias("v"))
+    return other.unionByName(same)
+
+
 def needed(n: Column) -> Column:
     """The least overlap that a set of n shingles has with one within the threshold."""
     return F.floor((OVER * n + UNDER - 1) / UNDER)
@@ -106,16 +119,17 @@ def near(distinct: DataFrame, words: int) -> DataFrame:
     """v, root: every row of distinct(row_id, text) that is a near copy of one with a smaller id, and the smallest of its group."""
     spark = distinct.sparkSession
     buckets = max(partitions(spark), words // AT_ONCE + 1)
-    found = packed.deal(distinct.select("row_id", "text").mapInArrow(packed.frugal(emit(buckets)), packed.SCHEMA), buckets, shared, "row long, n int, df long, s long")
-    ranked = found.groupBy("row").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("found"))
+    seen = packed.deal(distinct.select("row_id", "text").mapInArrow(packed.frugal(emit(buckets)), packed.SCHEMA), buckets, shared, "row long, n int, df long, s long")
+    ranked = seen.groupBy("row").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("found"))
     sets = materialise(ranked.filter(F.size("found") >= needed(F.col("n"))).select("row", "n", F.transform("found", lambda x: x["s"]).alias("s")))
     # Shingles of one text only come first in the order; they are never looked up.
     keys = materialise(sets.select("row", "n", F.explode(F.slice("s", F.lit(1), (F.size("s") - needed(F.col("n")) + 1).cast("int"))).alias("s")))
     middle = keys.groupBy("s").agg(F.min_by("row", F.xxhash64("row", "s")).alias("u"), F.count(F.lit(1)).alias("of")).filter("of > 1")
     tries = keys.join(middle, "s").filter("u <> row").select("u", F.col("row").alias("v")).distinct()
     some = F.slice(F.transform(F.array_sort(F.collect_list(F.struct(F.xxhash64("u", "v").alias("h"), "u"))), lambda x: x["u"]), 1, TRIES)
-    links = materialise(verified(tries.groupBy("v").agg(some.alias("u")).select("v", F.explode("u").alias("u")), sets))
-    roots = components(links)
+    tries = tries.groupBy("v").agg(some.alias("u")).select(F.explode("u").alias("u"), "v")
+    found = materialise(verified(tries.unionByName(ball(distinct)).distinct(), sets))
+    roots = components(found)
     named = keys.join(roots.withColumnRenamed("v", "row"), "row", "left").select("s", "row", "n", F.coalesce("root", "row").alias("root"))
     mixed = materialise(named.join(named.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("s"), "s", "left_semi"))
     a, b = mixed.select("s", F.col("row").alias("u"), F.col("n").alias("p"), F.col("root").alias("x")), mixed.select("s", F.col("row").alias("v"), F.col("n").alias("q"), F.col("root").alias("y"))
@@ -126,10 +140,13 @@ def near(distinct: DataFrame, words: int) -> DataFrame:
 
 def one_each(docs: DataFrame) -> DataFrame:
     """The rows of docs whose row is the first of its group; all columns as they are."""
-    rows = with_ids(docs)
-    marked = materialise(rows.select("row_id", "text").mapInArrow(packed.frugal(digests), "row_id long, key binary, words long"))
+    row = free_name(docs, "row_id")
+    rows = with_ids(docs, row)
+    slim = rows.select(F.col(row).alias("row_id"), "text")
+    marked = materialise(slim.mapInArrow(packed.frugal(digests), "row_id long, key binary, words long"))
     firsts = marked.groupBy("key").agg(F.min("row_id").alias("first"))
     copies = materialise(marked.join(firsts, "key").filter("row_id <> first").select("row_id"))
-    distinct = rows.join(copies, "row_id", "left_anti")
+    distinct = slim.join(copies, "row_id", "left_anti")
     gone = near(distinct, marked.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]).select(F.col("v").alias("row_id"))
-    return distinct.join(gone, "row_id", "left_anti").select(*docs.columns)
+    left = copies.unionByName(gone).select(F.col("row_id").alias(row))
+    return rows.join(left, row, "left_anti").select(*docs.columns)

@@ -55,14 +55,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """row_id, doc_id and fp (the fingerprint's bits as a long) of docs(row_id, doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = packed.texts(batch, "text")
             view = memoryview(data)
-            fp = np.fromiter((fingerprint(bytes(view[a:b])) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.uint64, len(offsets) - 1)
+            fp = np.fromiter((fingerprint(bytes(view[a:b]), shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)), np.uint64, len(offsets) - 1)
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["row_id", "doc_id", "fp"])
 
     slim = docs.select(F.col("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")

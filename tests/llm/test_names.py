@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factledger.llm import mixing, quality_classifier, simhash, substring_dedup
+from factledger.llm import mixing, near_dedup, quality_classifier, simhash, substring_dedup
 from factledger.llm.common import count_words, with_ids
 
 CLASH = "row_id long, kept_text string, score string, mix_size long, mix_copies string, cut_text string, doc string, key int, fp long"
@@ -18,7 +18,7 @@ def docs(spark):
 def test_stages_keep_columns(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
     whole = set(map(tuple, docs.collect()))
-    for out in (quality_classifier.accepted(docs, labels, 0.0), substring_dedup.cut(docs), simhash.one_each(docs), mixing.mix(docs, count_words(F.col("text"))).select("doc.*")):
+    for out in (quality_classifier.accepted(docs, labels, 0.0), substring_dedup.cut(docs), simhash.one_each(docs), near_dedup.one_each(docs), mixing.mix(docs, count_words(F.col("text"))).select("doc.*")):
         assert out.columns == docs.columns
         assert set(map(tuple, out.collect())) <= whole
     assert substring_dedup.cut(docs).count() == docs.count()
