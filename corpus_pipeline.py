@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id: ball hashing, completed to all pairs of similarity 0.8."""
     return near_dedup.one_each(docs)
 
 
@@ -43,7 +43,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality classifier", quality),
-    ("near-dedup", near_duplicates),
+    ("SimHash near-dedup", near_duplicates),
     ("substring dedup", substrings),
     ("mixing sources to target weights", mixture),
     ("best-fit packing", sequences),
