@@ -14,7 +14,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 DUCK_WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's own size of an Arrow batch, which every task holds several times beside the heap, and the one used here in its place.
+ARROW_BYTES, SPARKS_ARROW_BYTES, OUR_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 4 << 20
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, where the session has Spark's own size of them."""
+    if spark.conf.get(ARROW_BYTES, None) == f"{SPARKS_ARROW_BYTES}b":
+        spark.conf.set(ARROW_BYTES, str(OUR_ARROW_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    modest_batches(spark)
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -40,7 +40,7 @@ from factledger.llm.common import materialise, table
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text that are split at once, and ids that the cache of words may hold.
-TEXT_BYTES, CACHED_IDS = 4 << 20, 2_000_000
+TEXT_BYTES, CACHED_IDS = 2 << 20, 1_000_000
 #: Parts whose ids come from a lower-case word and the marks behind it.
 _SIMPLE = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,;:!?*$%&#]*)$"
 #: Steps of the plan's search: pieces tried for a filling, and so many more for each sequence that fillings are looked for.
