@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from factledger.llm import packed
 from factledger.llm.common import free_name, materialise, partitions, with_ids
 from factledger.llm.simhash import components, fingerprints, links
+from factledger.llm.windows import doc_bucket
 
 SHINGLE = 5
 #: Similarity as a fraction.
 OVER, UNDER = 4, 5
 #: Shingles of a bucket, about; comparisons of a text before groups are known.
-AT_ONCE, TRIES = 2_000_000, 3
+AT_ONCE, TRIES = 500_000, 3
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -76,19 +77,40 @@ def emit(buckets: int):
     return work
 
 
-def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles that stand in more than one text, with the number of those texts."""
+def shared(buckets: int):
+    """The shingles that stand in more than one text, with the number of those texts, to the bucket of the text."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = packed.Sender(0)
+        for _, pairs in packed.by_bucket(batches):
+            held = [packed.unpack(p) for _, p in pairs]
+            s, row, n = (np.concatenate([packed.column(x, c) for x in held]) for c in ("s", "row", "n"))
+            del held
+            order = np.argsort(s)
+            s, row, n = s[order], row[order], n[order]
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            size = np.diff(np.r_[first, len(s)])
+            at = np.flatnonzero(np.repeat(size > 1, size))
+            yield from out.add(doc_bucket(row[at], buckets), {"row": row[at], "n": n[at], "df": np.repeat(size, size)[at], "s": s[at]})
+        yield from out.flush()
+
+    return work
+
+
+def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, n and the shared shingles of each text that has enough of them, by rising text counts."""
     for _, pairs in packed.by_bucket(batches):
         held = [packed.unpack(p) for _, p in pairs]
-        s, row, n = (np.concatenate([packed.column(x, c) for x in held]) for c in ("s", "row", "n"))
-        order = np.argsort(s)
-        s, row, n = s[order], row[order], n[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-        count = np.repeat(np.diff(np.r_[first, len(s)]), np.diff(np.r_[first, len(s)]))
-        at = np.flatnonzero(count > 1)
-        for i in range(0, len(at), 1 << 16):
-            k = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(row[k]), pa.array(n[k]), pa.array(count[k]), pa.array(s[k])], names=["row", "n", "df", "s"])
+        row, n, df, s = (np.concatenate([packed.column(x, c) for x in held]) for c in ("row", "n", "df", "s"))
+        del held
+        order = np.lexsort([s, df, row])
+        row, n, s = row[order], n[order].astype(np.int64), s[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        size = np.diff(np.r_[first, len(row)])
+        enough = size >= (OVER * n[first] + UNDER - 1) // UNDER
+        s = s[np.repeat(enough, size)]
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size[enough])], pa.int32()), pa.array(s))
+        yield pa.RecordBatch.from_arrays([pa.array(row[first][enough]), pa.array(n[first][enough], pa.int32()), lists], names=["row", "n", "s"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -119,9 +141,9 @@ def near(distinct: DataFrame, words: int) -> DataFrame:
     """v, root: every row of distinct(row_id, text) that is a near copy of one with a smaller id, and the smallest of its group."""
     spark = distinct.sparkSession
     buckets = max(partitions(spark), words // AT_ONCE + 1)
-    seen = packed.deal(distinct.select("row_id", "text").mapInArrow(packed.frugal(emit(buckets)), packed.SCHEMA), buckets, shared, "row long, n int, df long, s long")
-    ranked = seen.groupBy("row").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "s"))).alias("found"))
-    sets = materialise(ranked.filter(F.size("found") >= needed(F.col("n"))).select("row", "n", F.transform("found", lambda x: x["s"]).alias("s")))
+    sent = distinct.select("row_id", "text").mapInArrow(packed.frugal(emit(buckets)), packed.SCHEMA)
+    seen = packed.deal(sent, buckets, shared(buckets), packed.SCHEMA)
+    sets = materialise(packed.deal(seen, buckets, ranked, "row long, n int, s array<long>"))
     # Shingles of one text only come first in the order; they are never looked up.
     keys = materialise(sets.select("row", "n", F.explode(F.slice("s", F.lit(1), (F.size("s") - needed(F.col("n")) + 1).cast("int"))).alias("s")))
     middle = keys.groupBy("s").agg(F.min_by("row", F.xxhash64("row", "s")).alias("u"), F.count(F.lit(1)).alias("of")).filter("of > 1")
