@@ -17,7 +17,7 @@ from factledger import schema as S
 from factledger.errors import InvalidInput, MissingEmbedding, PreconditionFailed
 from factledger.functions import exprs as E
 from factledger.functions import names as N
-from factledger.operators import lookup, resolve, search, semantic, triples, walk
+from factledger.operators import envelope, lookup, resolve, search, semantic, triples, walk
 from factledger.sources import fixtures
 from factledger.sources.store import TABLES, Store
 
@@ -49,6 +49,7 @@ class FactLedger:
         self.spark, self.store, self.provider, self.settings = spark, Store(spark, path), provider, settings
         self.clock = clock or (lambda: datetime.now(timezone.utc).replace(tzinfo=None))
         self.new_id = new_id or (lambda: str(uuid.uuid4()))
+        self.space = space
         self.store.bootstrap(fixtures.seed_nodes(spark), space)
 
     def table(self, name: str, at: int | None = None) -> DataFrame:
@@ -95,6 +96,17 @@ class FactLedger:
             hits = search.recall_text(facts, nodes, scope, text.strip(), limit, at)
         return {"facts": hits, "about": search.about_context(facts, nodes, scope, search.context_subjects(hits, nodes), limit)}
 
+    def answer(self, scope: list[str], limit: int = S.DEFAULT_LIMIT, concise: bool = False, effective_at: str | None = None, **asked: object) -> dict:
+        """A recall by text or labels as one nested answer: facts with both ends, nodes, handles, and whether there is more."""
+        if not 1 <= limit <= S.MAX_LIMIT or set(asked) - {"text", "labels"} or len(asked) != 1:
+            raise InvalidInput("text or labels, and a limit of 1 to 100")
+        scope = N.layers(scope)
+        at = str(N.instant(effective_at)) if effective_at else None
+        find = search.recall_text if "text" in asked else search.recall_labels
+        hits = find(self.table("facts"), self.table("nodes"), scope, next(iter(asked.values())), limit + 1, at)
+        facts, more = envelope.page(hits, limit, scope)
+        return envelope.finish(facts, more, concise=concise)
+
     def recall_semantic(self, scope: list[str], text: str, labels: list[str] | None = None, limit: int = S.DEFAULT_LIMIT, effective_at: str | None = None) -> dict[str, DataFrame]:
         """Fused retrieval; it learns: neighbours that helped live on, and the query's own facts are remembered."""
         if self.provider is None:
@@ -102,6 +114,8 @@ class FactLedger:
         if not text.strip() or len(text.encode()) > S.SEMANTIC_TEXT_BYTES or not 1 <= limit <= S.MAX_LIMIT:
             raise InvalidInput("text of 1 to 32768 bytes, limit of 1 to 100")
         scope, labels = N.layers(scope), labels or []
+        if self.space is not None:
+            self.store.check(self.space)
         at = str(N.instant(effective_at)) if effective_at else None
         vector = semantic.unit(self.provider.embed(text.strip()))
         now = int(self.clock().replace(tzinfo=timezone.utc).timestamp() * 1000)
@@ -115,6 +129,8 @@ class FactLedger:
         same = [r["id"] for r in semantic.converging(near, E.strings(refs), self.settings).collect()] if refs else []
         shown = search.numbered(fused.drop("rank"), [F.col("fused").desc(), F.col("is_direct").desc(), F.col("iri")], limit)
         answer = {"facts": self.spark.createDataFrame(shown.collect(), shown.schema)}  # ranked before anything is learned
+        ends = answer["facts"].select("iri").join(known.select("iri", "s_iri", "o_iri"), "iri")
+        answer["about"] = search.about_context(facts, nodes, scope, search.context_subjects(ends, nodes), limit)
         self.store.mutate(lambda base: (self._learn(base, vector, refs, used, same, now + S.TTL_DAYS * 86_400_000), None))
         return answer
 
@@ -392,9 +408,9 @@ class FactLedger:
 
     def unify(self, source: str, target: str) -> dict:
         """The source becomes the target: facts move, and those that then say the same become one."""
-        kinds = {N.kind_of(source), N.kind_of(target)}
-        if source == target or len(kinds) != 1 or not kinds <= {"class", "property", "element"}:
-            raise InvalidInput("two different nodes of one kind")
+        if source == target:
+            raise InvalidInput("two different nodes")
+        structural = [x if (x := N.local_name(i).upper()) in S.STRUCTURAL else None for i in (source, target)]
         if source in {f"{S.NAMESPACE}:class/{x}" for x in S.SEED_CLASSES} | {f"{S.NAMESPACE}:property/{x}" for x in S.SEED_PROPERTIES}:
             raise PreconditionFailed("what every ledger has stays")
 
@@ -403,6 +419,13 @@ class FactLedger:
             pair = self._rows("nodes", base, "iri", [source, target])
             if len(pair) < 2:
                 raise PreconditionFailed("both nodes must be there")
+            if any(set(r["labels"]) & set(S.FORBIDDEN_MERGE_LABELS) for r in pair.values()):
+                raise InvalidInput("literals, episodes and the ledger's own nodes are not merged")
+            kinds = {N.kind_from_labels(r["labels"]) for r in pair.values()}
+            if len(kinds) != 1 or None in kinds:
+                raise InvalidInput("both nodes have the same kind: class, property or element")
+            if kinds == {"property"} and (set(structural) & set(S.SYSTEM) or structural[0] != structural[1]):
+                raise InvalidInput("properties of the ledger's own, or of another structural type, are not merged")
             episode = self._episode("unify", None, target_iris=[source, target])
             now, by = F.lit(episode["at"]).cast("timestamp_ntz"), F.lit(episode["iri"])
             prop = kinds == {"property"}

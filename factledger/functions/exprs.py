@@ -29,10 +29,8 @@ def kind_prefix(kind: str, namespace: str = S.NAMESPACE) -> str:
 
 
 def slugify(name: Column, kind: str, namespace: str = S.NAMESPACE) -> Column:
-    """Trimmed, without a `<ns>:<kind>/` prefix, runs of other characters as one dash; empty is `unnamed`."""
-    prefix = kind_prefix(kind, namespace)
-    bare = F.trim(name)
-    bare = F.when(bare.startswith(prefix), F.substring(bare, len(prefix) + 1, 1 << 30)).otherwise(bare)
+    """Trimmed, without a `<ns>:<any kind>/` prefix, runs of other characters as one dash; empty is `unnamed`."""
+    bare = F.regexp_replace(F.trim(name), rf"(?s)\A{namespace}:[^/]*/", "")
     bare = F.lower(bare) if kind in ("element", "literal", "episode") else bare
     slug = F.regexp_replace(F.regexp_replace(bare, r"[^A-Za-z0-9._-]+", "-"), r"^-+|-+$", "")
     return F.when(slug == "", F.lit("unnamed")).otherwise(slug)
@@ -63,8 +61,19 @@ def split_camel(c: Column) -> Column:
 
 
 def kind_from_labels(labels: Column) -> Column:
+    """What a node is by its labels; null for literals, episodes and what has none of the three."""
     has = lambda x: F.array_contains(labels, x)
-    return F.when(has("Class"), "class").when(has("Property"), "property").when(has("Literal"), "literal").when(has("Episode"), "episode").otherwise("element")
+    return F.when(has("Class"), "class").when(has("Property"), "property").when(has("Element"), "element")
+
+
+def label_for_kind(kind: Column) -> Column:
+    """The label of a kind, in any case; null for what is none."""
+    low = F.lower(kind)
+    return F.when(low.isin("class", "property", "element", "literal", "episode"), F.initcap(low))
+
+
+def kind_for_label(label: Column) -> Column:
+    return F.when(label.isin("Class", "Property", "Element", "Literal", "Episode"), F.lower(label))
 
 
 def literal_iri(value: Column, datatype: Column, namespace: str = S.NAMESPACE) -> Column:
@@ -138,6 +147,11 @@ def sat_add(a: Column, b: Column) -> Column:
     return F.least(top, F.greatest(low, total)).cast("long")
 
 
+def may_step(weight: Column, step: Column) -> Column:
+    """Whether a weight can go one step up or down without leaving its range."""
+    return ~(((step > 0) & (weight == S.LONG_MAX)) | ((step < 0) & (weight == S.LONG_MIN)))
+
+
 def sat_sum(weights: Column) -> Column:
     """Saturating sum of an array of longs in its order."""
     return F.aggregate(weights, F.lit(0).cast("long"), sat_add)

@@ -31,7 +31,7 @@ def suggestions(nodes: DataFrame, scope: Sequence[str], created: Sequence[str],
     pairs = T.seen_nodes(usable, scope).join(new, ["kind", "size"]).filter("iri <> new_iri")
     allowed = E.fuzzy_limit(F.least("size", "new_size"))
     pairs = pairs.withColumn("edits", F.levenshtein("low", "new_low", 2)).filter((F.col("edits") >= 0) & (F.col("edits") <= allowed))
-    similarity = F.round(E.name_similarity(F.col("low"), F.col("new_low")), 6)
+    similarity = E.name_similarity(F.col("low"), F.col("new_low"))
     floor = F.when(F.col("kind") == "Property", S.PROPERTY_MERGE_FLOOR).otherwise(S.MERGE_FLOOR)
     close = pairs.withColumn("similarity", similarity).filter(F.col("similarity") >= floor)
     place = F.row_number().over(W.partitionBy("new_iri").orderBy(F.col("similarity").desc(), "size", "iri"))

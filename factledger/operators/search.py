@@ -116,7 +116,7 @@ def scored(docs: DataFrame, text: str, phrase: list[str], keywords: list[str]) -
             idf = F.log(1.0 + (figures.getField("n") - rows + 0.5) / (rows + 0.5))
             norm = S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * F.size("tokens") / figures.getField("mean"))
             total = total + idf * F.col(f"tf{i}") * (S.BM25_K1 + 1) / (F.col(f"tf{i}") + norm)
-        return F.round(total, 6)
+        return total
 
     padded = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
     exact = padded.contains(f" {' '.join(phrase)} ") if phrase else F.lit(False)

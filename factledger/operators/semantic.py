@@ -55,7 +55,7 @@ def unit(vector: Sequence[float]) -> list[float]:
 def nearest(activations: DataFrame, vector: Sequence[float], settings: Settings = Settings()) -> DataFrame:
     """The k most similar activations, expired ones among them."""
     asked = F.array(*(F.lit(float(x)) for x in vector))
-    scored = activations.select("id", "result_refs", "expires_at_ms", F.round(E.similarity(F.col("embedding"), asked, settings.raw_cosine), 9).alias("similarity"))
+    scored = activations.select("id", "result_refs", "expires_at_ms", E.similarity(F.col("embedding"), asked, settings.raw_cosine).alias("similarity"))
     return scored.orderBy(F.col("similarity").desc(), "id").limit(settings.neighbors)
 
 
@@ -106,7 +106,7 @@ def fuse(hits: DataFrame, near: DataFrame, facts: DataFrame, nodes: DataFrame, s
     anchor_score = F.greatest(F.when(F.col("eligible"), F.col("contribution")), F.col("learned"))
     anchors = both.withColumn("anchor_score", anchor_score).filter("anchor_score is not null").orderBy(F.col("anchor_score").desc(), "iri").limit(S.ANCHORS).select("iri", "anchor_score")
     more = structural(anchors, facts, nodes, scope, labels, at).join(both.select("iri"), "iri", "left_anti")
-    every = both.select("iri", "fused", "is_direct", "eligible").unionAll(more.select("iri", F.col("score").alias("fused"), F.lit(False), F.lit(False))).withColumn("fused", F.round("fused", 9))
+    every = both.select("iri", "fused", "is_direct", "eligible").unionAll(more.select("iri", F.col("score").alias("fused"), F.lit(False), F.lit(False)))
     order = [F.col("fused").desc(), F.col("is_direct").desc(), F.col("iri")]
     return every.withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long")) if limit is None else Q.numbered(every, order, limit)
 

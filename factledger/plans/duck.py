@@ -66,8 +66,8 @@ ACTIVATIONS = """
 unit0 AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 q0 AS (SELECT i, sum(e[i]) AS x FROM unit0, (SELECT unnest(generate_series(1, (SELECT max(len(e)) FROM unit0))) AS i) WHERE vec_id IN (7, 150, 160) GROUP BY i),
 q AS (SELECT list(x ORDER BY i) AS v FROM q0),
-act AS (SELECT 'act-' || vec_id AS id, ['kg:relationship/ob-' || vec_id, 'kg:relationship/os-' || vec_id, 'kg:relationship/missing-' || vec_id] AS refs, 1700000000000 + vec_id * 1000 AS expires_at_ms,
-  round((list_cosine_similarity(e, v) + 1) / 2, 9) AS similarity FROM unit0, q WHERE vec_id < 200),
+act AS (SELECT 'act-' || vec_id AS id, ['kg:relationship/ob-' || vec_id, 'kg:relationship/os-' || vec_id, 'kg:relationship/missing-' || vec_id] AS refs, 1700000000000 + vec_id % 200 * 1000 AS expires_at_ms,
+  (list_cosine_similarity(e, v) + 1) / 2 AS similarity FROM unit0, q),
 near AS (SELECT * FROM act ORDER BY similarity DESC, id LIMIT 10),
 live AS (SELECT * FROM near WHERE expires_at_ms >= 1700000100000 AND similarity >= 0.65)"""
 
@@ -141,7 +141,7 @@ def scored(name: str, source: str, phrase: list[str], keywords: list[str]) -> st
 
     def bm25(own: list[str]) -> str:
         parts = [f"ln(1.0::DOUBLE + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * {S.BM25_K1 + 1}::DOUBLE / (tf{i} + {S.BM25_K1}::DOUBLE * ({1 - S.BM25_B}::DOUBLE + {S.BM25_B}::DOUBLE * len(t) / mean))" for i in (asked.index(x) for x in own)]
-        return f"round({' + '.join(parts) or '0.0::DOUBLE'}, 6)"
+        return ' + '.join(parts) or '0.0::DOUBLE'
 
     exact = f"contains(' ' || array_to_string(t, ' ') || ' ', ' {' '.join(phrase)} ')" if phrase else "false"
     return f"""{name}_t AS (SELECT *, {tf} FROM {source}), {name}_s AS (SELECT count(*)::DOUBLE AS n, avg(len(t)) AS mean, {df} FROM {name}_t),
@@ -215,7 +215,7 @@ def fused(limit: int) -> str:
 both0 AS (SELECT coalesce(d.iri, l.iri) AS iri, contribution, learned, coalesce(contribution, 0) + coalesce(learned, 0) AS fused, contribution IS NOT NULL AS is_direct, coalesce(eligible, false) AS eligible FROM direct d FULL JOIN learned l ON d.iri = l.iri),
 anchors AS (SELECT iri, greatest(CASE WHEN eligible THEN contribution END, learned) AS anchor_score FROM both0 WHERE anchor_score IS NOT NULL ORDER BY anchor_score DESC, iri LIMIT {S.ANCHORS}), {STRUCTURAL},
 ev0 AS (SELECT iri, fused, is_direct, eligible FROM both0 UNION ALL SELECT iri, score, false, false FROM struct WHERE iri NOT IN (SELECT iri FROM both0)),
-ev1 AS (SELECT iri, round(fused, 9) AS fused, is_direct, eligible FROM ev0),
+ev1 AS (SELECT iri, fused, is_direct, eligible FROM ev0),
 fused AS (SELECT *, row_number() OVER (ORDER BY fused DESC, is_direct DESC, iri) AS rank FROM ev1 ORDER BY rank LIMIT {limit})"""
 
 
@@ -286,12 +286,12 @@ i AS (SELECT unnest({lst(IRIS)}) AS v, generate_subscripts({lst(IRIS)}, 1) - 1 A
         "structural_context": one(f"k0 AS (SELECT * FROM facts WHERE {current(EVERY, types=('ASSERTS',))}), known AS ({closed('k0', EVERY)}), anchors AS (SELECT * FROM (VALUES ('{FACT}', 0.5::DOUBLE), ('{ANCHOR}', 0.25::DOUBLE)) t(iri, anchor_score)), {STRUCTURAL}", "SELECT iri, round(score, 6) AS score FROM struct"),
         "merge_suggestions": one(
             f"""c AS (SELECT iri, lower(name) AS low, name, CASE WHEN list_contains(labels, 'Class') THEN 'Class' WHEN list_contains(labels, 'Property') THEN 'Property' WHEN list_contains(labels, 'Element') THEN 'Element' END AS kind, layers FROM nodes WHERE name IS NOT NULL),
-p AS (SELECT n.iri AS ni, n.name AS nn, o.iri AS oi, o.name AS "on", n.kind, levenshtein(n.low, o.low) AS d, round(1 - levenshtein(n.low, o.low)::DOUBLE / greatest(length(n.low), length(o.low)), 6) AS similarity
+p AS (SELECT n.iri AS ni, n.name AS nn, o.iri AS oi, o.name AS "on", n.kind, levenshtein(n.low, o.low) AS d, 1 - levenshtein(n.low, o.low)::DOUBLE / greatest(length(n.low), length(o.low)) AS similarity
   FROM c n JOIN c o ON n.kind = o.kind AND n.iri <> o.iri AND abs(length(n.name) - length(o.name)) <= 2 WHERE n.iri IN {inside(CREATED)} AND {vis("o.layers", EVERY)}),
 a AS (SELECT *, row_number() OVER (PARTITION BY ni ORDER BY similarity DESC, length("on"), oi) AS n FROM p WHERE d <= CASE WHEN least(length(nn), length("on")) < 3 THEN 0 WHEN least(length(nn), length("on")) < 5 THEN 1 ELSE 2 END AND similarity >= CASE WHEN kind = 'Property' THEN {S.PROPERTY_MERGE_FLOOR} ELSE {S.MERGE_FLOOR} END),
 t AS (SELECT *, length(nn) < length("on") OR (length(nn) = length("on") AND oi IN {inside(CREATED)} AND ni < oi) AS onto FROM a WHERE n <= {S.SUGGESTIONS}),
 s AS (SELECT DISTINCT CASE WHEN onto THEN oi ELSE ni END AS source, CASE WHEN onto THEN ni ELSE oi END AS target, similarity FROM t)""",
-            "SELECT row_number() OVER (ORDER BY similarity DESC, source, target) AS rank, source, target, similarity FROM s",
+            "SELECT row_number() OVER (ORDER BY similarity DESC, source, target) AS rank, source, target, round(similarity, 6) AS similarity FROM s",
         ),
         "conflicts_overlap": one(
             f"a AS (SELECT * FROM facts WHERE {current(SCOPE, types=('ASSERTS',))}), b AS ({closed('a', SCOPE)})",
@@ -309,7 +309,7 @@ s AS (SELECT DISTINCT CASE WHEN onto THEN oi ELSE ni END AS source, CASE WHEN on
             f"w AS (SELECT * REPLACE (CASE WHEN weight > 2 AND len(layers) > 0 THEN list_distinct(list_append(layers, '{EVERY[0]}')) ELSE layers END AS layers) FROM facts)",
             f"SELECT iri, len(rest) = 0 AS retired, CASE WHEN len(rest) = 0 THEN array_to_string(layers, ',') ELSE array_to_string(list_sort(rest), ',') END AS new_layers FROM (SELECT *, list_filter(layers, lambda x: x <> '{SCOPE[0]}') AS rest FROM w WHERE valid_to IS NULL AND type NOT IN {inside((*S.SCHEMA, *S.SYSTEM))} AND list_contains(layers, '{SCOPE[0]}'))",
         ),
-        "judge_apply": one("", f"SELECT iri, {ADD.format(f'(CASE WHEN weight > 3 THEN {S.LONG_MAX} WHEN weight < -3 THEN {S.LONG_MIN} ELSE weight END)', '(CASE WHEN weight % 2 = 0 THEN 1 ELSE -1 END)')} AS weight FROM nodes WHERE list_contains(labels, 'Supplier')".replace(str(S.LONG_MIN), f"({S.LONG_MIN + 1} - 1)")),
+        "judge_apply": one("", f"SELECT iri, weight > 3 AND weight % 2 = 0 OR weight < -3 AND weight % 2 <> 0 AS refused, CASE WHEN NOT (weight > 3 AND weight % 2 = 0 OR weight < -3 AND weight % 2 <> 0) THEN {ADD.format(f'(CASE WHEN weight > 3 THEN {S.LONG_MAX} WHEN weight < -3 THEN {S.LONG_MIN} ELSE weight END)', '(CASE WHEN weight % 2 = 0 THEN 1 ELSE -1 END)')} END AS weight FROM nodes WHERE list_contains(labels, 'Supplier')".replace(str(S.LONG_MIN), f"({S.LONG_MIN + 1} - 1)")),
         "membership_algebra": one(
             "",
             f"""SELECT iri, CASE WHEN len(layers) = 0 THEN '' ELSE array_to_string(list_sort(list_distinct(list_concat(layers, {asked}))), ',') END AS merged,
@@ -320,6 +320,14 @@ s AS (SELECT DISTINCT CASE WHEN onto THEN oi ELSE ni END AS source, CASE WHEN on
         ),
         "mint_iri_exprs": f"""SELECT p_partkey, 'kg:element/' || s AS iri, 'kg:property/' || {slug("trim(p_type)")} AS property_iri, s AS local, 'element' AS kind,
   'kg:literal/' || substr({slug("lower(trim(p_name))")}, 1, 40) || '-' || substr(sha256('xsd:string:' || p_name), 1, 12) AS literal_iri FROM (SELECT *, {slug("lower(trim(' ' || p_name || '/' || p_type || ' '))")} AS s FROM part)""",
+        "node_envelopes": one("", "SELECT CASE WHEN value IS NULL THEN 'node' ELSE 'literal' END AS kind, iri, name, array_to_string(labels, ',') AS labels, value, CASE WHEN value IS NOT NULL THEN 'xsd:string' END AS datatype, false AS stub, array_to_string(layers, ',') AS scope, weight, 'node' AS target_kind, iri AS target_iri FROM nodes"),
+        "fact_envelopes": one(
+            "",
+            f"""SELECT f.iri, CASE WHEN s.value IS NULL THEN 'node' ELSE 'literal' END AS s_kind, s_iri AS s, s.name AS s_name, string_split(property_iri, '/')[-1] AS p, CASE WHEN o.value IS NULL THEN 'node' ELSE 'literal' END AS o_kind, o_iri AS o, o.name AS o_name, o.value AS o_value,
+  array_to_string(f.layers, ',') AS scope, spike, CASE WHEN eff_qualified THEN strftime(eff_from, '%Y-%m-%dT%H:%M:%SZ') END AS "from", CASE WHEN eff_qualified THEN strftime(eff_to, '%Y-%m-%dT%H:%M:%SZ') END AS "to", f.weight, true AS current, list_has_any(f.layers, {lst(SCOPE)}) AS mutable, type, property_iri
+  FROM facts f JOIN nodes s ON s_iri = s.iri AND {vis("s.layers", SCOPE)} JOIN nodes o ON o_iri = o.iri AND {vis("o.layers", SCOPE)} WHERE {current(SCOPE).replace("layers", "f.layers")}""",
+        ),
+        "answer_nodes": one(ranked(SCOPE, 50, labels=("Order",)).strip(), "SELECT iri, min(pos) AS position FROM (SELECT s_iri AS iri, rank * 2 AS pos, s_labels AS labels FROM hits UNION ALL SELECT o_iri, rank * 2 + 1, o_labels FROM hits) WHERE NOT list_contains(labels, 'Literal') GROUP BY 1"),
         "fact_text_exprs": one("", "SELECT iri, fact_text FROM facts"),
     }
     return out | {name: one("", "").rstrip() + ", " + around(**args) for name, args in WALKS.items()}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from factledger import schema as S
 from factledger.functions import exprs as E
-from factledger.operators import lookup, resolve, search, semantic, triples, walk
+from factledger.operators import envelope, lookup, resolve, search, semantic, triples, walk
 from factledger.plans import duck as D
 from factledger.sources import fixtures
 
@@ -273,7 +273,7 @@ def structural_context(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def merge_suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    return resolve.suggestions(fixtures.load(spark, sf).nodes, EVERY, D.CREATED)
+    return resolve.suggestions(fixtures.load(spark, sf).nodes, EVERY, D.CREATED).withColumn("similarity", F.round("similarity", 6))
 
 
 @query
@@ -333,11 +333,12 @@ def withdraw_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def judge_apply(spark: SparkSession, sf: str) -> DataFrame:
-    """One step up for even suppliers and down for odd ones, from weights near the ends of their range."""
+    """One step up for even suppliers and down for odd ones, from weights near the ends of their range; a step beyond is refused."""
     rows = fixtures.load(spark, sf).nodes.filter(F.array_contains("labels", "Supplier"))
     edge = F.when(F.col("weight") > 3, F.lit(S.LONG_MAX)).when(F.col("weight") < -3, F.lit(S.LONG_MIN)).otherwise(F.col("weight"))
     step = F.when(F.col("weight") % 2 == 0, 1).otherwise(-1)
-    return rows.select("iri", E.sat_add(edge, step).alias("weight"))
+    allowed = E.may_step(edge, step)
+    return rows.select("iri", (~allowed).alias("refused"), F.when(allowed, E.sat_add(edge, step)).alias("weight"))
 
 
 @query
@@ -363,6 +364,29 @@ def fact_text_exprs(spark: SparkSession, sf: str) -> DataFrame:
     return fixtures.load(spark, sf).facts.select("iri", "fact_text")
 
 
+@query
+def node_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    shown = fixtures.load(spark, sf).nodes.select(envelope.node().alias("n"))
+    return shown.select("n.kind", "n.iri", "n.name", F.array_join("n.labels", ",").alias("labels"), "n.value", "n.datatype", "n.stub", F.array_join("n.scope", ",").alias("scope"), "n.weight", F.col("n.target.kind").alias("target_kind"), F.col("n.target.iri").alias("target_iri"))
+
+
+@query
+def fact_envelopes(spark: SparkSession, sf: str) -> DataFrame:
+    led = fixtures.load(spark, sf)
+    shown = triples.closed(triples.current(led.facts, SCOPE), led.nodes, SCOPE).select(envelope.fact(SCOPE).alias("f"), envelope.edge().alias("e"))
+    return shown.select(
+        F.col("f.target.iri").alias("iri"), F.col("f.s.kind").alias("s_kind"), F.col("f.s.iri").alias("s"), F.col("f.s.name").alias("s_name"), "f.p", F.col("f.o.kind").alias("o_kind"), F.col("f.o.iri").alias("o"), F.col("f.o.name").alias("o_name"),
+        F.col("f.o.value").alias("o_value"), F.array_join("f.scope", ",").alias("scope"), "f.spike", F.col("f.effective.from").alias("from"), F.col("f.effective.to").alias("to"), "f.weight", "f.current", "f.mutable", "e.type", F.col("e.propertyIri").alias("property_iri"),
+    )
+
+
+@query
+def answer_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of a ranked answer, in the order they are first seen."""
+    led = fixtures.load(spark, sf)
+    return envelope.nodes_of(search.recall_labels(led.facts, led.nodes, SCOPE, ["Order"], 50)).select("iri", "position")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -133,8 +133,8 @@ def build(spark: SparkSession, sf_dir: str) -> Ledger:
     )
     vec = c("vec_id").cast("string")
     refs = F.array(*(F.concat(F.lit(f"{S.NAMESPACE}:relationship/{x}-"), vec) for x in ("ob", "os", "missing")))
-    activations = t["embeddings"].filter("vec_id < 200").select(
-        F.concat(F.lit("act-"), vec).alias("id"), refs.alias("result_refs"), E.normalize(c("embedding").cast("array<double>")).alias("embedding"), (F.lit(1_700_000_000_000) + c("vec_id") * 1000).cast("long").alias("expires_at_ms")
+    activations = t["embeddings"].select(
+        F.concat(F.lit("act-"), vec).alias("id"), refs.alias("result_refs"), E.normalize(c("embedding").cast("array<double>")).alias("embedding"), (F.lit(1_700_000_000_000) + c("vec_id") % 200 * 1000).cast("long").alias("expires_at_ms")
     )
     union = lambda dfs: dfs[0] if len(dfs) == 1 else dfs[0].unionByName(union(dfs[1:]))
     return Ledger(union(nodes), union(facts), episodes, activations)

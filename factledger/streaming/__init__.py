@@ -1 +1 @@
-"""factledger streaming."""
+"""Streams over a ledger."""
