@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = "bucket int, kind int, payload binary"
 ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
-_OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
+_OPTIONS = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))
 
 
 def pack(columns: dict) -> bytes:

@@ -9,7 +9,8 @@ document that share an anchor form a run. Exactness needs nothing else: equal wi
    it repeats it whole. A run whose anchor piece also occurs in a different run is a probe.
 2. Probes are spread into their single windows, again dealt by sampled splitters of their leading units and sorted.
    Equal neighbours repeat, also across the border of two buckets: the first and last rows of all buckets are compared in a join.
-3. Documents gather what was found about them: which windows repeat, and a place that each of them repeats.
+3. Documents gather what was found about them: which windows repeat and, unless the first of equal windows stays, a place that each of
+   them repeats.
 
 Documents cross the network twice, as compressed blocks; nothing is ever joined pair by pair. The sample behind
 the splitters is bounded (about `SAMPLE_BYTES` of text, and `SAMPLE_ROWS` rows of each chunk) and decides only how evenly work is dealt, never
@@ -289,7 +290,7 @@ def compare_runs(kind: Kind, doc_buckets: int) -> Callable:
             number = np.cumsum(~again) - 1
             gone, source = repeated(doc, p, number, first, kind.first_stays)
             for what, is_probe in ((gone, 0), (probe, 1)):
-                cols = {"doc": doc[what], "p": p[what], "m": m[what]} | ({} if is_probe else {"from_doc": doc[source[what]], "from_p": p[source[what]]})
+                cols = {"doc": doc[what], "p": p[what], "m": m[what]} | ({} if is_probe or kind.first_stays else {"from_doc": doc[source[what]], "from_p": p[source[what]]})
                 found = list(packed.split(doc_bucket(cols["doc"], doc_buckets), cols, is_probe))
                 for i in range(0, len(found), 64):
                     yield packed.rows(found[i : i + 64])
@@ -410,7 +411,7 @@ def compare_windows(kind: Kind, doc_buckets: int) -> Callable:
             a, b, c, doc, p = a[order], b[order], c[order], doc[order], p[order]
             again = np.r_[False, (a[1:] == a[:-1]) & (b[1:] == b[:-1]) & (c[1:] == c[:-1])]
             gone, source = repeated(doc, p, np.cumsum(~again) - 1, np.flatnonzero(~again), kind.first_stays)
-            cols = {"doc": doc[gone], "p": p[gone], "m": np.ones(int(gone.sum()), np.uint16), "from_doc": doc[source[gone]], "from_p": p[source[gone]]}
+            cols = {"doc": doc[gone], "p": p[gone], "m": np.ones(int(gone.sum()), np.uint16)} | ({} if kind.first_stays else {"from_doc": doc[source[gone]], "from_p": p[source[gone]]})
             found = list(packed.split(doc_bucket(cols["doc"], doc_buckets), cols, 0))
             ends = [0, len(a) - 1]
             edge = {n: x[ends].view(np.int64) for n, x in (("a", a), ("b", b), ("c", c))} | {"doc": doc[ends], "p": p[ends].astype(np.int64)}
@@ -431,7 +432,7 @@ def across(windows: DataFrame, first_stays: bool, doc_buckets: int) -> DataFrame
         out = packed.Sender(SPAN)
         for batch in batches:
             doc, p, from_doc, from_p = (packed.column(batch, n) for n in ("doc", "p", "from_doc", "from_p"))
-            yield from out.add(doc_bucket(doc, doc_buckets), {"doc": doc, "p": p.astype(np.uint32), "m": np.ones(len(doc), np.uint16), "from_doc": from_doc, "from_p": from_p.astype(np.uint32)})
+            yield from out.add(doc_bucket(doc, doc_buckets), {"doc": doc, "p": p.astype(np.uint32), "m": np.ones(len(doc), np.uint16)} | ({} if first_stays else {"from_doc": from_doc, "from_p": from_p.astype(np.uint32)}))
         yield from out.flush()
 
     key = ["a", "b", "c"]
@@ -479,7 +480,7 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable, schema: str) -> DataF
                 if what != TEXT:
                     held.append(packed.unpack(payload))
                     continue
-                places = places or Places(held, ("from_doc", "from_p"))
+                places = places or Places(held, () if kind.first_stays else ("from_doc", "from_p"))
                 batch = packed.unpack(payload)
                 data, offsets = packed.texts(batch, "text")
                 ids = batch.column("id").to_numpy(zero_copy_only=False)
