@@ -1,13 +1,15 @@
 """Ranked retrieval of facts by text or labels, with the context that documents give.
 
-Text relevance is BM25 over tokens. The figures of the collection (rows, mean length, rows with each token) are one
-partially aggregated row; scores are then a projection, so nothing but matches is ever shuffled.
+Text relevance is BM25 over tokens. A stored token table gives the asked tokens' postings and nothing else; without one the
+figures of the collection (rows, mean length, rows with each token) are one partially aggregated row over all texts.
+Scores are a projection of both, so nothing but matches is ever shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,44 +89,73 @@ def context_subjects(hits: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def token_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, token, tf, length: the inverted table of a text column, to be stored beside a snapshot."""
+    """key, token, tf, length, at (places of the token): the inverted table of a text column, to be stored beside a snapshot.
+
+    Rows lie in ranges of (token, key), so a reader that asks for some tokens skips the rest, and a token that every row has is split.
+    """
     found = docs.select(key, E.tokens(F.col(text)).alias("tokens"))
-    one = found.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    return one.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    one = found.select(key, F.size("tokens").alias("length"), F.posexplode("tokens").alias("place", "token")).repartitionByRange("token", key)
+    return one.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("place")).alias("at")).select(key, "token", "tf", "length", "at")
+
+
+class Index(NamedTuple):
+    """A stored token table (key iri) with the number of rows that have a text and their mean length in tokens."""
+
+    postings: DataFrame
+    rows: float
+    mean: float
+
+
+class Lexicon(NamedTuple):
+    nodes: Index
+    facts: Index
 
 
-def indexed(docs: DataFrame, text: str) -> DataFrame:
-    """iri with the tokens a snapshot stores, or with the text they come from."""
-    return docs.select("iri", "tokens") if "tokens" in docs.columns else docs.select("iri", text)
+def searchable(facts: DataFrame) -> DataFrame:
+    return facts.filter(F.col("type").isin(*S.SEARCHABLE))
 
 
-def scored(docs: DataFrame, text: str, phrase: list[str], keywords: list[str]) -> DataFrame:
-    """docs with phrase_score and keyword_score: BM25 of the phrase where it stands, and of the keywords."""
+def sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def occurrences(source: DataFrame | Index, text: str, asked: list[str]) -> tuple[DataFrame, Column, Column]:
+    """iri, token, tf, length, at of the asked tokens, with the number of all rows and their mean length."""
+    if isinstance(source, Index):
+        return source.postings.filter(F.col("token").isin(asked)), F.lit(source.rows), F.lit(source.mean)
+    found = source if "tokens" in source.columns else source.withColumn("tokens", E.tokens(F.col(text)))
+    places = F.expr("filter(transform(tokens, (x, i) -> if(x = token, i, null)), i -> i is not null)")
+    wanted = found.select("iri", "tokens", F.explode(F.array_intersect("tokens", E.strings(asked))).alias("token"))
+    figures = found.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("tokens")).alias("mean"))).scalar()
+    return wanted.select("iri", "token", F.size("tokens").alias("length"), places.alias("at")).withColumn("tf", F.size("at")), figures.getField("n"), figures.getField("mean")
+
+
+def scored(source: DataFrame | Index, text: str, phrase: list[str], keywords: list[str], covered: Sequence[str] = ()) -> DataFrame:
+    """iri of rows with the phrase or a keyword, phrase_score and keyword_score (BM25), phrase_hit, and the share of `covered` they have."""
     asked = list(dict.fromkeys([*phrase, *keywords]))
-    found = docs if "tokens" in docs.columns else docs.withColumn("tokens", E.tokens(F.col(text)))
-    times = lambda token: F.size(F.filter("tokens", lambda x: x == token)).cast("double")
-    tf = [times(t) for t in asked]
-    counted = found.withColumns({f"tf{i}": c for i, c in enumerate(tf)})
-    in_rows = [F.sum(F.when(F.col(f"tf{i}") > 0, 1.0).otherwise(0.0)).alias(f"df{i}") for i in range(len(asked))]
-    figures = counted.agg(F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("tokens")).alias("mean"), *in_rows)).scalar()
-
-    def bm25(tokens: list[str]) -> Column:
-        total = F.lit(0.0)
-        for t in tokens:
-            i = asked.index(t)
-            rows = figures.getField(f"df{i}")
-            idf = F.log(1.0 + (figures.getField("n") - rows + 0.5) / (rows + 0.5))
-            norm = S.BM25_K1 * (1 - S.BM25_B + S.BM25_B * F.size("tokens") / figures.getField("mean"))
-            total = total + idf * F.col(f"tf{i}") * (S.BM25_K1 + 1) / (F.col(f"tf{i}") + norm)
-        return total
-
-    padded = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
-    exact = padded.contains(f" {' '.join(phrase)} ") if phrase else F.lit(False)
-    hit = exact
-    for t in keywords:
-        hit = hit | F.array_contains("tokens", t)
-    out = counted.filter(hit).withColumns({"phrase_score": F.when(exact, bm25(list(dict.fromkeys(phrase)))).otherwise(F.lit(0.0)), "keyword_score": bm25(keywords), "phrase_hit": exact})
-    return out.drop(*(f"tf{i}" for i in range(len(asked))))
+    found, n, mean = occurrences(source, text, asked)
+    in_rows = found.groupBy("token").agg(F.count(F.lit(1)).cast("double").alias("df"))  # a row for each asked token at most
+    idf = F.expr("ln(1.0d + (n - df + 0.5d) / (df + 0.5d))")
+    part = F.expr(f"idf * tf * {S.BM25_K1 + 1}d / (tf + {S.BM25_K1}d * ({1 - S.BM25_B}d + {S.BM25_B}d * length / mean))")
+    each = found.join(F.broadcast(in_rows), "token").withColumns({"n": n, "mean": mean}).withColumn("idf", idf).withColumn("part", part)
+    of = {t: f"c{i}" for i, t in enumerate(asked)}
+    own = [F.expr(f"max(CASE WHEN token = {sql_text(t)} THEN part END) AS {c}") for t, c in of.items()]
+    places = [F.expr(f"max(CASE WHEN token = {sql_text(t)} THEN at END) AS at_{of[t]}") for t in (dict.fromkeys(phrase) if len(phrase) > 1 else ())]
+    if not asked:
+        own = [F.expr("null AS none")]
+    total = lambda tokens: " + ".join(["0.0d", *(f"coalesce({of[t]}, 0.0d)" for t in tokens)])  # noqa: E731  in one order, so that equal rows score alike
+    exact = "false"
+    if len(phrase) == 1:
+        exact = f"{of[phrase[0]]} is not null"
+    elif phrase:
+        follow = " and ".join(f"array_contains(at_{of[t]}, x + {j})" for j, t in enumerate(phrase) if j)
+        exact = f"coalesce(exists(at_{of[phrase[0]]}, x -> {follow}), false)"
+    hit = " or ".join(["phrase_hit", *(f"{of[t]} is not null" for t in keywords)])
+    share = " + ".join(["0", *(f"int({of[t]} is not null)" for t in covered)])
+    hits = each.groupBy("iri").agg(*own, *places).withColumn("phrase_hit", F.expr(exact)).filter(hit)
+    return hits.selectExpr(
+        "iri", f"if(phrase_hit, {total(dict.fromkeys(phrase))}, 0.0d) AS phrase_score", f"{total(keywords)} AS keyword_score", "phrase_hit", f"double({share}) / {float(max(1, len(covered)))}d AS coverage"
+    )
 
 
 def property_facts(facts: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
@@ -135,19 +166,19 @@ def property_facts(facts: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     return facts.filter("valid_to is null and type = 'ASSERTS'").join(wanted, "property_iri", "left_semi").select("iri")
 
 
-def text_candidates(facts: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
-    """iri, score, exact, matched, coverage of every fact that any of the five channels finds."""
+def text_candidates(facts: DataFrame, nodes: DataFrame, text: str, lexicon: Lexicon | None = None) -> DataFrame:
+    """iri, score, exact, matched, coverage of every fact that any of the five channels finds.
+
+    With a lexicon only the asked tokens' postings are read; without one every text is cut into tokens.
+    """
     phrase, keywords = channels(text)
-    of_nodes = scored(indexed(nodes, "search_text"), "search_text", phrase, keywords)
-    node_score = F.greatest(F.when(F.col("phrase_hit"), S.EXACT_WEIGHT * F.col("phrase_score")).otherwise(0.0), S.KEYWORD_WEIGHT * F.col("keyword_score"))
-    ends = of_nodes.select(F.col("iri").alias("v"), node_score.alias("endpoint_score"))
+    of_nodes = scored(lexicon.nodes if lexicon else nodes, "search_text", phrase, keywords)
+    weighed = F.greatest(F.when(F.col("phrase_hit"), S.EXACT_WEIGHT * F.col("phrase_score")).otherwise(0.0), S.KEYWORD_WEIGHT * F.col("keyword_score"))
+    ends = of_nodes.select(F.col("iri").alias("v"), weighed.alias("endpoint_score"))
     incident = T.half_edges(facts.select("iri", "s_iri", "o_iri")).select("iri", "v").join(ends, "v")
     by_end = incident.select("iri", F.lit(0.0).alias("fact_score"), F.lit(0).alias("exact"), "endpoint_score", F.lit(0.0).alias("coverage"))
-    texts = scored(indexed(facts.filter(F.col("type").isin(*S.SEARCHABLE)), "fact_text"), "fact_text", phrase, keywords)
-    fact_score = F.greatest(F.when(F.col("phrase_hit"), S.EXACT_WEIGHT * F.col("phrase_score")).otherwise(0.0), S.KEYWORD_WEIGHT * F.col("keyword_score"))
-    asked = query_keywords(text)
-    cover = E.coverage(E.strings(asked), F.col("tokens")) if asked else F.lit(0.0)
-    by_fact = texts.select("iri", fact_score.alias("fact_score"), F.col("phrase_hit").cast("int").alias("exact"), F.lit(0.0).alias("endpoint_score"), cover.alias("coverage"))
+    texts = scored(lexicon.facts if lexicon else searchable(facts), "fact_text", phrase, keywords, query_keywords(text))
+    by_fact = texts.select("iri", weighed.alias("fact_score"), F.col("phrase_hit").cast("int").alias("exact"), F.lit(0.0).alias("endpoint_score"), "coverage")
     by_property = property_facts(facts, nodes, text).select("iri", F.lit(1.0).alias("fact_score"), F.lit(1).alias("exact"), F.lit(0.0).alias("endpoint_score"), F.lit(0.0).alias("coverage"))
     each = by_end.unionAll(by_fact).unionAll(by_property)
     best = each.groupBy("iri").agg(*(F.max(c).alias(c) for c in ("fact_score", "exact", "endpoint_score", "coverage")))
@@ -158,8 +189,8 @@ def text_candidates(facts: DataFrame, nodes: DataFrame, text: str) -> DataFrame:
     )
 
 
-def recall_text(facts: DataFrame, nodes: DataFrame, scope: Sequence[str], text: str, limit: int = S.DEFAULT_LIMIT, at: str | None = None, labels: Sequence[str] = ()) -> DataFrame:
-    return rank(facts, nodes, scope, limit, at, labels, text_candidates(facts, nodes, text))
+def recall_text(facts: DataFrame, nodes: DataFrame, scope: Sequence[str], text: str, limit: int = S.DEFAULT_LIMIT, at: str | None = None, labels: Sequence[str] = (), lexicon: Lexicon | None = None) -> DataFrame:
+    return rank(facts, nodes, scope, limit, at, labels, text_candidates(facts, nodes, text, lexicon))
 
 
 def recall_labels(facts: DataFrame, nodes: DataFrame, scope: Sequence[str], labels: Sequence[str], limit: int = S.DEFAULT_LIMIT, at: str | None = None) -> DataFrame:

@@ -182,19 +182,19 @@ def token_postings(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def recall_text(spark: SparkSession, sf: str) -> DataFrame:
     led = fixtures.load(spark, sf)
-    return _ranked(search.recall_text(led.facts, led.nodes, SCOPE, D.TEXT))
+    return _ranked(search.recall_text(led.facts, led.nodes, SCOPE, D.TEXT, lexicon=fixtures.lexicon(spark, sf)))
 
 
 @query
 def recall_text_phrase(spark: SparkSession, sf: str) -> DataFrame:
     led = fixtures.load(spark, sf)
-    return _ranked(search.recall_text(led.facts, led.nodes, EVERY, D.PHRASE, 50))
+    return _ranked(search.recall_text(led.facts, led.nodes, EVERY, D.PHRASE, 50, lexicon=fixtures.lexicon(spark, sf)))
 
 
 @query
 def text_candidates(spark: SparkSession, sf: str) -> DataFrame:
     led = fixtures.load(spark, sf)
-    return search.text_candidates(led.facts, led.nodes, D.TEXT).select("iri", F.round("score", 6).alias("score"), F.col("exact").cast("long").alias("exact"), "matched", F.round("evidence", 6).alias("evidence"))
+    return search.text_candidates(led.facts, led.nodes, D.TEXT, fixtures.lexicon(spark, sf)).select("iri", F.round("score", 6).alias("score"), F.col("exact").cast("long").alias("exact"), "matched", F.round("evidence", 6).alias("evidence"))
 
 
 @query
@@ -239,18 +239,18 @@ def convergence_pick(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("id", F.round("similarity", 6).alias("similarity"), F.round("overlap", 6).alias("overlap"))
 
 
-def _hits(led: fixtures.Ledger) -> DataFrame:
-    return search.recall_text(led.facts, led.nodes, EVERY, D.PHRASE, S.MAX_LIMIT)
+def _hits(spark: SparkSession, sf: str, led: fixtures.Ledger) -> DataFrame:
+    return search.recall_text(led.facts, led.nodes, EVERY, D.PHRASE, S.MAX_LIMIT, lexicon=fixtures.lexicon(spark, sf))
 
 
 @query
 def rrf_direct(spark: SparkSession, sf: str) -> DataFrame:
-    return semantic.direct_evidence(_hits(fixtures.load(spark, sf))).select("iri", F.round("contribution", 6).alias("contribution"), "eligible")
+    return semantic.direct_evidence(_hits(spark, sf, fixtures.load(spark, sf))).select("iri", F.round("contribution", 6).alias("contribution"), "eligible")
 
 
 def _fused(spark: SparkSession, sf: str, limit: int | None) -> tuple[fixtures.Ledger, DataFrame]:
     led, near = _near(spark, sf)
-    return led, semantic.fuse(_hits(led), semantic.live(near, fixtures.NOW_MS), led.facts, led.nodes, EVERY, limit)
+    return led, semantic.fuse(_hits(spark, sf, led), semantic.live(near, fixtures.NOW_MS), led.facts, led.nodes, EVERY, limit)
 
 
 @query

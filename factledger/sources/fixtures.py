@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from factledger import schema as S
 from factledger.functions import exprs as E
+from factledger.operators import search
 from factledger.sources.store import scratch
 
 _STORED: dict[tuple[str, str], str] = {}
+_LEXICON: dict[tuple[str, str], search.Lexicon] = {}
 NOW_MS = 1_700_000_100_000
 
 
@@ -79,13 +81,25 @@ def load(spark: SparkSession, sf_dir: str) -> Ledger:
     if key not in _STORED:
         folder = scratch(spark)
         for name, df in zip(Ledger._fields, build(spark, sf_dir), strict=True):
-            text = {"nodes": "search_text", "facts": "fact_text"}.get(name)
-            df = df.withColumn("tokens", E.tokens(F.col(text))) if text else df  # the lexical index of a snapshot
             df.write.parquet(f"{folder}/{name}")
         _STORED[key] = folder
     return Ledger(*(spark.read.parquet(f"{_STORED[key]}/{name}") for name in Ledger._fields))
 
 
+def lexicon(spark: SparkSession, sf_dir: str) -> search.Lexicon:
+    """The token tables of a snapshot's nodes and facts: built and written once, then read by every text query."""
+    led, key = load(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LEXICON:
+        made = []
+        for name, docs, text in (("nodes", led.nodes, "search_text"), ("facts", search.searchable(led.facts), "fact_text")):
+            path = f"{_STORED[key]}/{name}_tokens"
+            search.token_table(docs, "iri", text).write.parquet(path)
+            rows, mean = docs.agg(F.count(F.lit(1)).cast("double"), F.avg(F.size(E.tokens(F.col(text))))).first()
+            made.append(search.Index(spark.read.parquet(path), rows, mean or 0.0))
+        _LEXICON[key] = search.Lexicon(*made)
+    return _LEXICON[key]
+
+
 def build(spark: SparkSession, sf_dir: str) -> Ledger:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "embeddings")}
     c = F.col
