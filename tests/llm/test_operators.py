@@ -291,6 +291,22 @@ def test_top_k(spark):
     assert topk.top_k(vectors.limit(0)).count() == 0
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    """Each row is its own candidate and query; one id has many rows, and there are two shards."""
+    rng = np.random.default_rng(4)
+    ids = np.r_[np.arange(8200) % 4100, np.full(300, 50)]
+    v = rng.normal(size=(len(ids), 4))
+    v[4100:4200] = v[:100]  # equal copies under one id
+    vectors = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v, strict=True)], "vec_id long, embedding array<double>").repartition(4)
+    whole, want = np.floor(256 * v), []
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = whole @ whole[q]
+        order = np.lexsort([ids, -score])
+        best = order[order != q][:5]
+        want += [(int(ids[q]), n, int(ids[c]), int(score[c])) for n, c in enumerate(best, 1)]
+    assert sorted(tuple(r) for r in topk.top_k(vectors).collect()) == sorted(want)
+
+
 def test_html(spark):
     frame = '<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href="/">Home</a></nav><div class="top">Site name</div><article><h1>Head {0}</h1><p>One &amp; two\n  {0}<p>Three <b>bo</b>ld {0}</article><div class="comments"><p>nice {0}</p></div><footer>foot</footer><script>x()</script></body></html>'
     pages = [(i, f"http://h.org/{i}", frame.format(i)) for i in range(12)] + [(20, "http://h.org/z", None), (21, None, ""), (22, "http://o.org", "plain &lt;text&gt;"), (23, None, "<p>a<br>b")]
