@@ -196,13 +196,24 @@ class FactLedger:
         """Assert facts in order, all or none. What is there already only gains layers."""
         bounded(facts, "facts")
         scope = N.layers(scope)
-        return self.store.mutate(lambda base: self._write(base, facts, scope, note))
+        return self._suggesting(scope, self.store.mutate(lambda base: self._write(base, facts, scope, note)))
+
+    def _suggesting(self, scope: list[str], answer: dict) -> dict:
+        """An answer with the merges (a hundred at most) that its new nodes suggest."""
+        found = resolve.suggestions(self.table("nodes"), scope, answer["created"]).collect() if answer["created"] else []
+        return answer | {"suggestions": [{"source": x.source, "target": x.target, "similarity": x.similarity} for x in found]}
+
+    def _family(self, base: int, subjects: set[str], properties: set[str], objects: set[str]) -> dict[str, dict]:
+        """Current facts that new ones of these subjects and properties can repeat or contradict, and contradictions of the objects."""
+        kinds = {N.local_name(p).upper() for p in properties} & set(S.STRUCTURAL)
+        same = F.col("s_iri").isin(*subjects) & (F.col("property_iri").isin(*properties) | F.col("type").isin(*kinds))
+        known = (F.col("type") == "CONTRADICTS") & F.col("s_iri").isin(*objects)
+        return {r["iri"]: r.asDict() for r in self.table("facts", base).filter(F.col("valid_to").isNull() & (same | known)).collect()}
 
     def _write(self, base: int, items: list[dict], scope: list[str], note: str | None) -> tuple[dict, dict]:
         asked = [(self._node_of(x["s"]), N.mint_iri(x["p"], "property"), self._node_of(x["o"])) for x in items]
         nodes = self._rows("nodes", base, "iri", {i for s, p, o in asked for i in (s["iri"], p, o["iri"])})
-        subjects = {s["iri"] for s, _, _ in asked}
-        facts = {r["iri"]: r.asDict() for r in self.table("facts", base).filter(F.col("s_iri").isin(*subjects) & F.col("valid_to").isNull()).collect()}
+        facts = self._family(base, {s["iri"] for s, _, _ in asked}, {p for _, p, _ in asked}, {o["iri"] for _, _, o in asked})
         episode, answers = self._episode("write", note), []
         new_nodes, new_facts, created = {}, {}, []
         for item, (s, prop, o) in zip(items, asked, strict=True):
@@ -302,20 +313,21 @@ class FactLedger:
             stamp = lambda x: x and x.isoformat() + "Z"
             effective = more["effective"] if "effective" in more else inherited and {k: stamp(v) for k, v in inherited.items()}
             if o["iri"] == old["o_iri"] and N.interval(effective) == (bool(old["eff_qualified"]), old["eff_from"], old["eff_to"]):
-                return {}, {"fact": target, "episode": None, "changed": False}
-            facts = {r["iri"]: r.asDict() for r in self.table("facts", base).filter((F.col("s_iri") == old["s_iri"]) & F.col("valid_to").isNull()).collect()}
+                return {}, {"fact": target, "episode": None, "changed": False, "created": []}
+            facts = self._family(base, {old["s_iri"]}, {old["property_iri"]}, {o["iri"]})
             new_nodes: dict = {}
+            created: list = []
             taken = self._take(old, scope, episode["at"], episode["iri"])
             facts[target] = taken
             new_facts = {target: taken}
             item = {"effective": effective, "spike": more.get("spike") or old["spike"], "contradicts": more.get("contradicts"), "reason": reason}
-            answer = self._assert(item, nodes[old["s_iri"]], old["property_iri"], o, scope, episode, nodes, facts, new_nodes, new_facts, [])
+            answer = self._assert(item, nodes[old["s_iri"]], old["property_iri"], o, scope, episode, nodes, facts, new_nodes, new_facts, created)
             made = f"{S.NAMESPACE}:relationship/{self.new_id()}"
             new_facts[made] = {"iri": made, "type": "SUPERSEDES", "property_iri": f"{S.NAMESPACE}:property/SUPERSEDES", "s_iri": o["iri"], "o_iri": old["o_iri"], "layers": list(scope), "weight": 0, "valid_from": episode["at"], "eff_qualified": False, "episode_id": episode["iri"], "fact_text": N.fact_text(o["iri"], "SUPERSEDES", old["o_iri"]), "reason": reason}
             episode |= {"previous_fact_iri": target, "replacement_fact_iri": answer["iri"], "supersedes_iri": made, "selected_scope": scope}
-            return self._done(episode, new_nodes, new_facts), {"fact": answer["iri"], "episode": episode["iri"], "changed": True}
+            return self._done(episode, new_nodes, new_facts), {"fact": answer["iri"], "episode": episode["iri"], "changed": True, "created": created}
 
-        return self.store.mutate(plan)
+        return self._suggesting(scope, self.store.mutate(plan))
 
     def withdraw(self, scope: list[str], target: str | None = None, subject: str | None = None, p: str | None = None, reason: str | None = None) -> dict:
         """Take one fact, or all of a subject (and property) that this scope may change, out of the scope."""

@@ -79,3 +79,18 @@ def test_answers_guards_and_feed(spark, tmp_path):
     follow(led.store, "facts", lambda df, v: seen.append((v, df.count())), f"file://{tmp_path}/point").awaitTermination()
     assert seen[1:] == [(led.store.version(), 1)]
     assert S.MAX_LIMIT == 100
+
+
+def test_changes_suggest_merges_and_contradict_once(spark, tmp_path):
+    led = FactLedger(spark, f"file://{tmp_path}/led")
+    first = led.write([{"s": {"name": "Stone Harbour"}, "p": "liesIn", "o": {"name": "North Bay"}}], ["a"])
+    assert first["suggestions"] == []
+    again = led.write([{"s": {"name": "Stone Harbours"}, "p": "liesIn", "o": {"name": "South Coast"}}], ["a"])
+    assert [(x["source"], x["target"]) for x in again["suggestions"]] == [("kg:element/stone-harbours", "kg:element/stone-harbour")]
+    got = led.revise(["a"], again["facts"][0]["iri"], {"name": "North Bays"})
+    assert [(x["source"], x["target"]) for x in got["suggestions"]] == [("kg:element/north-bays", "kg:element/north-bay")]
+    for value in ("East Isle", "West Isle"):
+        led.write([{"s": {"name": "Stone Harbour"}, "p": "liesIn", "o": {"name": value}, "contradicts": True}], ["a"])
+    led.write([{"s": {"name": "Stone Harbour"}, "p": "liesIn", "o": {"name": "West Isle"}, "contradicts": True}], ["b"])
+    edges = led.table("facts").filter("type = 'CONTRADICTS'").select("s_iri", "o_iri").collect()
+    assert len(edges) == len(set(edges)) and len(edges) >= 2
