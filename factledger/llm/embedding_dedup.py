@@ -239,7 +239,7 @@ ORACLE = f"""
 WITH RECURSIVE given AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 v AS (
     SELECT r, vec_id, label, len(e) AS size, e, sqrt(list_inner_product(e, e)) AS norm FROM given
-    WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0
+    WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
 ),
 links AS (
     SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.size = b.size AND a.r <> b.r

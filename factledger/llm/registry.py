@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.llm import embedding_dedup, html_extract, mixing, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, topk, url_filter
+from factledger.llm import embedding_dedup, html_extract, mixing, packing, quality_classifier, quality_rules, seen_lines, simhash, substring_dedup, suffix_dedup, topk, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_classifier": quality_classifier.op8_quality_classifier,
         "op9_simhash": simhash.op9_simhash,
         "op10_exact_topk": topk.op10_exact_topk,
+        "op11_seen_lines": seen_lines.op11_seen_lines,
         "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
     }
 
@@ -27,5 +28,6 @@ def oracle_sql() -> dict:
         "op5_url_filter": url_filter.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op10_exact_topk": topk.ORACLE,
+        "op11_seen_lines": seen_lines.ORACLE,
         "op13_embedding_dedup": embedding_dedup.ORACLE,
     }
