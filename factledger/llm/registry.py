@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factledger.llm import embedding_dedup, html_extract, mixing, packing, quality_classifier, quality_rules, seen_lines, simhash, substring_dedup, suffix_dedup, topk, url_filter
+from factledger.llm import embedding_dedup, html_extract, mixing, packing, quality_classifier, quality_rules, seen_lines, simhash, substring_dedup, suffix_dedup, token_align, topk, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_exact_topk": topk.op10_exact_topk,
         "op11_seen_lines": seen_lines.op11_seen_lines,
+        "op12_token_align": token_align.op12_token_align,
         "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
     }
 
