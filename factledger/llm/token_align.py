@@ -23,6 +23,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from factledger.llm.packing import ranges, tokenizer_path
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a chunk; longest segment that is looked up again; tokens that the cache may hold.
-CHUNK_BYTES, SHORT, CACHED = 4 << 20, 64, 1_500_000
+CHUNK_BYTES, SHORT, CACHED = 4 << 20, 64, 8_000_000
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -61,16 +62,19 @@ class Vocabulary:
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        names = byte_names()
+        stands = byte_names()
         entries = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
-        self.a_bytes = [bytes(names[c] for c in x) if all(c in names for c in x) else x.encode() for x in entries]
+        self.a_bytes = [bytes(stands[c] for c in x) if all(c in stands for c in x) else x.encode() for x in entries]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.b.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(pieces)]
         if any("▁" in x.lstrip("▁") for x in pieces):
             raise ValueError("a piece spans a space behind another character: texts can't be cut before spaces")
         self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.names = [str(i) for i in range(max(len(entries), len(pieces)))]
+        self.a_flat, self.b_flat = b"".join(self.a_bytes), b"".join(self.b_bytes)
+        names = [str(i).encode() for i in range(max(len(entries), len(pieces)))]
+        self.name_size = np.array([len(x) for x in names], np.int64)
+        self.name_begin, self.name_flat = np.cumsum(self.name_size) - self.name_size, np.frombuffer(b"".join(names), np.uint8)
 
     @property
     def base(self) -> int:
@@ -100,8 +104,23 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def spelled(ids: np.ndarray, sizes: np.ndarray, tokens: bytes) -> np.ndarray:
+    """The bytes of these tokens, one behind the other, from all tokens' bytes in a line."""
+    begin = np.cumsum(sizes) - sizes
+    return np.frombuffer(tokens, np.uint8)[ranges(begin[ids], sizes[ids])]
+
+
+def says_all(data: np.ndarray, size: np.ndarray, ids: np.ndarray, n: np.ndarray, sizes: np.ndarray, tokens: bytes) -> np.ndarray:
+    """Which segments (data, size) their tokens (ids, n) give back byte for byte."""
+    of = np.repeat(np.arange(len(n)), n)
+    good = np.bincount(of, sizes[ids], len(n)).astype(np.int64) == size
+    at = np.repeat(good, size)
+    wrong = spelled(ids[good[of]], sizes, tokens) != data[at]
+    return good & (np.bincount(np.repeat(np.arange(len(n)), size)[at][wrong], minlength=len(n)) == 0)
+
+
 class Aligner:
-    """Segments by number: tokens, groups and linked pairs of each."""
+    """Segments by number: tokens, groups and linked pairs of each, in flat arrays."""
 
     def __init__(self, words: Vocabulary) -> None:
         self.words = words
@@ -109,19 +128,20 @@ class Aligner:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.whole: list[bool] = []
-        self.groups: list[bytes] = []
-        self.codes: list[np.ndarray] = []
-        self.held = 0
+        self.n = self.held = 0
+        self.parts: dict[str, list[np.ndarray]] = {k: [] for k in ("counts", "whole", "codes", "groups", "n_chars")}
+
+    def flat(self, name: str) -> np.ndarray:
+        """All segments' values, one behind the other."""
+        self.parts[name] = [np.concatenate(self.parts[name])] if self.parts[name] else []
+        return self.parts[name][0] if self.parts[name] else np.zeros((0, 4) if name == "counts" else 0, np.int64)
 
     def numbers(self, found: list[bytes]) -> np.ndarray:
         """The numbers of these different segments; new ones are encoded and aligned."""
         new = [x for x in found if x not in self.known]
-        first = len(self.groups)
-        fresh = dict(zip(new, range(first, first + len(new)), strict=True))
-        for i in range(0, len(new), 4096):
-            self.add(new[i : i + 4096])
+        fresh = dict(zip(new, range(self.n, self.n + len(new)), strict=True))
+        for i in range(0, len(new), 8192):
+            self.add(new[i : i + 8192])
         out = np.fromiter((fresh[x] if x in fresh else self.known[x] for x in found), np.int64, len(found))
         self.known.update((x, k) for x, k in fresh.items() if len(x) <= SHORT)
         return out
@@ -129,28 +149,37 @@ class Aligner:
     def add(self, new: list[bytes]) -> None:
         words = self.words
         text, space = [x.decode() for x in new], [words.b.piece_to_id("▁")]
-        a = [x.ids for x in words.a.encode_batch_fast(text, add_special_tokens=False)]
-        b = [ids or space for ids in words.b.encode([x[1:] for x in text], num_threads=1)]  # to nothing at all it adds no space
-        whole = [b"".join([words.a_bytes[i] for i in x]) == s == b"".join([words.b_bytes[i] for i in y]) for s, x, y in zip(new, a, b, strict=True)]
-        a, b = ([x if ok else [] for x, ok in zip(side, whole, strict=True)] for side in (a, b))
-        a_ids, b_ids = (np.fromiter((i for x in side for i in x), np.int64) for side in (a, b))
-        a_end, b_end = np.cumsum(words.a_size[a_ids]), np.cumsum(words.b_size[b_ids])
-        of_a, of_b, border = align(a_end, b_end)
-        code = a_ids[of_a] * words.base + b_ids[of_b]
-        a_cut, b_cut = (np.searchsorted(end, border, "right").tolist() for end in (a_end, b_end))
-        a_name, b_name = ([words.names[i] for i in ids.tolist()] for ids in (a_ids, b_ids))
-        group = [f"{','.join(a_name[i:j])}|{','.join(b_name[k:m])}" for i, j, k, m in zip([0, *a_cut], a_cut, [0, *b_cut], b_cut, strict=False)]
-        ends = np.cumsum([len(s) if ok else 0 for s, ok in zip(new, whole, strict=True)])
-        last_a = np.cumsum([len(x) for x in a])
-        last_link, last_group = np.searchsorted(of_a, last_a, "left"), np.searchsorted(border, ends, "right")
-        for k, ok in enumerate(whole):
-            links = slice(last_link[k - 1] if k else 0, last_link[k])
-            groups = group[last_group[k - 1] if k else 0 : last_group[k]]
-            self.whole.append(ok)
-            self.codes.append(code[links])
-            self.groups.append(";".join(groups).encode())
-            self.counts.append((len(a[k]), len(b[k]), len(groups), links.stop - links.start))
-            self.held += len(a[k]) + len(b[k]) + 16
+        sides = [x.ids for x in words.a.encode_batch_fast(text, add_special_tokens=False)], [ids or space for ids in words.b.encode([x[1:] for x in text], num_threads=1)]  # to nothing at all B adds no space
+        n = [np.fromiter(map(len, x), np.int64, len(new)) for x in sides]
+        ids = [np.array(list(chain.from_iterable(x)), np.int64) for x in sides]
+        data, size = np.frombuffer(b"".join(new), np.uint8), np.fromiter(map(len, new), np.int64, len(new))
+        whole = np.logical_and(*(says_all(data, size, *x) for x in zip(ids, n, (words.a_size, words.b_size), (words.a_flat, words.b_flat), strict=True)))
+        ids = [i[np.repeat(whole, k)] for i, k in zip(ids, n, strict=True)]
+        n = [k * whole for k in n]
+        end = [np.cumsum(sizes[i]) for i, sizes in zip(ids, (words.a_size, words.b_size), strict=True)]
+        of_a, of_b, border = align(*end)
+        ends = np.cumsum(size * whole)
+        last_link, last_group = np.searchsorted(of_a, np.cumsum(n[0]), "left"), np.searchsorted(border, ends, "right")
+        n_links, n_groups = np.diff(last_link, prepend=0), np.diff(last_group, prepend=0)
+        # names of ids by group, A before B, each with the sign behind it
+        group = np.concatenate([np.searchsorted(border, e, "left") * 2 + k for k, e in enumerate(end)])
+        order = np.argsort(group, kind="stable")
+        group, name = group[order], np.concatenate(ids)[order]
+        same = np.r_[group[1:] == group[:-1], False]
+        sign = np.where(same, ord(","), np.where(group % 2 == 0, ord("|"), ord(";"))).astype(np.uint8)
+        begin, long = words.name_begin[name], words.name_size[name]
+        close = np.cumsum(long + 1)
+        line = np.zeros(int(close[-1]) if len(close) else 0, np.uint8)
+        line[close - 1] = sign
+        line[ranges(close - long - 1, long)] = words.name_flat[ranges(begin, long)]
+        until = np.searchsorted(group, 2 * last_group, "left")  # tokens of the segments so far
+        self.parts["n_chars"].append(np.diff(np.r_[0, close][until], prepend=0))
+        self.parts["groups"].append(line)
+        self.parts["codes"].append(ids[0][of_a] * words.base + ids[1][of_b])
+        self.parts["whole"].append(whole)
+        self.parts["counts"].append(np.stack([*n, n_groups, n_links], axis=1))
+        self.n += len(new)
+        self.held += int(n[0].sum() + n[1].sum()) + 8 * len(new)
 
 
 class Chunk:
@@ -181,22 +210,22 @@ class Chunk:
         """Columns of the chunk's row: documents as they are, pairs with the number of documents that hold each, and what is needed to add up counts later."""
         al, size, number = self.aligner, np.concatenate(self.sizes), np.concatenate(self.numbers)
         used, local = np.unique(number, return_inverse=True)
-        counts = np.array([al.counts[k] for k in used.tolist()], np.int64).reshape(-1, 4)
-        broken = np.array([not al.whole[k] for k in used.tolist()], bool)
-        codes = [al.codes[k] for k in used.tolist()]
+        counts, broken, n_chars = al.flat("counts")[used], ~al.flat("whole").astype(bool)[used], al.flat("n_chars")
+        until, text = np.cumsum(n_chars), memoryview(al.flat("groups").astype(np.uint8))
+        groups = [bytes(text[a:b]) for a, b in zip((until - n_chars)[used].tolist(), until[used].tolist(), strict=True)]
         of = np.repeat(np.arange(len(size)), size)
         spoilt = np.bincount(of[broken[local]], minlength=len(size)) > 0
         fine = (size > 0) & ~spoilt
         sums = [np.bincount(of, counts[local, i], len(size)).astype(np.int64) * fine for i in range(4)]
         digests, at = [], np.r_[0, np.cumsum(size)]
         for k in range(len(size)):
-            names = [al.groups[i] for i in number[at[k] : at[k + 1]].tolist()] if fine[k] else []
-            digests.append(hashlib.sha256(b";".join(names)).hexdigest() if names else "")
+            line = b"".join([groups[i] for i in local[at[k] : at[k + 1]].tolist()]) if fine[k] else b""
+            digests.append(hashlib.sha256(memoryview(line)[:-1]).hexdigest() if line else "")
         keep = fine[of]
         key, times = np.unique(of[keep] * len(used) + local[keep], return_counts=True)  # different segments of each document
         doc, segment = key // max(1, len(used)), key % max(1, len(used))
-        pair, dense = np.unique(np.concatenate(codes) if codes else np.zeros(0, np.int64), return_inverse=True)
-        n_codes = np.array([len(c) for c in codes], np.int64)
+        n_codes, all_codes = counts[:, 3], al.flat("counts")[:, 3]
+        pair, dense = np.unique(al.flat("codes")[ranges((np.cumsum(all_codes) - all_codes)[used], n_codes)], return_inverse=True)
         begin = np.cumsum(n_codes) - n_codes
         df, stamp = np.zeros(len(pair), np.int64), np.zeros(len(pair), np.int64)
         cuts = np.searchsorted(doc, np.arange(len(size) + 1))
