@@ -67,9 +67,10 @@ class FactLedger:
             raise InvalidInput("depth is 1 to 3, direction both, outgoing or incoming, hops 0 or 1")
         scope = N.layers(scope)
         at = str(N.instant(effective_at)) if effective_at else None
-        nodes, facts = self.table("nodes"), self.table("facts")
+        now = self.store.version()
+        nodes, facts = self.table("nodes", now), self.table("facts", now)
         if history is not None:
-            episodes = self.table("episodes")
+            episodes = self.table("episodes", now)
             of_fact = N.kind_of(history) == "relationship"
             shown, changed = (lookup.history_fact, lookup.revisions_fact) if of_fact else (lookup.history_node, lookup.revisions_node)
             return {"facts": shown(facts, nodes, episodes, scope, history, limit), "revisions": changed(facts, nodes, episodes, scope, history, limit)}
@@ -93,7 +94,7 @@ class FactLedger:
         else:
             if not text.strip():
                 raise InvalidInput("text is empty")
-            hits = search.recall_text(facts, nodes, scope, text.strip(), limit, at)
+            hits = search.recall_text(facts, nodes, scope, text.strip(), limit, at, lexicon=self.store.lexicon(now))
         return {"facts": hits, "about": search.about_context(facts, nodes, scope, search.context_subjects(hits, nodes), limit)}
 
     def answer(self, scope: list[str], limit: int = S.DEFAULT_LIMIT, concise: bool = False, effective_at: str | None = None, **asked: object) -> dict:
@@ -102,8 +103,9 @@ class FactLedger:
             raise InvalidInput("text or labels, and a limit of 1 to 100")
         scope = N.layers(scope)
         at = str(N.instant(effective_at)) if effective_at else None
-        find = search.recall_text if "text" in asked else search.recall_labels
-        hits = find(self.table("facts"), self.table("nodes"), scope, next(iter(asked.values())), limit + 1, at)
+        now = self.store.version()
+        facts, nodes = self.table("facts", now), self.table("nodes", now)
+        hits = search.recall_text(facts, nodes, scope, asked["text"], limit + 1, at, lexicon=self.store.lexicon(now)) if "text" in asked else search.recall_labels(facts, nodes, scope, asked["labels"], limit + 1, at)
         facts, more = envelope.page(hits, limit, scope)
         return envelope.finish(facts, more, concise=concise)
 
@@ -119,9 +121,10 @@ class FactLedger:
         at = str(N.instant(effective_at)) if effective_at else None
         vector = semantic.unit(self.provider.embed(text.strip()))
         now = int(self.clock().replace(tzinfo=timezone.utc).timestamp() * 1000)
-        nodes, facts = self.table("nodes"), self.table("facts")
-        hits = search.recall_text(facts, nodes, scope, text.strip(), S.MAX_LIMIT, at, labels)
-        near = semantic.live(semantic.nearest(self.table("activations"), vector, self.settings), now, self.settings)
+        base = self.store.version()
+        nodes, facts = self.table("nodes", base), self.table("facts", base)
+        hits = search.recall_text(facts, nodes, scope, text.strip(), S.MAX_LIMIT, at, labels, self.store.lexicon(base))
+        near = semantic.live(semantic.nearest(self.table("activations", base), vector, self.settings), now, self.settings)
         fused = semantic.fuse(hits, near, facts, nodes, scope, None, labels, at, self.settings)
         refs = [r["iri"] for r in semantic.bundle(fused, facts).orderBy("place").collect()]  # three at most
         known = semantic.resolved(facts, nodes, scope, labels, at)

@@ -91,11 +91,14 @@ def context_subjects(hits: DataFrame, nodes: DataFrame) -> DataFrame:
 def token_table(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, token, tf, length, at (places of the token): the inverted table of a text column, to be stored beside a snapshot.
 
-    Rows lie in ranges of (token, key), so a reader that asks for some tokens skips the rest, and a token that every row has is split.
+    Each row's different tokens and their places are found within the row; only finished postings are shuffled. They lie in ranges of (token, key), sorted, so a
+    reader that asks for some tokens skips the rest, and a token that every row has is split.
     """
     found = docs.select(key, E.tokens(F.col(text)).alias("tokens"))
-    one = found.select(key, F.size("tokens").alias("length"), F.posexplode("tokens").alias("place", "token")).repartitionByRange("token", key)
-    return one.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"), F.array_sort(F.collect_list("place")).alias("at")).select(key, "token", "tf", "length", "at")
+    each = found.select(key, "tokens", F.explode(F.array_distinct("tokens")).alias("token"))
+    places = F.expr("filter(transform(tokens, (x, i) -> if(x = token, i, null)), i -> i is not null)")
+    one = each.select(key, "token", F.size("tokens").alias("length"), places.alias("at"))
+    return one.select(key, "token", F.size("at").cast("long").alias("tf"), "length", "at").repartitionByRange("token", key).sortWithinPartitions("token", key)
 
 
 class Index(NamedTuple):

@@ -273,6 +273,11 @@ i AS (SELECT unnest({lst(IRIS)}) AS v, generate_subscripts({lst(IRIS)}, 1) - 1 A
         "token_postings": one(f"t AS (SELECT iri, {tokens('search_text')} AS t FROM nodes), u AS (SELECT iri, len(t) AS length, unnest(t) AS token FROM t)", "SELECT iri, token, count(*) AS tf, any_value(length)::BIGINT AS length FROM u GROUP BY 1, 2"),
         "recall_text": one(ranked(SCOPE, 20, candidates=candidates(TEXT)).strip(), RANKED),
         "recall_text_phrase": one(ranked(EVERY, 50, candidates=candidates(PHRASE)).strip(), RANKED),
+        "store_recall_text": one(ranked(SCOPE, 20, candidates=candidates(TEXT)).strip(), RANKED),
+        "store_postings": one(
+            f"d AS (SELECT iri, search_text AS x FROM nodes UNION ALL SELECT iri, fact_text FROM facts WHERE type IN {inside(S.SEARCHABLE)}), t AS (SELECT iri, {tokens('x')} AS t FROM d), u AS (SELECT iri, len(t) AS length, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS place FROM t)",
+            "SELECT iri, token, count(*) AS tf, any_value(length)::BIGINT AS length, string_agg(place, ',' ORDER BY place) AS places FROM u GROUP BY 1, 2",
+        ),
         "text_candidates": one(candidates(TEXT).strip().rstrip(","), "SELECT iri, round(score, 6) AS score, exact::BIGINT AS exact, matched, round(evidence, 6) AS evidence FROM cand"),
         "property_channel": one("", "SELECT iri FROM facts WHERE valid_to IS NULL AND type = 'ASSERTS' AND property_iri = 'kg:property/placedBy'"),
         "activation_knn": f"WITH {ACTIVATIONS.strip()} SELECT id, round(similarity, 6) AS similarity, expires_at_ms FROM near",

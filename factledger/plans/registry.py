@@ -191,6 +191,21 @@ def recall_text_phrase(spark: SparkSession, sf: str) -> DataFrame:
     return _ranked(search.recall_text(led.facts, led.nodes, EVERY, D.PHRASE, 50, lexicon=fixtures.lexicon(spark, sf)))
 
 
+@query
+def store_recall_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Text recall on a store of several versions: only the asked tokens' postings are read."""
+    store = fixtures.logged(spark, sf)
+    at = store.version()
+    return _ranked(search.recall_text(store.read("facts", at), store.read("nodes", at), SCOPE, D.TEXT, lexicon=store.lexicon(at)))
+
+
+@query
+def store_postings(spark: SparkSession, sf: str) -> DataFrame:
+    """All postings that count in a store of several versions."""
+    index = fixtures.logged(spark, sf).lexicon()
+    return index.nodes.postings.unionByName(index.facts.postings).select("iri", "token", "tf", F.col("length").cast("long").alias("length"), F.array_join(F.col("at").cast("array<string>"), ",").alias("places"))
+
+
 @query
 def text_candidates(spark: SparkSession, sf: str) -> DataFrame:
     led = fixtures.load(spark, sf)

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from factledger import schema as S
 from factledger.functions import exprs as E
 from factledger.operators import search
-from factledger.sources.store import scratch
+from factledger.sources.store import Store, scratch
 
 _STORED: dict[tuple[str, str], str] = {}
 _LEXICON: dict[tuple[str, str], search.Lexicon] = {}
+_LOGGED: dict[tuple[str, str], Store] = {}
 NOW_MS = 1_700_000_100_000
 
 
@@ -94,12 +95,32 @@ def lexicon(spark: SparkSession, sf_dir: str) -> search.Lexicon:
         for name, docs, text in (("nodes", led.nodes, "search_text"), ("facts", search.searchable(led.facts), "fact_text")):
             path = f"{_STORED[key]}/{name}_tokens"
             search.token_table(docs, "iri", text).write.parquet(path)
-            rows, mean = docs.agg(F.count(F.lit(1)).cast("double"), F.avg(F.size(E.tokens(F.col(text))))).first()
-            made.append(search.Index(spark.read.parquet(path), rows, mean or 0.0))
+            postings = spark.read.parquet(path)
+            rows, texts = docs.agg(F.count(F.lit(1)).cast("double"), F.count(text)).first()
+            tokens = postings.agg(F.sum("tf")).first()[0] or 0
+            made.append(search.Index(postings, rows, tokens / texts if texts else 0.0))
         _LEXICON[key] = search.Lexicon(*made)
     return _LEXICON[key]
 
 
+def logged(spark: SparkSession, sf_dir: str) -> Store:
+    """The snapshot's nodes and facts as a store of several versions: made half, with stale texts and weights and with facts that go again, then mended, and compacted between."""
+    led, key = load(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LOGGED:
+        store = Store(spark, f"{_STORED[key]}/log")
+        store.bootstrap(seed_nodes(spark))
+        c, third = F.col, F.pmod(F.xxhash64("iri"), F.lit(3))
+        first, second, last = third == 0, third == 1, third == 2
+        stale = led.facts.filter(first).withColumns({"fact_text": F.concat(F.lit("stale Customer "), "iri"), "weight": c("weight") + 1})
+        passing = led.facts.filter(second).withColumns({"iri": F.concat("iri", F.lit("-gone")), "fact_text": F.lit("order placedBy nobody")})
+        store.publish(1, {"nodes": led.nodes.withColumn("search_text", F.when(first, F.lit("stale order")).otherwise(c("search_text"))), "facts": stale.unionByName(passing)})
+        store.publish(2, {"facts": led.facts.filter(second).unionByName(led.facts.filter(last)).withColumn("deleted", F.lit(False)).unionByName(passing.withColumn("deleted", F.lit(True)))})
+        store.compact()
+        store.publish(3, {"nodes": led.nodes.filter(first), "facts": led.facts.filter(first)})
+        _LOGGED[key] = store
+    return _LOGGED[key]
+
+
 def build(spark: SparkSession, sf_dir: str) -> Ledger:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "documents", "labels", "embeddings")}
     c = F.col

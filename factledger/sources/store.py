@@ -1,8 +1,17 @@
-"""Versioned snapshots of a ledger in a folder that all executors share.
+"""A ledger in a folder that all executors share, as a log of row versions.
+
+A table is a list of runs, oldest first: Parquet folders of row versions, in which `deleted` rows end a key. Each commit adds a run to the tables it touches; it counts once
+`_commits/<n>` names it, and that file is written aside and renamed without overwriting, so it is there whole or not at all, and of two
+writers one wins and the other plans again. A commit file that can't be read is reported and passed over. What was never committed is never seen, so rollback is free.
+
+`compact` merges runs of like size into one and publishes the new list under `_manifests/<n>`, so a reader opens that and the few commits behind it, whatever
+the number of versions. A read takes the oldest run whole, less the keys of the newer ones, and of those the newest row of each key: only
+newer runs are ever ranked. Old folders stay, so any version can be read.
+
+Beside the rows of nodes and facts each run has the lengths and the postings of its texts (see `search.token_table`). A posting counts
+if its run is the newest that has its key, so a changed or deleted row takes its old postings with it. How many rows and tokens there are is added up
+from commit to commit. A search reads the asked tokens' postings of each run and cuts no text.
 
-A table is a set of Parquet folders of row versions; a version counts once `_commits/<n>` names its folder, and that
-file is made only if it is not there yet, so of two writers one wins and the other plans again. Readers take, for
-each key, the row of the greatest committed version. What was never committed is never seen, so rollback is free.
 File system calls go through Hadoop, so any store that Spark can write will do.
 """
 
@@ -11,6 +20,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -20,9 +30,16 @@ from pyspark.sql import functions as F
 
 from factledger import schema as S
 from factledger.errors import ConcurrentMutation, EmbeddingSpaceMismatch, PreconditionFailed
+from factledger.functions import exprs as E
+from factledger.operators import search
 
 TABLES = {"nodes": ("iri", S.NODES), "facts": ("iri", f"{S.FACTS}, {S.FACT_AUDIT}"), "episodes": ("iri", S.EPISODES), "activations": ("id", S.ACTIVATIONS)}
+#: Texts that are searched.
+TEXTS = {"nodes": "search_text", "facts": "fact_text"}
+LENGTHS, POSTINGS = "iri string, live boolean, length int", "iri string, token string, tf bigint, length int, at array<int>"
 RETRIES = 3
+#: Runs merge as long as the next older one is not this many times larger; `mutate` compacts after so many commits.
+FAN, COMPACT_EVERY = 4, 32
 
 
 def scratch(spark: SparkSession) -> str:
@@ -34,15 +51,32 @@ def scratch(spark: SparkSession) -> str:
     return f"{root}/ledger-{uuid.uuid4().hex}"
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    """One above the other, as a tree of little depth."""
+    while len(parts) > 1:
+        parts = [a.unionByName(*b) if b else a for a, *b in (parts[i : i + 2] for i in range(0, len(parts), 2))]
+    return parts[0]
+
+
+def newest(rows: DataFrame, key: str) -> DataFrame:
+    """The row of the greatest version of each key."""
+    return rows.withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy(F.col("version").desc()))).filter("nth = 1").drop("nth")
+
+
 class Store:
     """A ledger in a folder."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
         jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join((path, *parts)))
-        self._fs = self._path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._fs = self._path().getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path().toUri(), conf)
         self._jvm = jvm
+        self._known: dict[tuple[str, int], dict] = {}
+
+    # Files
 
     def _read(self, *parts: str) -> str:
         stream = self._fs.open(self._path(*parts))
@@ -51,24 +85,60 @@ class Store:
         finally:
             stream.close()
 
-    def _write(self, text: str, *parts: str, overwrite: bool = False) -> bool:
-        """False if the file is there already."""
+    def _write(self, text: str, *parts: str) -> bool:
+        """Written aside, then renamed: whole or not there. False if the file is there already."""
+        aside = self._path(*parts[:-1], f".{parts[-1]}-{uuid.uuid4().hex}")
+        stream = self._fs.create(aside, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        none = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = none
         try:
-            stream = self._fs.create(self._path(*parts), overwrite)
+            self._context.rename(aside, self._path(*parts), options)
         except Py4JJavaError as e:
+            self._fs.delete(aside, False)
             if "AlreadyExists" in str(e.java_exception):
                 return False
             raise
-        stream.write(bytearray(text.encode()))
-        stream.close()
         return True
 
+    def _numbers(self, folder: str) -> list[int]:
+        where = self._path(folder)
+        if not self._fs.exists(where):
+            return []
+        return sorted(int(n) for n in (f.getPath().getName() for f in self._fs.listStatus(where)) if n.isdigit())
+
+    def _file(self, folder: str, number: int) -> dict | None:
+        """A commit or manifest; None, with a warning, if it was torn."""
+        if (folder, number) not in self._known:
+            try:
+                self._known[folder, number] = json.loads(self._read(folder, str(number)))
+            except ValueError:
+                warnings.warn(f"{self.path}/{folder}/{number} can't be read and is passed over", stacklevel=2)
+                return None
+        return self._known[folder, number]
+
+    # Versions
+
     def version(self) -> int:
         """The last committed version, 0 for none."""
-        where = self._path("_commits")
-        if not self._fs.exists(where):
-            return 0
-        return max((int(f.getPath().getName()) for f in self._fs.listStatus(where) if f.getPath().getName().isdigit()), default=0)
+        return max(self._numbers("_commits"), default=0)
+
+    def _state(self, at: int) -> dict:
+        """What commits carry on: the embedding space, and rows, texts and tokens of each searched table."""
+        for v in range(at, 0, -1):
+            commit = self._file("_commits", v)
+            if commit is not None:
+                return commit.get("state", {})
+        return {}
+
+    def runs(self, table: str, at: int) -> list[tuple[int, str]]:
+        """(version, folder name) of a table's runs as of a version, oldest first."""
+        start = max((n for n in self._numbers("_manifests") if n <= at and self._file("_manifests", n)), default=0)
+        found = [tuple(x) for x in self._file("_manifests", start)["runs"].get(table, [])] if start else []
+        commits = ((v, self._file("_commits", v)) for v in range(start + 1, at + 1))
+        return found + [(v, c["attempt"]) for v, c in commits if c and table in c["tables"]]
 
     def bootstrap(self, seeds: DataFrame, space: dict | None = None) -> None:
         """Make an empty ledger with its catalog; a second call changes nothing, and one of another model is refused."""
@@ -78,10 +148,11 @@ class Store:
         if self._fs.exists(self._path()) and self._fs.listStatus(self._path()):
             raise PreconditionFailed("the folder holds something, but no ledger of a known model")
         self._write(json.dumps({"model": S.MODEL_VERSION, "space": space}), "_meta")
-        self.publish(0, {"nodes": seeds})
+        self.publish(0, {"nodes": seeds}, {"space": space})
 
     def meta(self) -> dict:
-        return json.loads(self._read("_meta"))
+        meta = json.loads(self._read("_meta"))
+        return meta | {k: v for k, v in self._state(self.version()).items() if k == "space"}
 
     def check(self, space: dict | None = None) -> None:
         meta = self.meta()
@@ -91,46 +162,108 @@ class Store:
             raise EmbeddingSpaceMismatch(f"{meta['space']} is stored, {space} is asked for")
 
     def replace_space(self, space: dict) -> None:
-        """Another embedding space: all activations go."""
+        """Another embedding space, and all activations go, in one commit."""
         base = self.version()
-        self.publish(base, {"activations": self.read("activations").select("id", F.lit(True).alias("deleted"))})
-        self._write(json.dumps(self.meta() | {"space": space}), "_meta", overwrite=True)
+        self.publish(base, {"activations": self.read("activations", base).select("id", F.lit(True).alias("deleted"))}, {"space": space})
+
+    # Reads
+
+    def _run(self, table: str, run: tuple[int, str], schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/{run[1]}").withColumn("version", F.lit(run[0]))
+
+    def _rows(self, table: str, runs: list[tuple[int, str]], key: str, schema: str) -> DataFrame:
+        """The newest row of each key, `deleted` ones too: the oldest run less the keys of newer ones, and those."""
+        parts = [self._run(table, r, schema) for r in runs]
+        if len(parts) == 1:
+            return parts[0]
+        fresh = newest(union(parts[1:]), key)
+        return parts[0].join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
     def read(self, table: str, at: int | None = None) -> DataFrame:
         """The rows of a table as of a version."""
         key, schema = TABLES[table]
-        at = self.version() if at is None else at
-        versions = self.versions(table, at)
-        if not versions:
+        runs = self.runs(table, self.version() if at is None else at)
+        if not runs:
             return self.spark.createDataFrame([], schema)
-        parts = [self.spark.read.schema(f"{schema}, deleted boolean").parquet(f"{self.path}/{table}/{attempt}").withColumn("version", F.lit(v)) for v, attempt in versions]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.unionByName(p)
-        if len(versions) > 1:
-            newest = W.partitionBy(key).orderBy(F.col("version").desc())
-            every = every.withColumn("nth", F.row_number().over(newest)).filter("nth = 1").drop("nth")
-        return every.filter(~F.coalesce("deleted", F.lit(False))).drop("deleted", "version")
-
-    def versions(self, table: str, at: int) -> list[tuple[int, str]]:
-        commits = ((v, json.loads(self._read("_commits", str(v)))) for v in range(1, at + 1))
-        return [(v, c["attempt"]) for v, c in commits if table in c["tables"]]
-
-    def publish(self, base: int, changes: dict[str, DataFrame]) -> int:
-        """Append row versions (a column `deleted` ends a key) on top of a version; ConcurrentMutation if another writer was first."""
+        return self._rows(table, runs, key, f"{schema}, deleted boolean").filter(~F.coalesce("deleted", F.lit(False))).drop("deleted", "version")
+
+    def _postings(self, table: str, runs: list[tuple[int, str]]) -> DataFrame:
+        """Postings that count: of a run that is the newest to have their key."""
+        parts = [self._run(f"{table}_postings", r, POSTINGS) for r in runs]
+        if len(parts) == 1:
+            return parts[0]
+        fresh = newest(union([self._run(f"{table}_lengths", r, LENGTHS) for r in runs[1:]]), "iri").select("iri", "version")
+        return parts[0].join(fresh.select("iri"), "iri", "left_anti").unionByName(union(parts[1:]).join(fresh, ["iri", "version"], "left_semi"))
+
+    def lexicon(self, at: int | None = None) -> search.Lexicon:
+        """The inverted index of nodes and facts as of a version."""
+        at = self.version() if at is None else at
+        state, made = self._state(at), []
+        for table in TEXTS:
+            runs, (rows, texts, tokens) = self.runs(table, at), state.get(table, (0, 0, 0))
+            postings = self._postings(table, runs).drop("version") if runs else self.spark.createDataFrame([], POSTINGS)
+            made.append(search.Index(postings, float(rows), tokens / texts if texts else 0.0))
+        return search.Lexicon(*made)
+
+    # Changes
+
+    def _index(self, table: str, base: int, attempt: str, before: list[int]) -> list[int]:
+        """Write lengths and postings of a new run; the sums of rows, texts and tokens with it."""
+        rows = self._run(table, (0, attempt), f"{TABLES[table][1]}, deleted boolean")
+        live = ~F.coalesce("deleted", F.lit(False)) & (F.col("type").isin(*S.SEARCHABLE) if table == "facts" else F.lit(True))
+        docs = rows.select("iri", live.alias("live"), F.when(live, F.col(TEXTS[table])).alias("text"))
+        docs.select("iri", "live", F.size(E.tokens(F.col("text"))).alias("length")).write.parquet(f"{self.path}/{table}_lengths/{attempt}")
+        search.token_table(docs.filter("live"), "iri", "text").write.parquet(f"{self.path}/{table}_postings/{attempt}")
+        figures = lambda df: df.filter("live").agg(F.count(F.lit(1)), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        new = self._run(f"{table}_lengths", (0, attempt), LENGTHS)
+        runs = self.runs(table, base)
+        old = figures(self._rows(f"{table}_lengths", runs, "iri", LENGTHS).join(new.select("iri"), "iri", "left_semi")) if runs else (0, 0, 0)
+        return [b + n - o for b, n, o in zip(before, figures(new), old, strict=True)]
+
+    def publish(self, base: int, changes: dict[str, DataFrame], state: dict | None = None) -> int:
+        """Append row versions (a column `deleted` ends a key) on top of a version; ConcurrentMutation if another writer was first. A key has one row in a change."""
         version = base + 1
         if self._fs.exists(self._path("_commits", str(version))):
             raise ConcurrentMutation(f"version {version} is there already")
-        attempt = uuid.uuid4().hex
+        attempt, state = uuid.uuid4().hex, self._state(base) | (state or {})
         for table, df in changes.items():
             kinds = dict(x.strip().split(" ", 1) for x in TABLES[table][1].split(", "))
             cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
             gone = F.col("deleted") if "deleted" in df.columns else F.lit(False)
             df.select(*cols, gone.alias("deleted")).write.parquet(f"{self.path}/{table}/{attempt}")
-        if not self._write(json.dumps({"tables": sorted(changes), "attempt": attempt}), "_commits", str(version)):
+            if table in TEXTS:
+                state[table] = self._index(table, base, attempt, state.get(table, [0, 0, 0]))
+        if not self._write(json.dumps({"tables": sorted(changes), "attempt": attempt, "state": state}), "_commits", str(version)):
             raise ConcurrentMutation(f"version {version} was made meanwhile")
         return version
 
+    def _bytes(self, table: str, run: tuple[int, str]) -> int:
+        return self._fs.getContentSummary(self._path(table, run[1])).getLength()
+
+    def _merge(self, table: str, runs: list[tuple[int, str]], oldest: bool) -> tuple[int, str]:
+        """One run that says what these say; the oldest of a table needs no ends of keys."""
+        (key, schema), attempt = TABLES[table], uuid.uuid4().hex
+        rows = self._rows(table, runs, key, f"{schema}, deleted boolean").drop("version")
+        rows = rows.filter(~F.coalesce("deleted", F.lit(False))) if oldest else rows
+        rows.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{self.path}/{table}/{attempt}")
+        if table in TEXTS:
+            lengths = self._rows(f"{table}_lengths", runs, "iri", LENGTHS).drop("version")
+            (lengths.filter("live") if oldest else lengths).repartitionByRange("iri").sortWithinPartitions("iri").write.parquet(f"{self.path}/{table}_lengths/{attempt}")
+            self._postings(table, runs).drop("version").repartitionByRange("token", "iri").sortWithinPartitions("token", "iri").write.parquet(f"{self.path}/{table}_postings/{attempt}")
+        return runs[-1][0], attempt
+
+    def compact(self) -> bool:
+        """Merge each table's newest runs, as long as the next older one is at most `FAN` times as large as those; False if another writer did so for this version."""
+        at, lists = self.version(), {}
+        for table in TABLES:
+            runs = self.runs(table, at)
+            sizes = [self._bytes(table, r) for r in runs]
+            first = len(runs) - 1
+            while first > 0 and sizes[first - 1] <= FAN * sum(sizes[first:]):
+                first -= 1
+            lists[table] = [*runs[:first], self._merge(table, runs[first:], first == 0)] if len(runs) - first > 1 else runs
+        return self._write(json.dumps({"runs": lists}), "_manifests", str(at))
+
     def mutate(self, plan: Callable[[int], tuple[dict[str, DataFrame], object]]) -> object:
         """Plan on a version and publish; a loser plans again, three times at most. No changes publish nothing."""
         for attempt in range(1, RETRIES + 1):
@@ -139,10 +272,12 @@ class Store:
             if not changes:
                 return answer
             try:
-                self.publish(base, changes)
+                version = self.publish(base, changes)
             except ConcurrentMutation:
                 if attempt == RETRIES:
                     raise
                 continue
+            if version - max(self._numbers("_manifests"), default=0) >= COMPACT_EVERY:
+                self.compact()
             return answer
         return None
