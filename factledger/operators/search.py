@@ -88,17 +88,18 @@ def context_subjects(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     return hits.select(F.col("s_iri").alias("iri")).unionAll(elements).distinct()
 
 
-def token_table(docs: DataFrame, key: str, text: str) -> DataFrame:
+def token_table(docs: DataFrame, key: str, text: str, ranged: bool = True) -> DataFrame:
     """key, token, tf, length, at (places of the token): the inverted table of a text column, to be stored beside a snapshot.
 
     Each row's different tokens and their places are found within the row; only finished postings are shuffled. They lie in ranges of (token, key), sorted, so a
-    reader that asks for some tokens skips the rest, and a token that every row has is split.
+    reader that asks for some tokens skips the rest, and a token that every row has is split. Without `ranged` they are sorted in each partition as it comes, and nothing is shuffled.
     """
     found = docs.select(key, E.tokens(F.col(text)).alias("tokens"))
     each = found.select(key, "tokens", F.explode(F.array_distinct("tokens")).alias("token"))
     places = F.expr("filter(transform(tokens, (x, i) -> if(x = token, i, null)), i -> i is not null)")
     one = each.select(key, "token", F.size("tokens").alias("length"), places.alias("at"))
-    return one.select(key, "token", F.size("at").cast("long").alias("tf"), "length", "at").repartitionByRange("token", key).sortWithinPartitions("token", key)
+    one = one.select(key, "token", F.size("at").cast("long").alias("tf"), "length", "at")
+    return (one.repartitionByRange("token", key) if ranged else one).sortWithinPartitions("token", key)
 
 
 class Index(NamedTuple):

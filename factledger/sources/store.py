@@ -24,7 +24,7 @@ import warnings
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ from factledger.operators import search
 TABLES = {"nodes": ("iri", S.NODES), "facts": ("iri", f"{S.FACTS}, {S.FACT_AUDIT}"), "episodes": ("iri", S.EPISODES), "activations": ("id", S.ACTIVATIONS)}
 #: Texts that are searched.
 TEXTS = {"nodes": "search_text", "facts": "fact_text"}
-LENGTHS, POSTINGS = "iri string, live boolean, length int", "iri string, token string, tf bigint, length int, at array<int>"
+LENGTHS, POSTINGS = "iri string, live boolean, length int, version bigint", "iri string, token string, tf bigint, length int, at array<int>, version bigint"
 RETRIES = 3
 #: Runs merge as long as the next older one is not this many times larger; `mutate` compacts after so many commits.
 FAN, COMPACT_EVERY = 4, 32
@@ -51,11 +51,8 @@ def scratch(spark: SparkSession) -> str:
     return f"{root}/ledger-{uuid.uuid4().hex}"
 
 
-def union(parts: list[DataFrame]) -> DataFrame:
-    """One above the other, as a tree of little depth."""
-    while len(parts) > 1:
-        parts = [a.unionByName(*b) if b else a for a, *b in (parts[i : i + 2] for i in range(0, len(parts), 2))]
-    return parts[0]
+def versioned(schema: str) -> str:
+    return f"{schema}, deleted boolean, version bigint"
 
 
 def newest(rows: DataFrame, key: str) -> DataFrame:
@@ -168,16 +165,17 @@ class Store:
 
     # Reads
 
-    def _run(self, table: str, run: tuple[int, str], schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{table}/{run[1]}").withColumn("version", F.lit(run[0]))
+    def _scan(self, table: str, runs: list[tuple[int, str]], schema: str) -> DataFrame:
+        """All rows of these runs, each with the version that made it."""
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{table}/{attempt}" for _, attempt in runs))
 
     def _rows(self, table: str, runs: list[tuple[int, str]], key: str, schema: str) -> DataFrame:
         """The newest row of each key, `deleted` ones too: the oldest run less the keys of newer ones, and those."""
-        parts = [self._run(table, r, schema) for r in runs]
-        if len(parts) == 1:
-            return parts[0]
-        fresh = newest(union(parts[1:]), key)
-        return parts[0].join(fresh.select(key), key, "left_anti").unionByName(fresh)
+        oldest = self._scan(table, runs[:1], schema)
+        if len(runs) == 1:
+            return oldest
+        fresh = newest(self._scan(table, runs[1:], schema), key)
+        return oldest.join(fresh.select(key), key, "left_anti").unionByName(fresh)
 
     def read(self, table: str, at: int | None = None) -> DataFrame:
         """The rows of a table as of a version."""
@@ -185,15 +183,16 @@ class Store:
         runs = self.runs(table, self.version() if at is None else at)
         if not runs:
             return self.spark.createDataFrame([], schema)
-        return self._rows(table, runs, key, f"{schema}, deleted boolean").filter(~F.coalesce("deleted", F.lit(False))).drop("deleted", "version")
+        return self._rows(table, runs, key, versioned(schema)).filter(~F.coalesce("deleted", F.lit(False))).drop("deleted", "version")
 
     def _postings(self, table: str, runs: list[tuple[int, str]]) -> DataFrame:
         """Postings that count: of a run that is the newest to have their key."""
-        parts = [self._run(f"{table}_postings", r, POSTINGS) for r in runs]
-        if len(parts) == 1:
-            return parts[0]
-        fresh = newest(union([self._run(f"{table}_lengths", r, LENGTHS) for r in runs[1:]]), "iri").select("iri", "version")
-        return parts[0].join(fresh.select("iri"), "iri", "left_anti").unionByName(union(parts[1:]).join(fresh, ["iri", "version"], "left_semi"))
+        oldest = self._scan(f"{table}_postings", runs[:1], POSTINGS)
+        if len(runs) == 1:
+            return oldest
+        fresh = newest(self._scan(f"{table}_lengths", runs[1:], LENGTHS), "iri").select("iri", "version")
+        newer = self._scan(f"{table}_postings", runs[1:], POSTINGS)
+        return oldest.join(fresh.select("iri"), "iri", "left_anti").unionByName(newer.join(fresh, ["iri", "version"], "left_semi"))
 
     def lexicon(self, at: int | None = None) -> search.Lexicon:
         """The inverted index of nodes and facts as of a version."""
@@ -209,16 +208,20 @@ class Store:
 
     def _index(self, table: str, base: int, attempt: str, before: list[int]) -> list[int]:
         """Write lengths and postings of a new run; the sums of rows, texts and tokens with it."""
-        rows = self._run(table, (0, attempt), f"{TABLES[table][1]}, deleted boolean")
+        rows = self._scan(table, [(0, attempt)], versioned(TABLES[table][1]))
         live = ~F.coalesce("deleted", F.lit(False)) & (F.col("type").isin(*S.SEARCHABLE) if table == "facts" else F.lit(True))
         docs = rows.select("iri", live.alias("live"), F.when(live, F.col(TEXTS[table])).alias("text"))
-        docs.select("iri", "live", F.size(E.tokens(F.col("text"))).alias("length")).write.parquet(f"{self.path}/{table}_lengths/{attempt}")
-        search.token_table(docs.filter("live"), "iri", "text").write.parquet(f"{self.path}/{table}_postings/{attempt}")
-        figures = lambda df: df.filter("live").agg(F.count(F.lit(1)), F.count("length"), F.coalesce(F.sum("length"), F.lit(0))).first()
-        new = self._run(f"{table}_lengths", (0, attempt), LENGTHS)
-        runs = self.runs(table, base)
-        old = figures(self._rows(f"{table}_lengths", runs, "iri", LENGTHS).join(new.select("iri"), "iri", "left_semi")) if runs else (0, 0, 0)
-        return [b + n - o for b, n, o in zip(before, figures(new), old, strict=True)]
+        version = F.lit(base + 1).cast("long").alias("version")
+        figures = F.count_if("live").alias("rows"), F.count("length").alias("texts"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens")
+        seen = Observation()
+        docs.select("iri", "live", F.size(E.tokens(F.col("text"))).alias("length"), version).observe(seen, *figures).write.parquet(f"{self.path}/{table}_lengths/{attempt}")
+        search.token_table(docs.filter("live"), "iri", "text", ranged=False).withColumn("version", version).write.parquet(f"{self.path}/{table}_postings/{attempt}")
+        runs, old = self.runs(table, base), (0, 0, 0)
+        if runs:
+            keys = self._scan(f"{table}_lengths", [(0, attempt)], LENGTHS).select("iri")
+            old = self._rows(f"{table}_lengths", runs, "iri", LENGTHS).join(keys, "iri", "left_semi").agg(*figures).first()
+        new = [seen.get[k] for k in ("rows", "texts", "tokens")]
+        return [b + n - o for b, n, o in zip(before, new, old, strict=True)]
 
     def publish(self, base: int, changes: dict[str, DataFrame], state: dict | None = None) -> int:
         """Append row versions (a column `deleted` ends a key) on top of a version; ConcurrentMutation if another writer was first. A key has one row in a change."""
@@ -230,7 +233,7 @@ class Store:
             kinds = dict(x.strip().split(" ", 1) for x in TABLES[table][1].split(", "))
             cols = [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]
             gone = F.col("deleted") if "deleted" in df.columns else F.lit(False)
-            df.select(*cols, gone.alias("deleted")).write.parquet(f"{self.path}/{table}/{attempt}")
+            df.select(*cols, gone.alias("deleted"), F.lit(version).cast("long").alias("version")).write.parquet(f"{self.path}/{table}/{attempt}")
             if table in TEXTS:
                 state[table] = self._index(table, base, attempt, state.get(table, [0, 0, 0]))
         if not self._write(json.dumps({"tables": sorted(changes), "attempt": attempt, "state": state}), "_commits", str(version)):
@@ -243,13 +246,13 @@ class Store:
     def _merge(self, table: str, runs: list[tuple[int, str]], oldest: bool) -> tuple[int, str]:
         """One run that says what these say; the oldest of a table needs no ends of keys."""
         (key, schema), attempt = TABLES[table], uuid.uuid4().hex
-        rows = self._rows(table, runs, key, f"{schema}, deleted boolean").drop("version")
+        rows = self._rows(table, runs, key, versioned(schema))
         rows = rows.filter(~F.coalesce("deleted", F.lit(False))) if oldest else rows
         rows.repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{self.path}/{table}/{attempt}")
         if table in TEXTS:
-            lengths = self._rows(f"{table}_lengths", runs, "iri", LENGTHS).drop("version")
+            lengths = self._rows(f"{table}_lengths", runs, "iri", LENGTHS)
             (lengths.filter("live") if oldest else lengths).repartitionByRange("iri").sortWithinPartitions("iri").write.parquet(f"{self.path}/{table}_lengths/{attempt}")
-            self._postings(table, runs).drop("version").repartitionByRange("token", "iri").sortWithinPartitions("token", "iri").write.parquet(f"{self.path}/{table}_postings/{attempt}")
+            self._postings(table, runs).repartitionByRange("token", "iri").sortWithinPartitions("token", "iri").write.parquet(f"{self.path}/{table}_postings/{attempt}")
         return runs[-1][0], attempt
 
     def compact(self) -> bool:
