@@ -452,10 +452,11 @@ class FactLedger:
             usable = facts.filter(F.col("valid_to").isNull() & near)
             between = usable.filter(F.col("s_iri").isin(source, target) & F.col("o_iri").isin(source, target) & (F.col("s_iri") != F.col("o_iri")))
             moved = resolve.remap(usable, pairs, prop).drop("moved")
-            merged = resolve.consolidate(moved).select("iri", F.col("layers").alias("l"), F.col("weight").alias("w"), F.col("member_iris"), F.col("provenance_episode_ids").alias("pe"))
+            whole = resolve.consolidate(moved)
+            merged = whole.select("iri", F.col("layers").alias("l"), F.col("weight").alias("w"), F.col("provenance_episode_ids").alias("pe"))
             name = lambda side: nodes.select(F.col("iri").alias(f"{side}_iri"), F.coalesce("value", "name", "iri").alias(f"{side}_name"))
             kept = moved.join(merged, "iri").join(name("s"), "s_iri").join(name("o"), "o_iri").withColumns({"layers": F.col("l"), "weight": F.col("w"), "merge_episode_id": by, "provenance_episode_ids": F.col("pe"), "fact_text": E.fact_text(F.col("s_name"), F.col("property_iri"), F.col("o_name"), False)})
-            lost = moved.join(merged.select(F.col("iri").alias("into"), F.explode("member_iris").alias("iri")).filter("iri <> into"), "iri").withColumns({"valid_to": now, "merged_into": F.col("into"), "merge_episode_id": by})
+            lost = resolve.survivors(moved, whole).filter("iri <> into").withColumns({"valid_to": now, "merged_into": F.col("into"), "merge_episode_id": by})
             cols = facts.columns
             rows = kept.select(*cols).unionByName(lost.select(*cols)).unionByName(between.withColumns({"valid_to": now, "merge_episode_id": by}).select(*cols))
             joined = resolve.unify_nodes(nodes.filter(F.col("iri").isin(source, target)), pairs).select("iri", F.col("layers").alias("l"), F.col("weight").alias("w"))

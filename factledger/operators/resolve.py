@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factledger import schema as S
 from factledger.functions import exprs as E
+from factledger.operators import sweep
 from factledger.operators import triples as T
 from factledger.operators.search import numbered
 
@@ -44,25 +45,50 @@ def suggestions(nodes: DataFrame, scope: Sequence[str], created: Sequence[str],
     return numbered(turned, [F.col("similarity").desc(), F.col("source"), F.col("target")], limit)
 
 
+#: Facts that can contradict each other: unqualified ones among themselves, qualified ones where their times meet.
+FAMILY = ("s_iri", "property_iri", "eff_qualified")
+
+
+def _contenders(facts: DataFrame, nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
+    seen = T.closed(T.current(facts, scope, types=("ASSERTS",)), nodes, scope)
+    timed = lambda c: F.when(F.col("eff_qualified"), F.col(c)).alias(c)
+    return seen.select("iri", "s_iri", "property_iri", "o_iri", "eff_qualified", timed("eff_from"), timed("eff_to"))
+
+
 def conflicts(facts: DataFrame, nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
     """iri, other_iri: visible current ordinary facts with one subject and property, other objects and times that overlap."""
-    seen = T.closed(T.current(facts, scope, types=("ASSERTS",)), nodes, scope).select("iri", "s_iri", "property_iri", "o_iri", "eff_qualified", "eff_from", "eff_to")
-    other = seen.select("s_iri", "property_iri", *(F.col(c).alias(f"other_{c}") for c in ("iri", "o_iri", "eff_qualified", "eff_from", "eff_to")))
-    c = F.col
-    meet = E.intervals_overlap(c("eff_qualified"), c("eff_from"), c("eff_to"), c("other_eff_qualified"), c("other_eff_from"), c("other_eff_to"))
-    return seen.join(other, ["s_iri", "property_iri"]).filter((c("o_iri") != c("other_o_iri")) & (c("iri") < c("other_iri")) & meet)
+    pairs = sweep.overlapping(_contenders(facts, nodes, scope), FAMILY, ["o_iri"]).filter("o_iri <> other_o_iri")
+    return pairs.select(F.least("iri", "other_iri").alias("iri"), F.greatest("iri", "other_iri").alias("other_iri"), "s_iri", "property_iri")
+
+
+def conflict_counts(facts: DataFrame, nodes: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """iri, n: with how many others each such fact is in conflict; no pair is made, so a family of any size is sorted and counted only."""
+    seen = sweep.stored(_contenders(facts, nodes, scope))
+    every, alike = sweep.overlaps(seen, FAMILY), sweep.overlaps(seen, (*FAMILY, "o_iri"))
+    return every.join(alike.withColumnRenamed("n", "alike"), "iri").select("iri", (F.col("n") - F.col("alike")).alias("n")).filter("n > 0")
 
 
 def consolidate(facts: DataFrame) -> DataFrame:
     """One row for each identity of current facts: the smallest IRI stays, layers unite, weights add up in IRI order."""
-    rows = F.array_sort(F.collect_list(F.struct("iri", "weight", "layers", "episode_id")))
-    grouped = facts.filter("valid_to is null").groupBy(*IDENTITY).agg(rows.alias("rows"))
-    everywhere = F.exists("rows", lambda r: F.size(r["layers"]) == 0)
-    layers = F.when(everywhere, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.flatten(F.col("rows.layers")))))
-    return grouped.select(
-        *IDENTITY, F.get(F.col("rows.iri"), F.lit(0)).alias("iri"), layers.alias("layers"), E.sat_sum(F.col("rows.weight")).alias("weight"), F.size("rows").cast("long").alias("members"),
-        F.col("rows.iri").alias("member_iris"), F.array_sort(F.array_distinct(F.filter(F.col("rows.episode_id"), lambda x: x.isNotNull()))).alias("provenance_episode_ids"),
-    )
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    inner = {
+        "iri": F.min("iri"), "everywhere": F.max(F.size("layers") == 0), "layers": F.array_distinct(F.flatten(F.collect_set("layers"))),
+        "members": F.count(F.lit(1)), "provenance_episode_ids": F.collect_set("episode_id"),
+    }
+    outer = {"iri": F.min("iri"), "everywhere": F.max("everywhere"), "layers": united("layers"), "members": F.sum("members"), "provenance_episode_ids": united("provenance_episode_ids")}
+    rows = facts.filter("valid_to is null").select(*IDENTITY, "iri", "weight", "layers", "episode_id")
+    found = sweep.folded(rows, IDENTITY, "iri", "weight", inner, outer)
+    layers = F.when(F.col("everywhere"), F.array().cast("array<string>")).otherwise(F.col("layers"))
+    return found.select(*IDENTITY, "iri", layers.alias("layers"), sweep.added(F.col("step"), F.lit(0)).alias("weight"), "members", "provenance_episode_ids")
+
+
+def survivors(facts: DataFrame, merged: DataFrame) -> DataFrame:
+    """Current facts with `into`, the IRI of the fact that stays for their identity."""
+    kept = merged.select(*(F.col(c).alias(f"kept_{c}") for c in IDENTITY), F.col("iri").alias("into"))
+    same = F.lit(True)
+    for c in IDENTITY:
+        same = same & F.col(c).eqNullSafe(F.col(f"kept_{c}"))
+    return facts.filter("valid_to is null").join(kept, same).drop(*(f"kept_{c}" for c in IDENTITY))
 
 
 def remap(facts: DataFrame, pairs: DataFrame, prop: bool = False) -> DataFrame:
@@ -90,11 +116,13 @@ def unify(facts: DataFrame, pairs: DataFrame, prop: bool = False) -> DataFrame:
 def unify_nodes(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Targets of a merge: layers unite where none is global, weights saturate, sources are gone."""
     own = nodes.select("iri", "name", "layers", "weight")
-    sources = pairs.join(own.select(F.col("iri").alias("source"), F.col("layers").alias("l"), F.col("weight").alias("w")), "source").groupBy(F.col("target").alias("iri"))
-    found = sources.agg(F.array_sort(F.collect_list(F.struct("source", "w", "l"))).alias("rows"))
-    everywhere = (F.size("layers") == 0) | F.exists("rows", lambda r: F.size(r["l"]) == 0)
-    layers = F.when(everywhere, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_union("layers", F.flatten(F.col("rows.l")))))
-    return own.join(found, "iri").select("iri", "name", layers.alias("layers"), E.sat_add(F.col("weight"), E.sat_sum(F.col("rows.w"))).alias("weight"), F.size("rows").cast("long").alias("merged"))
+    sources = pairs.join(own.select(F.col("iri").alias("source"), F.col("layers").alias("l"), F.col("weight").alias("w")), "source").select(F.col("target").alias("iri"), "source", "w", "l")
+    inner = {"every": F.max(F.size("l") == 0), "more": F.array_distinct(F.flatten(F.collect_set("l"))), "merged": F.count(F.lit(1))}
+    outer = {"every": F.max("every"), "more": F.array_distinct(F.flatten(F.collect_list("more"))), "merged": F.sum("merged")}
+    found = sweep.folded(sources, ["iri"], "source", "w", inner, outer)
+    everywhere = (F.size("layers") == 0) | F.col("every")
+    layers = F.when(everywhere, F.array().cast("array<string>")).otherwise(F.array_sort(F.array_union("layers", "more")))
+    return own.join(found, "iri").select("iri", "name", layers.alias("layers"), E.sat_add(F.col("weight"), sweep.added(F.col("step"), F.lit(0))).alias("weight"), "merged")
 
 
 def violations(facts: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -224,7 +224,7 @@ CUSTOMER_LAYERS = f"CASE WHEN list_contains(labels, 'Customer') THEN {lst(SCOPE)
 
 def consolidated(source: str) -> str:
     return f"""SELECT min(iri) AS iri, s_iri, property_iri, o_iri, CASE WHEN bool_or(len(layers) = 0) THEN '' ELSE array_to_string(list_sort(list_distinct(flatten(list(layers)))), ',') END AS layers,
-  least({S.LONG_MAX}::HUGEINT, greatest({S.LONG_MIN}::HUGEINT, sum(weight)))::BIGINT AS weight, count(*) AS members FROM {source} GROUP BY s_iri, type, property_iri, o_iri, eff_qualified, eff_from, eff_to"""
+  list_reduce(list_prepend(0::HUGEINT, list(weight::HUGEINT ORDER BY iri)), lambda a, b: least({S.LONG_MAX}::HUGEINT, greatest(-{S.LONG_MAX}::HUGEINT - 1, a + b)))::BIGINT AS weight, count(*) AS members FROM {source} GROUP BY s_iri, type, property_iri, o_iri, eff_qualified, eff_from, eff_to"""
 
 
 PARTS = "pairs AS (SELECT 'kg:element/part-' || p_partkey AS source, 'kg:element/part-' || low AS target FROM (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS low FROM part) WHERE p_partkey <> low)"
@@ -302,6 +302,12 @@ s AS (SELECT DISTINCT CASE WHEN onto THEN oi ELSE ni END AS source, CASE WHEN on
             f"a AS (SELECT * FROM facts WHERE {current(SCOPE, types=('ASSERTS',))}), b AS ({closed('a', SCOPE)})",
             "SELECT x.iri, y.iri AS other_iri FROM b x JOIN b y ON x.s_iri = y.s_iri AND x.property_iri = y.property_iri AND x.o_iri <> y.o_iri AND x.iri < y.iri WHERE (NOT x.eff_qualified AND NOT y.eff_qualified) OR (x.eff_qualified AND y.eff_qualified AND (x.eff_from IS NULL OR y.eff_to IS NULL OR x.eff_from < y.eff_to) AND (y.eff_from IS NULL OR x.eff_to IS NULL OR y.eff_from < x.eff_to))",
         ),
+        "conflict_counts": one(
+            f"""t AS (SELECT * REPLACE (CASE WHEN property_iri = 'kg:property/placedBy' THEN o_iri ELSE s_iri END AS s_iri, CASE WHEN property_iri = 'kg:property/placedBy' THEN s_iri ELSE o_iri END AS o_iri) FROM facts),
+a AS (SELECT * FROM t WHERE {current(EVERY, types=('ASSERTS',))}), b AS ({closed('a', EVERY)})""",
+            "SELECT x.iri, count(*) AS n FROM b x JOIN b y ON x.s_iri = y.s_iri AND x.property_iri = y.property_iri AND x.o_iri <> y.o_iri WHERE (NOT x.eff_qualified AND NOT y.eff_qualified) OR (x.eff_qualified AND y.eff_qualified AND (x.eff_from IS NULL OR y.eff_to IS NULL OR x.eff_from < y.eff_to) AND (y.eff_from IS NULL OR x.eff_to IS NULL OR y.eff_from < x.eff_to)) GROUP BY 1",
+        ),
+        "consolidate_saturated": one(f"z AS (SELECT * REPLACE ('all' AS s_iri, false AS eff_qualified, NULL::TIMESTAMP AS eff_from, NULL::TIMESTAMP AS eff_to, CASE WHEN weight > 3 THEN {S.LONG_MAX}::HUGEINT WHEN weight < -3 THEN -{S.LONG_MAX}::HUGEINT - 1 ELSE weight END AS weight) FROM facts WHERE valid_to IS NULL)", consolidated("z")),
         "duplicate_consolidation": one("z AS (SELECT * REPLACE ('all' AS s_iri, false AS eff_qualified, NULL::TIMESTAMP AS eff_from, NULL::TIMESTAMP AS eff_to) FROM facts WHERE valid_to IS NULL)", consolidated("z")),
         "unify_facts": one(f"{PARTS}, {remapped('(s_iri IN (SELECT target FROM pairs) OR o_iri IN (SELECT target FROM pairs))')}", consolidated("m")),
         "unify_nodes": one(f"{PARTS}, g AS (SELECT target, sum(weight) AS w, count(*) AS merged, bool_or(len(layers) = 0) AS every FROM pairs JOIN nodes ON source = iri GROUP BY 1)", "SELECT iri, name, '' AS layers, (weight + w)::BIGINT AS weight, merged FROM g JOIN nodes ON target = iri"),

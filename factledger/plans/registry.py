@@ -297,6 +297,15 @@ def conflicts_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.conflicts(led.facts, led.nodes, SCOPE).select("iri", "other_iri")
 
 
+@query
+def conflict_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """As if all orders of a region's customers said something of one subject: families of thousands, counted without making pairs."""
+    led = fixtures.load(spark, sf)
+    family = F.when(F.col("property_iri").endswith("/placedBy"), F.col("o_iri")).otherwise(F.col("s_iri"))
+    turned = led.facts.withColumns({"s_iri": family, "o_iri": F.when(F.col("property_iri").endswith("/placedBy"), F.col("s_iri")).otherwise(F.col("o_iri"))})
+    return resolve.conflict_counts(turned, led.nodes, EVERY).select("iri", "n")
+
+
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
     """Every part and the part with the smallest key of the same name."""
     part = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", "p_name")
@@ -315,6 +324,14 @@ def duplicate_consolidation(spark: SparkSession, sf: str) -> DataFrame:
     return _merged(resolve.consolidate(facts))
 
 
+@query
+def consolidate_saturated(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with weights at the ends of their range, where the order of adding up decides."""
+    edge = F.when(F.col("weight") > 3, F.lit(S.LONG_MAX)).when(F.col("weight") < -3, F.lit(S.LONG_MIN)).otherwise(F.col("weight"))
+    facts = fixtures.load(spark, sf).facts.withColumns({"weight": edge, "s_iri": F.lit("all"), "eff_qualified": F.lit(False), "eff_from": F.lit(None).cast("timestamp_ntz"), "eff_to": F.lit(None).cast("timestamp_ntz")})
+    return _merged(resolve.consolidate(facts))
+
+
 @query
 def unify_facts(spark: SparkSession, sf: str) -> DataFrame:
     return _merged(resolve.unify(fixtures.load(spark, sf).facts, _parts(spark, sf)))
