@@ -26,6 +26,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ SAMPLE_BYTES, SAMPLE_ROWS, BUCKET_BYTES, FAN, CHUNK = 8 << 20, 4096, 6 << 20, 20
 _LOW = np.uint64(0xFFFFFFFF)
 _BASES = (np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F | 1))
 SPAN, PROBE, EDGE, TEXT = 0, 1, 2, 9
+#: Words of more bytes are hashed by XXH3 instead of a sum of powers.
+LONG_WORD = 48
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,7 +101,7 @@ _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
-    """Words are maximal runs of bytes other than ASCII spaces; a word's code is a hash of its bytes."""
+    """Words are maximal runs of bytes other than ASCII spaces; a word's code is a hash of its bytes (128 bits over both bases)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return Units((none.astype(np.uint64), none.astype(np.uint64)), np.zeros(len(offsets), np.int64), none, none)
@@ -110,6 +113,11 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> Units:
     start = np.flatnonzero(inside & (~before | fresh[:-1]))
     end = np.flatnonzero(inside & (~after | fresh[1:])) + 1
     h = [Rolling(_BYTES[i][data], i).of(start, end) for i in (0, 1)]
+    long = np.flatnonzero(end - start > LONG_WORD)  # sums of powers modulo 2^64 can be fooled by long runs that repeat themselves turned over
+    view = memoryview(data)
+    for k, a, b in zip(long.tolist(), start[long].tolist(), end[long].tolist(), strict=True):
+        both = xxhash.xxh3_128_intdigest(view[a:b])
+        h[0][k], h[1][k] = both & 0xFFFFFFFFFFFFFFFF, both >> 64
     return Units((h[0] + np.uint64(1), h[1] + np.uint64(1)), np.searchsorted(start, offsets), start, end)
 
 

@@ -60,3 +60,36 @@ def test_bytes(spark, small, monkeypatch, fan):
             seen.add(b[k : k + 100])
         want[i] = np.frombuffer(b, np.uint8)[~gone].tobytes()
     assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(table(spark)).collect()} == want
+
+
+def turned(n):
+    """A string of a and b that sums of powers modulo 2^64 can't tell from the one with a and b exchanged."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word[:n]
+
+
+@pytest.mark.parametrize("n", [64, 512, 1024, 2048, 4096])
+def test_long_words_that_are_turned_over(spark, n):
+    word, rest = turned(n), " ".join(f"w{i}" for i in range(34))
+    other = word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"{word} {rest}"), (2, f"{other} {rest}"), (3, f"{word} {rest}")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.remove_repeats(df.selectExpr("doc_id AS row_id", "doc_id", "text")).collect()}
+    assert got == {1: 35, 2: 0, 3: 35}
+
+
+def test_bytes_that_are_turned_over(spark):
+    word = turned(256)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, "-" + other[:120]), (3, "+" + word[:120])]
+    seen, want = set(), {}
+    for i, t in rows:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 99):
+            if t[k : k + 100] in seen:
+                gone[k : k + 100] = True
+            seen.add(t[k : k + 100])
+        want[i] = int(gone.sum())
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
