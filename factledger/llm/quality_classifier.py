@@ -3,10 +3,14 @@
 A linear score over features of the whole text is fitted by the non-negative unbiased risk: trusted positives (label 1),
 unlabelled web text, and a class prior estimated as the share of label 1 among the labels that may be learned
 from. The risk of the unlabelled texts as negatives, less the prior's share of the positives', is kept from
-going below zero, which is where such a fit begins to overfit.
+going below zero, which is where such a fit begins to overfit: a step that would take it there is shortened, and the fit ends at that border. The
+pull of weights to zero is `PULL` over the number of positives, so it fades as there are more.
 
-It is fitted on at most `POSITIVES` labelled and about `UNLABELLED` unlabelled texts, chosen by hash; every text is scored
-whole. Features come from the text only: shares of bytes, lengths, repeats of words and lines, stop words.
+Every text that may be learned from counts as unlabelled web text, and every one of them with label 1 as a trusted positive; mean and spread of the features, the risk and its
+gradient are sums over all of them, added up by Spark in one pass over stored features each. Only the scale of a step, the matrix of second derivatives,
+comes from a sample of `SCALE_ROWS` texts or so, chosen by hash; it decides how fast the fit arrives, not where. Up to that border
+the risk is convex (the logistic losses of a text as a positive and as a negative differ by the score itself), so about ten passes do.
+Every text is scored whole. Features come from the text only: shares of bytes, lengths, repeats of words and lines, stop words.
 
 Defined results: a null or empty text has features of zero and a score like any other; repeated rows score alike;
 without labels every score is 0.5; a null doc_id is never held out nor learned from; empty tables give an empty table;
@@ -15,7 +19,7 @@ columns other than doc_id and text are ignored in scoring, and `accepted` hands
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from factledger.llm import packed
-from factledger.llm.common import free_name, table
+from factledger.llm.common import free_name, materialise, table
 from factledger.llm.quality_rules import STOP_WORDS
 from factledger.llm.windows import CHUNK, Rolling, word_units, _BYTES
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
-POSITIVES, UNLABELLED = 4000, 8000
-STEPS, RATE, DECAY = 400, 0.05, 1e-3
+#: Texts behind the scale of a step (about), passes over all texts, gradient at which they end, how far a step moves scores on average, and the pull of weights to zero, times the positives.
+SCALE_ROWS, PASSES, ENOUGH, REACH, PULL = 4000, 14, 1e-4, 2.0, 80.0
 DENSE = 12
 WIDTH = 256 + DENSE
 
@@ -97,26 +101,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean and spread of the features, and weights (the last is the constant), by Adam on the non-negative risk."""
-    both = np.concatenate([positive, unlabelled])
-    mean, spread = both.mean(axis=0), both.std(axis=0) + 1e-3
-    scale = lambda x: np.c_[np.clip((x - mean) / spread, -8, 8), np.ones(len(x))]
-    p, u = scale(positive), scale(unlabelled)
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
-    for step in range(1, STEPS + 1):
-        gp, gu = sigmoid(p @ w), sigmoid(u @ w)
-        loss = lambda g: -np.log(np.maximum(1 - g, 1e-12))  # noqa: E731  of a text as a negative
-        as_negative = loss(gu).mean() - prior * loss(gp).mean()
-        down = (u * gu[:, None]).mean(axis=0) - prior * (p * gp[:, None]).mean(axis=0)
-        if as_negative >= 0:
-            grad = down - prior * (p * (1 - gp)[:, None]).mean(axis=0)
-        else:
-            grad = -down
-        grad = grad + DECAY * np.r_[w[:-1], 0]
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return mean, spread, w
+def scaled(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return np.c_[np.clip((x - mean) / spread, -8, 8), np.ones(len(x))]
+
+
+def risk_sums(x: np.ndarray, positive: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of scaled features: texts, positives, losses as negatives of both, and the gradients of these losses and of the positives' own, one behind the other."""
+    g = sigmoid(x @ w)
+    loss = np.logaddexp(0, x @ w)  # of a text as a negative
+    of = positive.astype(float)
+    return np.r_[len(x), of.sum(), loss.sum(), loss @ of, (loss - x @ w) @ of, x.T @ g, x.T @ (g * of), x.T @ ((g - 1) * of)]
+
+
+def risk(sums: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The risk with its pull to zero, the part of it that unlabelled texts have as negatives, and the gradient."""
+    n, p, as_negative, p_as_negative, p_loss = sums[:5]
+    gu, gp, own = sums[5:].reshape(3, -1)
+    negative = as_negative / n - prior * p_as_negative / p
+    pull = PULL / p
+    return prior * p_loss / p + negative + 0.5 * pull * float(w[:-1] @ w[:-1]), negative, gu / n - prior * gp / p + prior * own / p + pull * np.r_[w[:-1], 0]
+
+
+def curvature(x: np.ndarray, w: np.ndarray, pull: float) -> np.ndarray:
+    g = sigmoid(x @ w)
+    return (x.T * (g * (1 - g))) @ x / max(1, len(x)) + np.diag(np.r_[np.full(len(w) - 1, pull), 1e-3])
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -125,32 +133,71 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         yield a, b, features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model, from labels outside the held-out fold; the sample's size is bounded by parameters."""
-    known = labels.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    prior, n = known.agg(F.avg("quality"), F.sum("quality")).first()
-    if not n:
-        return np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1)
-    total = docs.count()
-    by_hash = F.xxhash64("doc_id", F.lit("sample"))
-    trusted = known.filter("quality = 1").orderBy(by_hash, "doc_id").limit(POSITIVES).select("doc_id")
-    texts = docs.select("doc_id", "text")
-    positive = texts.join(F.broadcast(trusted), "doc_id", "left_semi").select(F.lit(1).alias("role"), "text")
-    unlabelled = texts.filter((fold(F.col("doc_id")) != HELD_OUT) & (F.pmod(by_hash, F.lit(max(1, total))) < UNLABELLED)).select(F.lit(0).alias("role"), "text")
+def summed(rows: DataFrame, sums: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """`sums(features, positive)` added up over all rows(positive, x); only the total goes to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                got = sums(_stored(batch.column("x")), batch.column("positive").to_numpy(zero_copy_only=False))
+                total = got if total is None else total + got
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["place", "value"])
+
+    added = rows.mapInArrow(packed.frugal(work), "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    return np.array([r.value for r in sorted(added.collect(), key=lambda r: r.place)])
+
+
+def _stored(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), WIDTH).astype(np.float64)
+
+
+def training(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """positive and x (features) of every text that may be learned from."""
+    trusted = known.filter("quality = 1").select(F.col("doc_id").alias("known_id"))
+    usable = docs.select("doc_id", "text").filter(fold(F.col("doc_id")) != HELD_OUT)
+    rows = usable.join(trusted, F.col("doc_id") == F.col("known_id"), "left").select(F.col("known_id").isNotNull().alias("positive"), F.xxhash64("doc_id", F.lit("sample")).alias("by_hash"), "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, x in _chunks(batch):
-                yield pa.RecordBatch.from_arrays([batch.column("role").slice(a, b - a), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], names=["role", "x"])
-
-    rows = positive.unionAll(unlabelled).mapInArrow(packed.frugal(work), "role int, x binary").collect()
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), WIDTH).astype(np.float64)
-    role = np.array([r.role for r in rows], int)
-    if not role.any() or role.all():
-        return np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1)
-    order = np.lexsort([*x.T[:8], role])  # sums in one order, however rows came
-    x, role = x[order], role[order]
-    return fit(x[role == 1], x[role == 0], min(0.99, max(0.01, float(prior))))
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("positive"), part.column("by_hash"), pa.array([r.astype(np.float32).tobytes() for r in x], pa.binary())], names=["positive", "by_hash", "x"])
+
+    return rows.mapInArrow(packed.frugal(work), "positive boolean, by_hash long, x binary")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model: mean and spread of the features, and weights (the last is the constant), from all texts and labels outside the held-out fold."""
+    known = labels.filter((fold(F.col("doc_id")) != HELD_OUT) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    nothing = np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH + 1)
+    prior, n = known.agg(F.avg("quality"), F.sum("quality")).first()
+    if not n:
+        return nothing
+    prior = min(0.99, max(0.01, float(prior)))
+    rows = materialise(training(docs, known))
+    moments = summed(rows, lambda x, positive: np.r_[len(x), positive.sum(), x.sum(axis=0), (x * x).sum(axis=0)])
+    if not len(moments) or not moments[1]:
+        return nothing
+    mean, square = moments[2:].reshape(2, -1) / moments[0]
+    spread = np.sqrt(np.maximum(0.0, square - mean * mean)) + 1e-3
+    some = rows.filter(F.pmod("by_hash", F.lit(int(moments[0]))) < SCALE_ROWS).select("by_hash", "x").orderBy("by_hash").limit(2 * SCALE_ROWS)
+    sample = scaled(_stored(pa.array([bytes(r.x) for r in some.collect()], pa.binary())), mean, spread)
+    look = lambda w: risk(summed(rows, lambda x, positive: risk_sums(scaled(x, mean, spread), positive, w)), w, prior)
+    w, reach = np.zeros(WIDTH + 1), REACH
+    value, _, grad = look(w)
+    for _ in range(PASSES):
+        step = np.linalg.solve(curvature(sample, w, PULL / moments[1]), grad)
+        there = w - step * min(1.0, reach / max(1e-12, float(np.abs(sample @ step).mean())))
+        risk_there, negative, grad_there = look(there)
+        if negative < 0 or risk_there > value:  # beyond here the fit would only learn that the positives are known
+            reach /= 4
+        else:
+            w, value, grad = there, risk_there, grad_there
+        if np.abs(grad).max() < ENOUGH or reach < REACH / 200:
+            break
+    return mean, spread, w
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: list[str], name: str = "score") -> DataFrame:

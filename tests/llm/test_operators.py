@@ -354,3 +354,37 @@ def test_very_deep_and_very_wide_pages(spark):
 def test_hashes_of_nothing(docs):
     empty = hashlib.sha256(b"").hexdigest()
     assert empty.startswith("e3b0c442")
+
+
+def test_quality_fit_is_over_all_texts(spark):
+    """Moments, risk and gradient are those of all rows at once, and the gradient is that of the risk."""
+    Q = quality_classifier
+    rng = np.random.default_rng(8)
+    say = lambda i: " ".join(rng.choice(["alpha", "beta", "the", "of", "####", "a" * 60], 30 + i % 50))
+    rows = [(i, None if i % 41 == 0 else "" if i % 43 == 0 else say(i)) for i in range(400)] + [(7, "twice of one id"), (7, "twice of one id"), (None, "no id"), (900, "x " * 60_000)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 400, 2)] + [(7, 1, 0), (8, None, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    known = labels.filter((Q.fold(Q.F.col("doc_id")) != 0) & Q.F.col("quality").isNotNull()).groupBy("doc_id").agg(Q.F.min("quality").alias("quality"))
+    kept = [(i, t or "") for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 5]
+    good = {r.doc_id for r in known.collect() if r.quality == 1}
+    data = [t.encode() for _, t in kept]
+    x = Q.features(np.frombuffer(b"".join(data), np.uint8), np.r_[0, np.cumsum([len(b) for b in data])]).astype(np.float32).astype(float)
+    positive = np.array([i in good for i, _ in kept])
+    found = Q.training(docs, known).cache()
+    got = Q.summed(found, lambda a, p: np.r_[len(a), p.sum(), a.sum(axis=0), (a * a).sum(axis=0)])
+    assert np.allclose(got, np.r_[len(x), positive.sum(), x.sum(axis=0), (x * x).sum(axis=0)], rtol=1e-5)
+    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-3
+    w = rng.normal(size=Q.WIDTH + 1) * 0.05
+    z = Q.scaled(x, mean, spread)
+    sums = Q.summed(found, lambda a, p: Q.risk_sums(Q.scaled(a, mean, spread), p, w))
+    assert np.allclose(sums, Q.risk_sums(z, positive, w), rtol=1e-5, atol=1e-4)
+    loss = lambda v: Q.risk(Q.risk_sums(z, positive, v), v, 0.4)[0]
+    grad = Q.risk(sums, w, 0.4)[2]
+    for k in (3, 97, 256, 260, Q.WIDTH):
+        e = np.zeros(Q.WIDTH + 1)
+        e[k] = 1e-5
+        assert abs((loss(w + e) - loss(w - e)) / 2e-5 - grad[k]) < 1e-4
+    s = np.log1p(np.exp(-np.abs(z @ w))) + np.maximum(z @ w, 0)
+    assert abs(Q.risk(sums, w, 0.4)[1] - (s.mean() - 0.4 * s[positive].mean())) < 1e-5
+    got = Q.score(docs, labels, ["doc_id"]).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 7 and r.score}) <= 2 and all(0 <= r.score <= 1 for r in got)
