@@ -22,27 +22,85 @@ def _kind() -> Column:
     return F.when(F.array_contains("labels", "Class"), "Class").when(F.array_contains("labels", "Property"), "Property").when(F.array_contains("labels", "Element"), "Element")
 
 
+def _named(nodes: DataFrame) -> DataFrame:
+    """iri, name, low, kind, size, layers of nodes whose names can be compared."""
+    usable = nodes.filter(F.col("name").isNotNull() & ~F.arrays_overlap("labels", E.strings(S.FORBIDDEN_MERGE_LABELS)))
+    return usable.select("iri", "name", F.lower("name").alias("low"), _kind().alias("kind"), F.char_length("name").alias("size"), "layers").filter("kind is not null")
+
+
+def _turned(best: DataFrame, also_new: Column) -> DataFrame:
+    """source, target, similarity of best(new_iri, new_size, iri, size, similarity): onto what every ledger has, else onto the shorter name, else onto the smaller IRI of two new ones."""
+    seeds = [f"{S.NAMESPACE}:class/{x}" for x in S.SEED_CLASSES] + [f"{S.NAMESPACE}:property/{x}" for x in S.SEED_PROPERTIES]
+    seeded = lambda c: F.col(c).isin(*seeds)
+    onto_new = seeded("new_iri") | (~seeded("iri") & ((F.col("new_size") < F.col("size")) | ((F.col("new_size") == F.col("size")) & also_new & (F.col("new_iri") < F.col("iri")))))
+    return best.select(F.when(onto_new, F.col("iri")).otherwise(F.col("new_iri")).alias("source"), F.when(onto_new, F.col("new_iri")).otherwise(F.col("iri")).alias("target"), "similarity").distinct()
+
+
+def _floor() -> Column:
+    return F.when(F.col("kind") == "Property", S.PROPERTY_MERGE_FLOOR).otherwise(S.MERGE_FLOOR)
+
+
 def suggestions(nodes: DataFrame, scope: Sequence[str], created: Sequence[str], limit: int = S.MAX_LIMIT) -> DataFrame:
     """source, target, similarity: older nodes that new ones (a bounded list) may repeat, three for each.
 
-    Names meet by kind and length (two edits change the length by two at most), then by edit distance.
+    Names meet by kind and length (two edits change the length by two at most), then by edit distance. For many new nodes see `suggestions_among`.
     """
-    usable = nodes.filter(F.col("name").isNotNull() & ~F.arrays_overlap("labels", E.strings(S.FORBIDDEN_MERGE_LABELS))).select("iri", "name", F.lower("name").alias("low"), _kind().alias("kind"), F.char_length("name").alias("size"), "layers").filter("kind is not null")
-    new = usable.filter(F.col("iri").isin(*created)).select(F.col("iri").alias("new_iri"), F.col("name").alias("new_name"), F.col("low").alias("new_low"), "kind", F.col("size").alias("new_size"), F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)).alias("size"))
+    usable = _named(nodes)
+    new = usable.filter(F.col("iri").isin(*created)).select(F.col("iri").alias("new_iri"), F.col("low").alias("new_low"), "kind", F.col("size").alias("new_size"), F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2)).alias("size"))
     pairs = T.seen_nodes(usable, scope).join(new, ["kind", "size"]).filter("iri <> new_iri")
     allowed = E.fuzzy_limit(F.least("size", "new_size"))
     pairs = pairs.withColumn("edits", F.levenshtein("low", "new_low", 2)).filter((F.col("edits") >= 0) & (F.col("edits") <= allowed))
-    similarity = E.name_similarity(F.col("low"), F.col("new_low"))
-    floor = F.when(F.col("kind") == "Property", S.PROPERTY_MERGE_FLOOR).otherwise(S.MERGE_FLOOR)
-    close = pairs.withColumn("similarity", similarity).filter(F.col("similarity") >= floor)
+    close = pairs.withColumn("similarity", E.name_similarity(F.col("low"), F.col("new_low"))).filter(F.col("similarity") >= _floor())
     place = F.row_number().over(W.partitionBy("new_iri").orderBy(F.col("similarity").desc(), "size", "iri"))
     best = close.withColumn("n", place).filter(F.col("n") <= S.SUGGESTIONS)
-    seeds = [f"{S.NAMESPACE}:class/{x}" for x in S.SEED_CLASSES] + [f"{S.NAMESPACE}:property/{x}" for x in S.SEED_PROPERTIES]
-    seeded = lambda c: F.col(c).isin(*seeds)
-    also_new = F.col("iri").isin(*created)
-    onto_new = seeded("new_iri") | (~seeded("iri") & ((F.col("new_size") < F.col("size")) | ((F.col("new_size") == F.col("size")) & also_new & (F.col("new_iri") < F.col("iri")))))
-    turned = best.select(F.when(onto_new, F.col("iri")).otherwise(F.col("new_iri")).alias("source"), F.when(onto_new, F.col("new_iri")).otherwise(F.col("iri")).alias("target"), "similarity").distinct()
-    return numbered(turned, [F.col("similarity").desc(), F.col("source"), F.col("target")], limit)
+    return numbered(_turned(best, F.col("iri").isin(*created)), [F.col("similarity").desc(), F.col("source"), F.col("target")], limit)
+
+
+#: The similarity floor lets a name of fewer characters differ by no edit, or by one only.
+ONE_EDIT, TWO_EDITS = 6, 12
+
+
+def deletion_keys(low: Column, kind: Column, size: Column) -> Column:
+    """Hashes of a name with no, one or two characters left out: names within two edits share one. A name of n characters has about n * n / 2."""
+    without = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.char_length(s)))
+    places = lambda s, first: F.when(F.char_length(s) >= first, F.sequence(first, F.char_length(s))).otherwise(F.array().cast("array<int>"))
+    one = F.transform(places(low, F.lit(1)), lambda i: without(low, i))
+    two = F.flatten(F.transform(places(low, F.lit(1)), lambda i: F.transform(places(without(low, i), i), lambda j: without(without(low, i), j))))
+    short = F.array(low)
+    names = F.when(size < ONE_EDIT, short).when(size < TWO_EDITS, F.concat(short, one)).otherwise(F.concat(short, one, two))
+    return F.array_distinct(F.transform(names, lambda s: F.xxhash64(kind, s)))
+
+
+def name_index(nodes: DataFrame) -> DataFrame:
+    """kind, low, size, key: the deletion keys of all different names of a kind, to be stored beside nodes."""
+    return _named(nodes).select("kind", "low", "size").distinct().withColumn("key", F.explode(deletion_keys(F.col("low"), F.col("kind"), F.col("size"))))
+
+
+def suggestions_among(nodes: DataFrame, scope: Sequence[str], created: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """source, target, similarity for any number of new nodes(iri), three for each, by an equi-join of deletion keys.
+
+    Equal names are one class, of which the first nodes are all that can be suggested; so a name that a third of all nodes
+    bear costs no more than another.
+    """
+    usable = sweep.stored(_named(nodes))
+    index = name_index(nodes) if index is None else index
+    new_names = usable.join(created.select("iri"), "iri", "left_semi").select("kind", "low", "size").distinct()
+    asked = index.join(new_names, ["kind", "low", "size"], "left_semi").select("kind", F.col("low").alias("new_low"), F.col("size").alias("new_size"), "key")
+    met = asked.join(index, ["kind", "key"]).select("kind", "new_low", "new_size", "low", "size").distinct()
+    allowed = E.fuzzy_limit(F.least("size", "new_size"))
+    met = met.withColumn("edits", F.levenshtein("low", "new_low", 2)).filter((F.col("edits") >= 0) & (F.col("edits") <= allowed))
+    close = met.withColumn("similarity", E.name_similarity(F.col("low"), F.col("new_low"))).filter(F.col("similarity") >= _floor())
+    most = S.SUGGESTIONS + 1  # one of them may be the node itself
+    first = F.row_number().over(W.partitionBy("kind", "low", "size").orderBy("iri"))
+    heads = T.seen_nodes(usable, scope).withColumn("n", first).filter(F.col("n") <= most).select("kind", "low", "size", "iri")
+    order = [F.col("similarity").desc(), F.col("size"), F.col("iri")]
+    of_name = F.row_number().over(W.partitionBy("kind", "new_low", "new_size").orderBy(*order))
+    list_of = close.join(heads, ["kind", "low", "size"]).withColumn("n", of_name).filter(F.col("n") <= most).select("kind", "new_low", "new_size", "iri", "size", "similarity")
+    new = usable.join(created.select("iri"), "iri", "left_semi").select("kind", F.col("low").alias("new_low"), F.col("size").alias("new_size"), F.col("iri").alias("new_iri"))
+    of_node = F.row_number().over(W.partitionBy("new_iri").orderBy(*order))
+    best = new.join(list_of, ["kind", "new_low", "new_size"]).filter("iri <> new_iri").withColumn("n", of_node).filter(F.col("n") <= S.SUGGESTIONS)
+    known = created.select(F.col("iri")).distinct().withColumn("is_new", F.lit(True))
+    return _turned(best.join(known, "iri", "left"), F.coalesce("is_new", F.lit(False)))
 
 
 #: Facts that can contradict each other: unqualified ones among themselves, qualified ones where their times meet.

@@ -243,6 +243,16 @@ def one(ctes: str, select: str) -> str:
     return f"WITH {BASE.strip()}{', ' + ctes if ctes else ''}\n{select}"
 
 
+def suggested(created: str) -> str:
+    """s(source, target, similarity) for new nodes that fulfil a condition on `iri` or `labels`."""
+    return f"""c AS (SELECT iri, labels, lower(name) AS low, name, CASE WHEN list_contains(labels, 'Class') THEN 'Class' WHEN list_contains(labels, 'Property') THEN 'Property' WHEN list_contains(labels, 'Element') THEN 'Element' END AS kind, layers, {created} AS new FROM nodes WHERE name IS NOT NULL),
+p AS (SELECT n.iri AS ni, n.name AS nn, o.iri AS oi, o.name AS "on", o.new, n.kind, levenshtein(n.low, o.low) AS d, 1 - levenshtein(n.low, o.low)::DOUBLE / greatest(length(n.low), length(o.low)) AS similarity
+  FROM c n JOIN c o ON n.kind = o.kind AND n.iri <> o.iri AND abs(length(n.name) - length(o.name)) <= 2 WHERE n.new AND {vis("o.layers", EVERY)}),
+a AS (SELECT *, row_number() OVER (PARTITION BY ni ORDER BY similarity DESC, length("on"), oi) AS n FROM p WHERE d <= CASE WHEN least(length(nn), length("on")) < 3 THEN 0 WHEN least(length(nn), length("on")) < 5 THEN 1 ELSE 2 END AND similarity >= CASE WHEN kind = 'Property' THEN {S.PROPERTY_MERGE_FLOOR} ELSE {S.MERGE_FLOOR} END),
+t AS (SELECT *, length(nn) < length("on") OR (length(nn) = length("on") AND new AND ni < oi) AS onto FROM a WHERE n <= {S.SUGGESTIONS}),
+s AS (SELECT DISTINCT CASE WHEN onto THEN oi ELSE ni END AS source, CASE WHEN onto THEN ni ELSE oi END AS target, similarity FROM t)"""
+
+
 def oracles() -> dict[str, str]:
     seen = lambda scope, *a: one(f"a AS (SELECT * FROM facts WHERE {current(scope, *a)}), b AS ({closed('a', scope)})", f"SELECT iri, type, s_iri, o_iri, {text('layers')}, weight FROM b")
     looked = lambda limit, at: one(
@@ -290,14 +300,10 @@ i AS (SELECT unnest({lst(IRIS)}) AS v, generate_subscripts({lst(IRIS)}, 1) - 1 A
         "bundle_select": one(f"{fused(S.MAX_LIMIT).strip()}, g AS (SELECT x.*, row_number() OVER (PARTITION BY s_iri, property_iri ORDER BY rank) > 2 AS late FROM fused x JOIN facts USING (iri) WHERE eligible)", f"SELECT iri, row_number() OVER (ORDER BY late, rank) AS place FROM g ORDER BY place LIMIT {S.BUNDLE_REFS}"),
         "structural_context": one(f"k0 AS (SELECT * FROM facts WHERE {current(EVERY, types=('ASSERTS',))}), known AS ({closed('k0', EVERY)}), anchors AS (SELECT * FROM (VALUES ('{FACT}', 0.5::DOUBLE), ('{ANCHOR}', 0.25::DOUBLE)) t(iri, anchor_score)), {STRUCTURAL}", "SELECT iri, round(score, 6) AS score FROM struct"),
         "merge_suggestions": one(
-            f"""c AS (SELECT iri, lower(name) AS low, name, CASE WHEN list_contains(labels, 'Class') THEN 'Class' WHEN list_contains(labels, 'Property') THEN 'Property' WHEN list_contains(labels, 'Element') THEN 'Element' END AS kind, layers FROM nodes WHERE name IS NOT NULL),
-p AS (SELECT n.iri AS ni, n.name AS nn, o.iri AS oi, o.name AS "on", n.kind, levenshtein(n.low, o.low) AS d, 1 - levenshtein(n.low, o.low)::DOUBLE / greatest(length(n.low), length(o.low)) AS similarity
-  FROM c n JOIN c o ON n.kind = o.kind AND n.iri <> o.iri AND abs(length(n.name) - length(o.name)) <= 2 WHERE n.iri IN {inside(CREATED)} AND {vis("o.layers", EVERY)}),
-a AS (SELECT *, row_number() OVER (PARTITION BY ni ORDER BY similarity DESC, length("on"), oi) AS n FROM p WHERE d <= CASE WHEN least(length(nn), length("on")) < 3 THEN 0 WHEN least(length(nn), length("on")) < 5 THEN 1 ELSE 2 END AND similarity >= CASE WHEN kind = 'Property' THEN {S.PROPERTY_MERGE_FLOOR} ELSE {S.MERGE_FLOOR} END),
-t AS (SELECT *, length(nn) < length("on") OR (length(nn) = length("on") AND oi IN {inside(CREATED)} AND ni < oi) AS onto FROM a WHERE n <= {S.SUGGESTIONS}),
-s AS (SELECT DISTINCT CASE WHEN onto THEN oi ELSE ni END AS source, CASE WHEN onto THEN ni ELSE oi END AS target, similarity FROM t)""",
+            suggested(f"iri IN {inside(CREATED)}"),
             "SELECT row_number() OVER (ORDER BY similarity DESC, source, target) AS rank, source, target, round(similarity, 6) AS similarity FROM s",
         ),
+        "merge_suggestions_all": one(suggested("list_has_any(labels, ['Customer', 'Supplier'])"), "SELECT source, target, round(similarity, 6) AS similarity FROM s"),
         "conflicts_overlap": one(
             f"a AS (SELECT * FROM facts WHERE {current(SCOPE, types=('ASSERTS',))}), b AS ({closed('a', SCOPE)})",
             "SELECT x.iri, y.iri AS other_iri FROM b x JOIN b y ON x.s_iri = y.s_iri AND x.property_iri = y.property_iri AND x.o_iri <> y.o_iri AND x.iri < y.iri WHERE (NOT x.eff_qualified AND NOT y.eff_qualified) OR (x.eff_qualified AND y.eff_qualified AND (x.eff_from IS NULL OR y.eff_to IS NULL OR x.eff_from < y.eff_to) AND (y.eff_from IS NULL OR x.eff_to IS NULL OR y.eff_from < x.eff_to))",

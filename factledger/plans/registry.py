@@ -291,6 +291,14 @@ def merge_suggestions(spark: SparkSession, sf: str) -> DataFrame:
     return resolve.suggestions(fixtures.load(spark, sf).nodes, EVERY, D.CREATED).withColumn("similarity", F.round("similarity", 6))
 
 
+@query
+def merge_suggestions_all(spark: SparkSession, sf: str) -> DataFrame:
+    """What every customer and supplier may repeat, as if all of them were new."""
+    nodes = fixtures.load(spark, sf).nodes
+    found = resolve.suggestions_among(nodes, EVERY, nodes.filter(F.arrays_overlap("labels", E.strings(["Customer", "Supplier"]))).select("iri"))
+    return found.select("source", "target", F.round("similarity", 6).alias("similarity"))
+
+
 @query
 def conflicts_overlap(spark: SparkSession, sf: str) -> DataFrame:
     led = fixtures.load(spark, sf)
