@@ -6,7 +6,7 @@ from. The risk of the unlabelled texts as negatives, less the prior's share of t
 going below zero, which is where such a fit begins to overfit: a step that would take it there is shortened, and the fit ends at that border. The
 pull of weights to zero is `PULL` over the number of positives, so it fades as there are more.
 
-Every text that may be learned from counts as unlabelled web text, and every one of them with label 1 as a trusted positive; mean and spread of the features, the risk and its
+Every text that may be learned from counts as unlabelled web text, and those of at most `POSITIVES` documents with label 1, chosen by hash, as trusted positives; mean and spread of the features, the risk and its
 gradient are sums over all of them, added up by Spark in one pass over stored features each. Only the scale of a step, the matrix of second derivatives,
 comes from a sample of `SCALE_ROWS` texts or so, chosen by hash; it decides how fast the fit arrives, not where. Up to that border
 the risk is convex (the logistic losses of a text as a positive and as a negative differ by the score itself), so about ten passes do.
@@ -33,7 +33,8 @@ from factledger.llm.quality_rules import STOP_WORDS
 from factledger.llm.windows import CHUNK, Rolling, word_units, _BYTES
 
 FOLDS, HELD_OUT, CUT = 5, 0, 0.3
-#: Texts behind the scale of a step (about), passes over all texts, gradient at which they end, how far a step moves scores on average, and the pull of weights to zero, times the positives.
+#: Labelled documents that are trusted positives (all, if there are fewer). Texts behind the scale of a step (about), passes over all texts, gradient at which they end, how far a step moves scores on average, and the pull of weights to zero, times the positives.
+POSITIVES = 20_000
 SCALE_ROWS, PASSES, ENOUGH, REACH, PULL = 4000, 14, 1e-4, 2.0, 80.0
 DENSE = 12
 WIDTH = 256 + DENSE
@@ -155,7 +156,8 @@ def _stored(column: pa.Array) -> np.ndarray:
 
 def training(docs: DataFrame, known: DataFrame) -> DataFrame:
     """positive and x (features) of every text that may be learned from."""
-    trusted = known.filter("quality = 1").select(F.col("doc_id").alias("known_id"))
+    some = known.filter("quality = 1").orderBy(F.xxhash64("doc_id", F.lit("trusted")), "doc_id").limit(POSITIVES)
+    trusted = F.broadcast(some.select(F.col("doc_id").alias("known_id")))  # `POSITIVES` numbers at most
     usable = docs.select("doc_id", "text").filter(fold(F.col("doc_id")) != HELD_OUT)
     rows = usable.join(trusted, F.col("doc_id") == F.col("known_id"), "left").select(F.col("known_id").isNotNull().alias("positive"), F.xxhash64("doc_id", F.lit("sample")).alias("by_hash"), "text")
 
