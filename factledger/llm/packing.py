@@ -4,7 +4,9 @@ Documents become token pieces of at most `capacity` ids. Only how many pieces th
 `capacity` numbers) goes to the driver, which plans there by branch and bound: around the longest piece left, the undominated
 fillings are tried depth first, nearest to full first; a branch ends once its waste forbids fewer sequences than the
 incumbent has, and best-fit decreasing is the first incumbent. A filling is repeated as often as the counts allow, and once
-as the other branch, so that every plan can be reached. The search ends at a lower bound on the sequences or after `STEPS`
+as the other branch, so that every plan can be reached. Where best-fit decreasing stays more than `GAP` above the lower bound, a second incumbent
+comes from column generation over the lengths: fillings in fractions of sequences, whose whole parts are taken, and bin completion
+of what rounding leaves, which is as small for any counts. Its prices give a lower bound, too. The search ends at a lower bound on the sequences or after `STEPS`
 steps; a plan is whole and valid then, only not proven to be the smallest. The plan is a list of patterns, bounded by
 `capacity` as well; pieces of one length are numbered across the cluster and look up their place in it.
 
@@ -45,6 +47,10 @@ TEXT_BYTES, CACHED_IDS = 2 << 20, 1_000_000
 _SIMPLE = r"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<mark>[.,;:!?*$%&#]*)$"
 #: Steps of the plan's search: pieces tried for a filling, and so many more for each sequence that fillings are looked for.
 STEPS, NODE_STEPS = 500_000, 100
+#: Numbers that column generation touches at most, and how often what its rounding leaves is solved again.
+WORK, ROUNDINGS = 3e9, 8
+#: Fillings that one pricing offers, and the share of sequences above the bound from which on columns are generated.
+FILLINGS, GAP = 24, 0.001
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -277,13 +283,111 @@ def least(count: np.ndarray, capacity: int) -> int:
     return best
 
 
+def fullest(price: np.ndarray, lengths: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """Fillings worth more than 1, where each length has a price and may be taken any number of times: how many of each; the one that is worth most first."""
+    worth, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    use = np.flatnonzero(price > 0)
+    for i, v, p in zip(use.tolist(), lengths[use].tolist(), price[use].tolist(), strict=True):
+        for _ in range(capacity // v):
+            more = worth[:-v] + p
+            better = more > worth[v:] + 1e-12
+            if not better.any():
+                break
+            worth[v:][better] = more[better]
+            last[v:][better] = i
+    around = price + worth[capacity - lengths]  # the best filling that has this length
+    found = []
+    for first in np.argsort(-around, kind="stable")[:FILLINGS]:
+        if around[first] <= 1 + 1e-9:
+            break
+        taken, at = np.zeros(len(lengths)), int(capacity - lengths[first])
+        taken[first] = 1
+        while at > 0:
+            if last[at] < 0 or worth[at] <= worth[at - 1]:
+                at -= 1
+                continue
+            taken[last[at]] += 1
+            at -= int(lengths[last[at]])
+        found.append(taken)
+    return found
+
+
+def columns(count: np.ndarray, capacity: int, work: list[float]) -> tuple[list[tuple[np.ndarray, float]], np.ndarray, int]:
+    """Fillings with the fractions of sequences that use up the counts in the fewest of them (column generation), the lengths, and a lower bound.
+
+    `work` holds how many numbers may still be touched; the fractions are right, but perhaps not the fewest, if that ends it.
+    """
+    lengths = np.flatnonzero(count)
+    need = count[lengths].astype(float)
+    own = np.diag((capacity // lengths).astype(float))
+    inverse, x = np.diag(1 / np.diag(own)), need / np.diag(own)
+    m, bound = len(lengths), 0.0
+    cost = float((capacity // lengths).sum()) * capacity
+    while work[0] > 0:
+        work[0] -= cost
+        price = inverse.sum(axis=0)
+        found = fullest(price, lengths, capacity)
+        bound = max(bound, float(need @ price) / max([1.0, *(float(price @ f) for f in found[:1])]))
+        if not found or math.ceil(bound - 1e-6) >= math.ceil(x.sum() - 1e-6):
+            break
+        for new in found:
+            if inverse.sum(axis=0) @ new <= 1 + 1e-9:
+                continue
+            work[0] -= m * m
+            step = inverse @ new
+            can = np.flatnonzero(step > 1e-9)
+            out = can[np.argmin(x[can] / step[can])]
+            by = x[out] / step[out]
+            x = np.maximum(x - by * step, 0)
+            x[out] = by
+            own[:, out] = new
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+    return [(own[:, i].astype(np.int64), float(x[i])) for i in np.flatnonzero(x > 1e-9)], lengths, math.ceil(bound - 1e-6)
+
+
+def seeded(count: np.ndarray, capacity: int, work: float = WORK) -> tuple[list[Pattern], np.ndarray, int]:
+    """A plan from rounded fractions, with the pieces that it leaves (few, whatever the counts), and a lower bound on the sequences."""
+    left, done, goal, budget = count.copy(), [], 0, [work]
+    for turn in range(ROUNDINGS):
+        if not left.any():
+            break
+        found, lengths, bound = columns(left, capacity, budget)
+        goal = bound if not turn else goal
+        before = len(done)
+        for up in (False, True):
+            for own, x in sorted(found, key=lambda f: f[1] % 1, reverse=True):
+                used = np.flatnonzero(own)
+                most = int((left[lengths[used]] // own[used]).min())
+                times = min(most, int(x + 1e-9) if not up else int(x % 1 > 0.7 or len(done) == before))
+                if times:
+                    left[lengths[used]] -= times * own[used]
+                    done.append(Pattern(tuple(np.repeat(lengths, own)[::-1].tolist()), times))
+        if len(done) == before or budget[0] <= 0:
+            break
+    return done, left, goal
+
+
 def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> list[Pattern]:
     """Patterns that use up the counts (by length, 0 to capacity) in as few sequences as the search finds."""
     count = np.array(count, np.int64)
     count[0] = 0
-    total = int((count * np.arange(capacity + 1)).sum())
-    goal = least(count, capacity)
     best, bins = best_fit(count, capacity)
+    goal = least(count, capacity)
+    if bins - goal > GAP * goal:
+        some, rest, bound = seeded(count, capacity)
+        goal = max(goal, bound)
+        other = some + complete(rest, capacity, *best_fit(rest, capacity), least(rest, capacity), steps)
+        if sum(p.times for p in other) < bins:
+            best, bins = other, sum(p.times for p in other)
+    return complete(count, capacity, best, bins, goal, steps)
+
+
+def complete(count: np.ndarray, capacity: int, best: list[Pattern], bins: int, goal: int, steps: int) -> list[Pattern]:
+    """Bin completion: a plan of fewer sequences than the incumbent `best` has, or that."""
+    count = count.copy()
+    total = int((count * np.arange(capacity + 1)).sum())
     taken: list[Pattern] = []
     left = [steps]
 
