@@ -6,6 +6,7 @@ given, and published as one version with one episode. Merges can touch any numbe
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -22,6 +23,9 @@ from factledger.sources import fixtures
 from factledger.sources.store import TABLES, Store
 
 CATALOG = {"Class", "Property"}
+#: What may stand beside each selector of a recall.
+SELECTORS = {"text": ("effective_at",), "labels": ("effective_at",), "iris": ("hops", "effective_at"), "around": ("p", "depth", "direction", "effective_at"), "history": ()}
+IRI = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:\S+")
 
 
 def bounded(items: list, what: str, most: int = S.MAX_BATCH) -> list:
@@ -57,7 +61,7 @@ class FactLedger:
 
     # Reads
 
-    def recall(self, scope: list[str], text: str | None = None, iris: list[str] | None = None, labels: list[str] | None = None, around: str | None = None, history: str | None = None, hops: int = 0, p: list[str] | None = None, depth: int = 1, direction: str = "both", limit: int = S.DEFAULT_LIMIT, effective_at: str | None = None) -> dict[str, DataFrame]:
+    def recall(self, scope: list[str], text: str | None = None, iris: list[str] | None = None, labels: list[str] | None = None, around: str | None = None, history: str | None = None, hops: int = 0, p: list[str] | None = None, depth: int = 1, direction: str = "both", limit: int = S.DEFAULT_LIMIT, effective_at: str | None = None, _more: int = 0, _version: int | None = None) -> dict[str, DataFrame]:
         """Exactly one of text, iris, labels, around and history; the parts of the answer by name."""
         if sum(x is not None for x in (text, iris, labels, around, history)) != 1:
             raise InvalidInput("exactly one of text, iris, labels, around, history")
@@ -67,16 +71,16 @@ class FactLedger:
             raise InvalidInput("depth is 1 to 3, direction both, outgoing or incoming, hops 0 or 1")
         scope = N.layers(scope)
         at = str(N.instant(effective_at)) if effective_at else None
-        now = self.store.version()
+        now = self.store.version() if _version is None else _version
         nodes, facts = self.table("nodes", now), self.table("facts", now)
         if history is not None:
             episodes = self.table("episodes", now)
             of_fact = N.kind_of(history) == "relationship"
             shown, changed = (lookup.history_fact, lookup.revisions_fact) if of_fact else (lookup.history_node, lookup.revisions_node)
-            return {"facts": shown(facts, nodes, episodes, scope, history, limit), "revisions": changed(facts, nodes, episodes, scope, history, limit)}
+            return {"facts": shown(facts, nodes, episodes, scope, history, limit + _more), "revisions": changed(facts, nodes, episodes, scope, history, limit + _more)}
         if around is not None:
             predicates = [N.mint_iri(x, "property") for x in p or []]
-            return {"facts": walk.around(facts, nodes, scope, around, depth, direction, predicates, at, limit)}
+            return {"facts": walk.around(facts, nodes, scope, around, depth, direction, predicates, at, limit + _more)}
         if iris is not None:
             bounded(iris, "iris")
             if len(set(iris)) != len(iris) or any(N.kind_of(x) == "relationship" for x in iris):
@@ -87,27 +91,91 @@ class FactLedger:
             if not labels or len(set(labels)) != len(labels):
                 raise InvalidInput("labels are different and at least one")
             if set(labels) <= CATALOG:
-                return {"nodes": search.catalog(nodes, labels, limit)}
+                return {"nodes": search.catalog(nodes, labels, limit + _more)}
             if set(labels) & CATALOG:
                 raise InvalidInput("Class and Property are listed on their own")
-            hits = search.recall_labels(facts, nodes, scope, labels, limit, at)
+            hits = search.recall_labels(facts, nodes, scope, labels, limit + _more, at)
         else:
             if not text.strip():
                 raise InvalidInput("text is empty")
-            hits = search.recall_text(facts, nodes, scope, text.strip(), limit, at, lexicon=self.store.lexicon(now))
+            hits = search.recall_text(facts, nodes, scope, text.strip(), limit + _more, at, lexicon=self.store.lexicon(now))
         return {"facts": hits, "about": search.about_context(facts, nodes, scope, search.context_subjects(hits, nodes), limit)}
 
-    def answer(self, scope: list[str], limit: int = S.DEFAULT_LIMIT, concise: bool = False, effective_at: str | None = None, **asked: object) -> dict:
-        """A recall by text or labels as one nested answer: facts with both ends, nodes, handles, and whether there is more."""
-        if not 1 <= limit <= S.MAX_LIMIT or set(asked) - {"text", "labels"} or len(asked) != 1:
-            raise InvalidInput("text or labels, and a limit of 1 to 100")
+    @staticmethod
+    def _asked(asked: dict) -> str:
+        """The one selector of a recall; arguments that it doesn't take are refused."""
+        mode = [k for k in SELECTORS if asked.get(k) is not None]
+        if len(mode) != 1:
+            raise InvalidInput("exactly one of text, iris, labels, around, history")
+        mode = mode[0]
+        for name in asked.keys() - SELECTORS.keys():
+            if name not in SELECTORS[mode] and asked[name] is not None:
+                raise InvalidInput(f"{name} does not go with {mode}")
+        for iri in [asked[mode]] if mode in ("around", "history") else asked[mode] if mode == "iris" else []:
+            if not IRI.fullmatch(iri) or (N.kind_of(iri) == "relationship" and mode != "history"):
+                raise InvalidInput(f"{iri!r} is no node of a ledger")
+        if mode == "labels" and set(asked["labels"]) <= CATALOG and asked.get("effective_at"):
+            raise InvalidInput("the catalog has no time")
+        return mode
+
+    def answer(self, scope: list[str], limit: int = S.DEFAULT_LIMIT, concise: bool = False, **asked: object) -> dict:
+        """A recall as one nested answer: facts with both ends, nodes, paths, lookups, revisions, what is said about them, handles, and whether there is more."""
+        mode = self._asked(asked)
+        if not 1 <= limit <= S.MAX_LIMIT:
+            raise InvalidInput(f"limit is 1 to {S.MAX_LIMIT}")
         scope = N.layers(scope)
-        at = str(N.instant(effective_at)) if effective_at else None
         now = self.store.version()
-        facts, nodes = self.table("facts", now), self.table("nodes", now)
-        hits = search.recall_text(facts, nodes, scope, asked["text"], limit + 1, at, lexicon=self.store.lexicon(now)) if "text" in asked else search.recall_labels(facts, nodes, scope, asked["labels"], limit + 1, at)
-        facts, more = envelope.page(hits, limit, scope)
-        return envelope.finish(facts, more, concise=concise)
+        found = self.recall(scope, limit=limit, _more=1, _version=now, **asked)
+        if "nodes" in found:
+            rows = [r["n"].asDict(True) for r in found["nodes"].select("rank", envelope.node().alias("n")).orderBy("rank").collect()]  # a page
+            return envelope.finish("catalog", scope, [], len(rows) > limit, rows[:limit], concise)
+        nodes, facts = self.table("nodes", now), self.table("facts", now)
+        listed = lambda df: [r["n"].asDict(True) for r in df.select("iri", envelope.node().alias("n")).orderBy("iri").collect()]
+        if mode == "iris":
+            return self._looked_up(found, scope, limit, concise, nodes)
+        if mode == "around":
+            shown, more = envelope.page(triples.closed(found["facts"], nodes, scope), limit, scope, "path_nodes")
+            first = found["facts"].filter(F.col("rank") <= limit)
+            steps: dict[int, list] = {}
+            for r in walk.path_edges(first, facts).orderBy("rank", "place").collect():  # three at most for each fact
+                steps.setdefault(r["rank"], []).append({"iri": r["iri"], "from": r["from_iri"], "p": r["property_iri"], "to": r["to_iri"]})
+            paths = [{"nodes": f.pop("path_nodes"), "edges": steps[i]} for i, f in enumerate(shown, 1)]
+            return envelope.finish(mode, scope, shown, more, listed(walk.path_nodes(first, nodes, scope, asked["around"])), concise, paths=paths, **{"from": asked["around"]})
+        if mode == "history":
+            shown, more = envelope.page(found["facts"], limit, scope, "current", "transaction_current", "transaction")
+            changes = [r.asDict(True) for r in found["revisions"].orderBy("rank").collect()]
+            revised = [{"replacement": r["replacement_fact_iri"], "previous": r["previous_fact_iri"], "supersedes": r["supersedes_iri"], "scope": r["selected_scope"], "episode": {"iri": r["iri"], "at": r["at"]}} for r in changes[:limit]]
+            lookups = [{"iri": asked["history"], "found": bool(shown), "facts": [], "truncated": more}]
+            return envelope.finish(mode, scope, shown, more or len(changes) > limit, listed(walk.path_nodes(found["facts"].filter(F.col("rank") <= limit), nodes, scope)), concise, revisions=revised, revisionsTruncated=len(changes) > limit, lookups=lookups, **{"from": asked["history"]})
+        shown, more = envelope.page(found["facts"], limit, scope)
+        about = search.about_context(facts, nodes, scope, search.context_subjects(found["facts"].filter(F.col("rank") <= limit), nodes), limit)
+        return envelope.finish(mode, scope, shown, more, concise=concise, about=envelope.page(about, limit, scope)[0])
+
+    def _looked_up(self, found: dict[str, DataFrame], scope: list[str], limit: int, concise: bool, nodes: DataFrame) -> dict:
+        """Each iri with its node and facts; the facts of all, once each, in front."""
+        rows = found["lookups"].drop("datatype", "stub").join(nodes.select("iri", "datatype", "stub"), "iri", "left").select("position", "iri", "found", envelope.node().alias("n")).orderBy("position").collect()  # twenty at most
+        own: dict[int, list] = {}
+        more: dict[int, bool] = {}
+        if "facts" in found:
+            ends = triples.closed(found["facts"].drop("v", "other"), nodes, scope)
+            for r in ends.select("position", "n", "truncated", envelope.fact(scope).alias("f")).orderBy("position", "n").collect():  # a page for each
+                own.setdefault(r["position"], []).append(r["f"].asDict(True))
+                more[r["position"]] = r["truncated"]
+        lookups = [{"iri": r["iri"], "found": r["found"], "node": r["n"].asDict(True) if r["found"] else None, "facts": own.get(r["position"], []), "truncated": more.get(r["position"], False)} for r in rows]
+        once = {f["target"]["iri"]: f for x in lookups for f in x["facts"]}
+        return envelope.finish("iris", scope, list(once.values()), any(x["truncated"] for x in lookups), [x["node"] for x in lookups if x["found"]], concise, lookups=lookups)
+
+    def change(self, tool: str, *args: object, concise: bool = True, **more: object) -> dict:
+        """write, revise, withdraw, judge, place or unify, with the answer in its concise or its whole form."""
+        if tool not in envelope.KEPT:
+            raise InvalidInput(f"{tool!r} is no change")
+        answer = getattr(self, tool)(*args, **more)
+        if tool == "revise":
+            answer = answer | {"previous": more.get("target", args[1] if len(args) > 1 else None)}
+        if tool == "unify":
+            node = self.table("nodes").filter(F.col("iri") == more.get("target", args[-1])).select(envelope.node().alias("n")).first()["n"].asDict(True)
+            answer = answer | {"node": {k: node[k] for k in ("iri", "name", "labels")} if concise else node}
+        return envelope.changed(tool, answer, concise)
 
     def recall_semantic(self, scope: list[str], text: str, labels: list[str] | None = None, limit: int = S.DEFAULT_LIMIT, effective_at: str | None = None) -> dict[str, DataFrame]:
         """Fused retrieval; it learns: neighbours that helped live on, and the query's own facts are remembered."""

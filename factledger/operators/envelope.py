@@ -72,27 +72,66 @@ def nodes_of(facts: DataFrame) -> DataFrame:
 
 def handles(facts: list[dict], nodes: list[dict], current: dict | None = None, retired: dict | None = None, unify: list[dict] | None = None) -> dict:
     """What an answer names, once each, in the order it is first seen."""
+    shown: dict[str, dict] = {}
     named: dict[str, dict] = {}
+    for f in facts:
+        shown.setdefault(f["target"]["iri"], f["target"])
     for n in (*nodes, *(f[x] for f in facts for x in "so")):
         named.setdefault(n["target"]["iri"], n["target"])
-    shown = {f["target"]["iri"]: f["target"] for f in reversed(facts)}
-    return {"facts": list(dict.fromkeys(f["target"]["iri"] for f in facts)) and [shown[i] for i in dict.fromkeys(f["target"]["iri"] for f in facts)], "nodes": list(named.values()), "current": current, "retired": retired, "unify": unify or []}
+    return {"facts": list(shown.values()), "nodes": list(named.values()), "current": current, "retired": retired, "unify": unify or []}
 
 
-def page(ranked: DataFrame, limit: int, scope: Iterable[str] = ()) -> tuple[list[dict], bool]:
-    """The first facts of an answer (`limit` + 1 are looked at), and whether there are more."""
-    rows = ranked.filter(F.col("rank") <= limit + 1).select("rank", fact(scope).alias("f")).orderBy("rank").collect()  # bounded by the limit
-    return [r["f"].asDict(True) for r in rows[:limit]], len(rows) > limit
+def page(ranked: DataFrame, limit: int, scope: Iterable[str] = (), *more: str) -> tuple[list[dict], bool]:
+    """The first facts of an answer (`limit` + 1 are looked at), each with `more` columns in it, and whether there are more facts."""
+    rows = ranked.filter(F.col("rank") <= limit + 1).select("rank", fact(scope).alias("f"), *more).orderBy("rank").collect()  # bounded by the limit
+    return [r["f"].asDict(True) | {m: r[m].asDict(True) if hasattr(r[m], "asDict") else r[m] for m in more} for r in rows[:limit]], len(rows) > limit
 
 
-def finish(facts: list[dict], truncated: bool, nodes: list[dict] | None = None, concise: bool = False, **parts: object) -> dict:
-    """A whole answer; a concise one leaves out handles and what can be looked up."""
+def finish(mode: str, scope: Iterable[str], facts: list[dict], truncated: bool, nodes: list[dict] | None = None, concise: bool = False, **parts: object) -> dict:
+    """A whole answer of a mode (text, labels, catalog, iris, around, history, semantic); a concise one has what its mode needs and leaves out what can be looked up."""
     seen: dict[str, dict] = {}
     for n in nodes if nodes is not None else [f[x] for f in facts for x in "so"]:
-        if n["kind"] != "literal":
+        if nodes is not None or n["kind"] != "literal":
             seen.setdefault(n["iri"], n)
-    whole = {"facts": facts, "nodes": list(seen.values()), "truncated": truncated} | parts
+    whole = {"mode": mode, "scope": list(scope), "facts": facts, "nodes": list(seen.values()), "paths": [], "about": [], "lookups": [], "truncated": truncated} | parts
     if not concise:
-        return whole | {"handles": handles(facts, whole["nodes"])}
-    thin = lambda n: {k: n[k] for k in ("iri", "name", "value") if n.get(k) is not None}
-    return whole | {"facts": [{"target": f["target"]["iri"], "s": thin(f["s"]), "p": f["p"], "o": thin(f["o"]), "weight": f["weight"]} for f in facts], "nodes": [thin(n) for n in whole["nodes"]]}
+        return whole | {"handles": handles([*facts, *(f for x in whole["lookups"] for f in x["facts"])], whole["nodes"])}
+    return _short(whole)
+
+
+def _bare(n: dict | None) -> dict | None:
+    return n and {k: n[k] for k in ("iri", "name", "value") if n.get(k) is not None}
+
+
+def _short_fact(f: dict) -> dict:
+    times = {k: f[k] for k in ("effective", "spike", "current", "transaction") if f.get(k) is not None and (k != "current" or "transaction" in f)}
+    return {"target": f["target"]["iri"], "s": _bare(f["s"]), "p": f["p"], "o": _bare(f["o"]), "weight": f["weight"]} | times
+
+
+def _short(whole: dict) -> dict:
+    """Only a catalog lists nodes, only a walk has paths, only iris and history have lookups; facts of iris stand in their lookups alone."""
+    mode = whole["mode"]
+    out = {k: v for k, v in whole.items() if k not in ("mode", "scope", "about", "nodes", "paths", "lookups")}
+    out["facts"] = [] if mode == "iris" else [_short_fact(f) for f in whole["facts"]]
+    if mode == "catalog":
+        out["nodes"] = [_bare(n) for n in whole["nodes"]]
+    if mode == "around":
+        out["paths"] = [{"nodes": x["nodes"], "edges": [e["iri"] for e in x["edges"]]} for x in whole["paths"]]
+    if mode in ("iris", "history"):
+        out["lookups"] = [x | {"facts": [_short_fact(f) for f in x["facts"]]} | ({"node": _bare(x["node"])} if "node" in x else {}) for x in whole["lookups"]]
+    return out
+
+
+#: What a concise answer of each change keeps beside its episode and whether anything changed.
+KEPT = {"write": ("facts", "created", "suggestions"), "revise": ("fact", "previous", "suggestions"), "withdraw": ("changed",), "judge": ("weights",), "place": ("layers",), "unify": ("node",)}
+
+
+def changed(tool: str, answer: dict, concise: bool = False) -> dict:
+    """The answer of a change with `ok`, `noop` and handles; a concise one keeps its tool's own parts, and of written facts what names them. Empty reviews go."""
+    noop = answer.get("episode") is None
+    if not concise:
+        return {"ok": True, "noop": noop, "tool": tool} | answer | {"handles": [{"kind": "fact", "iri": f["iri"]} for f in answer.get("facts", [])] or [{"kind": "fact", "iri": answer[k]} for k in ("fact", "previous") if answer.get(k)]}
+    kept = {k: answer[k] for k in KEPT[tool] if k in answer and (k not in ("suggestions", "created") or answer[k])}
+    if tool == "write":
+        kept["facts"] = [{"target": {"kind": "fact", "iri": f["iri"]}, "noop": not f["changed"]} for f in answer["facts"]]
+    return {"ok": True, "noop": noop, "episode": answer.get("episode")} | kept

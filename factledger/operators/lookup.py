@@ -55,10 +55,16 @@ def _by_time() -> list[Column]:
     return [F.col("valid_to").isNull().desc(), F.col("valid_to").desc(), F.col("iri")]
 
 
+def decorated(history: DataFrame) -> DataFrame:
+    """A history with the time of the ledger beside each fact: whether it still stands, and from when to when it stood."""
+    there = F.col("valid_to").isNull()
+    return history.withColumns({"current": there, "transaction_current": there, "transaction": F.struct(F.col("valid_from").alias("from"), F.col("valid_to").alias("to"))})
+
+
 def history_node(facts: DataFrame, nodes: DataFrame, episodes: DataFrame, scope: Sequence[str], iri: str, limit: int = S.DEFAULT_LIMIT) -> DataFrame:
     """Current and retired facts of one node."""
     own = facts.filter(((F.col("s_iri") == iri) | (F.col("o_iri") == iri)) & unprotected())
-    return numbered(T.closed(once_visible(own, episodes, scope), nodes, scope), _by_time(), limit).withColumn("current", F.col("valid_to").isNull())
+    return numbered(T.closed(once_visible(own, episodes, scope), nodes, scope), _by_time(), limit).transform(decorated)
 
 
 def family(facts: DataFrame, nodes: DataFrame, episodes: DataFrame, scope: Sequence[str], iri: str) -> DataFrame:
@@ -70,7 +76,7 @@ def family(facts: DataFrame, nodes: DataFrame, episodes: DataFrame, scope: Seque
 def history_fact(facts: DataFrame, nodes: DataFrame, episodes: DataFrame, scope: Sequence[str], iri: str, limit: int = S.DEFAULT_LIMIT) -> DataFrame:
     """All facts, current and retired, with the subject and property of one fact."""
     own = facts.join(family(facts, nodes, episodes, scope, iri), ["s_iri", "property_iri"], "left_semi").filter(unprotected())
-    return numbered(T.closed(once_visible(own, episodes, scope), nodes, scope), _by_time(), limit).withColumn("current", F.col("valid_to").isNull())
+    return numbered(T.closed(once_visible(own, episodes, scope), nodes, scope), _by_time(), limit).transform(decorated)
 
 
 def _revisions(facts: DataFrame, nodes: DataFrame, episodes: DataFrame, scope: Sequence[str], of: DataFrame, limit: int) -> DataFrame:

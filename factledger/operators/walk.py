@@ -71,3 +71,17 @@ def dearest(paths: DataFrame, limit: int) -> int | None:
     costs = paths.select(cost().alias("c"), F.explode("path_edges").alias("iri")).groupBy("iri").agg(F.min("c").alias("c")).orderBy("c").limit(limit)
     n, most = costs.agg(F.count(F.lit(1)), F.max("c")).first()
     return most if n == limit else None
+
+
+def path_edges(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """rank, place, iri, from_iri, property_iri, to_iri: the edges of each ranked fact's witness path in order, each in the direction in which it is stored."""
+    steps = found.select("rank", F.posexplode("path_edges").alias("place", "iri"))  # at most a page of paths
+    return steps.join(facts.select("iri", F.col("s_iri").alias("from_iri"), "property_iri", F.col("o_iri").alias("to_iri")), "iri").withColumn("place", F.col("place").cast("long"))
+
+
+def path_nodes(found: DataFrame, nodes: DataFrame, scope: Sequence[str], start: str | None = None) -> DataFrame:
+    """The visible nodes of an answer, by iri: its start, the ends of its facts and what its paths pass; no start for answers without paths."""
+    ends = found.select(F.explode(F.concat(F.array("s_iri", "o_iri"), F.col("path_nodes") if "path_nodes" in found.columns else F.array())).alias("iri"))
+    if start is not None:
+        ends = ends.unionAll(nodes.filter(F.col("iri") == start).select("iri"))
+    return T.seen_nodes(nodes, scope).join(ends.distinct(), "iri", "left_semi")

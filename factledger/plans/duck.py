@@ -347,4 +347,16 @@ a AS (SELECT * FROM t WHERE {current(EVERY, types=('ASSERTS',))}), b AS ({closed
         "answer_nodes": one(ranked(SCOPE, 50, labels=("Order",)).strip(), "SELECT iri, min(pos) AS position FROM (SELECT s_iri AS iri, rank * 2 AS pos, s_labels AS labels FROM hits UNION ALL SELECT o_iri, rank * 2 + 1, o_labels FROM hits) WHERE NOT list_contains(labels, 'Literal') GROUP BY 1"),
         "fact_text_exprs": one("", "SELECT iri, fact_text FROM facts"),
     }
+    walked = around(**WALKS["recall_around_d2"]).rsplit("SELECT rank, iri", 1)[0]
+    told = history(f"(s_iri = '{NODE}' OR o_iri = '{NODE}')", 100)
+    kept = f", k AS (SELECT * FROM h ORDER BY valid_to IS NULL DESC, valid_to DESC NULLS LAST, iri LIMIT 100)"
+    out |= {
+        "around_paths": one("", "").rstrip() + ", " + walked + "SELECT p.rank, p.place, p.iri, f.s_iri AS from_iri, f.property_iri AS p, f.o_iri AS to_iri FROM (SELECT rank, unnest(path_edges) AS iri, generate_subscripts(path_edges, 1) - 1 AS place FROM r WHERE rank <= 100) p JOIN facts f USING (iri)",
+        "around_nodes": one("", "").rstrip() + ", " + walked + f"SELECT iri, kind, name, weight FROM nodes WHERE {vis('layers', SCOPE)} AND (iri = '{START}' OR iri IN (SELECT unnest(list_concat([s_iri, o_iri], path_nodes)) FROM r WHERE rank <= 100))",
+        "history_transactions": f"SELECT rank, iri, current AS transaction_current, valid_from AS \"from\", valid_to AS \"to\" FROM ({one('', '').rstrip()}, {told})",
+        "history_nodes": one("", "").rstrip() + ", " + told.rsplit("SELECT row_number()", 1)[0].rstrip() + kept + f" SELECT iri, kind, name, weight FROM nodes WHERE {vis('layers', EVERY)} AND iri IN (SELECT unnest([s_iri, o_iri]) FROM k)",
+        "store_changes": one("t AS (SELECT iri, fact_text AS x, weight AS w, ascii(md5(iri)) % 3 AS third FROM facts)", """SELECT 2::BIGINT AS version, iri, 'insert' AS kind, NULL AS before_text, NULL::BIGINT AS before_weight, 'stale Customer ' || iri AS after_text, w + 1 AS after_weight FROM t WHERE third = 0
+            UNION ALL SELECT 4, iri, 'update', 'stale Customer ' || iri, w + 1, x, w FROM t WHERE third = 0 UNION ALL SELECT 3, iri, 'insert', NULL, NULL, x, w FROM t WHERE third > 0
+            UNION ALL SELECT 2, iri || '-gone', 'insert', NULL, NULL, 'order placedBy nobody', w FROM t WHERE third = 1 UNION ALL SELECT 3, iri || '-gone', 'delete', 'order placedBy nobody', w, NULL, NULL FROM t WHERE third = 1"""),
+    }
     return out | {name: one("", "").rstrip() + ", " + around(**args) for name, args in WALKS.items()}

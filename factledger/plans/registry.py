@@ -16,6 +16,7 @@ from factledger.functions import exprs as E
 from factledger.operators import envelope, lookup, resolve, search, semantic, triples, walk
 from factledger.plans import duck as D
 from factledger.sources import fixtures
+from factledger.streaming import feed
 
 SCOPE, EVERY = D.SCOPE, D.EVERY
 
@@ -117,6 +118,22 @@ def _around(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return found.select("rank", "iri", "s_iri", "o_iri", *cost, joined("path_nodes"), joined("path_edges"))
 
 
+@query
+def around_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """The witness paths of a walk, edge by edge, as they are stored."""
+    led = fixtures.load(spark, sf)
+    found = walk.around(led.facts, led.nodes, SCOPE, limit=100, **D.WALKS["recall_around_d2"])
+    return walk.path_edges(found, led.facts).select("rank", "place", "iri", "from_iri", F.col("property_iri").alias("p"), "to_iri")
+
+
+@query
+def around_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """All nodes that a walk's answer shows, by iri."""
+    led = fixtures.load(spark, sf)
+    found = walk.around(led.facts, led.nodes, SCOPE, limit=100, **D.WALKS["recall_around_d2"])
+    return walk.path_nodes(found, led.nodes, SCOPE, D.START).select("iri", "kind", "name", "weight")
+
+
 for _name in D.WALKS:
     QUERIES[_name] = lambda spark, sf, name=_name: _around(spark, sf, name)
 
@@ -137,6 +154,22 @@ def history_fact(spark: SparkSession, sf: str) -> DataFrame:
     return _history(lookup.history_fact(led.facts, led.nodes, led.episodes, EVERY, D.FACT))
 
 
+@query
+def history_transactions(spark: SparkSession, sf: str) -> DataFrame:
+    """From when to when the ledger held each fact of a node, and whether it still does."""
+    led = fixtures.load(spark, sf)
+    found = lookup.history_node(led.facts, led.nodes, led.episodes, EVERY, D.NODE, 100).select("rank", "iri", "transaction_current", "transaction.*")
+    return found.select("rank", "iri", "transaction_current", stamp("from"), stamp("to"))
+
+
+@query
+def history_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes that a node's history shows, by iri."""
+    led = fixtures.load(spark, sf)
+    found = lookup.history_node(led.facts, led.nodes, led.episodes, EVERY, D.NODE, 100)
+    return walk.path_nodes(found, led.nodes, EVERY).select("iri", "kind", "name", "weight")
+
+
 def _revision(df: DataFrame) -> DataFrame:
     return df.select("rank", "iri", stamp("at"), "previous_fact_iri", "replacement_fact_iri", "supersedes_iri")
 
@@ -206,6 +239,14 @@ def store_postings(spark: SparkSession, sf: str) -> DataFrame:
     return index.nodes.postings.unionByName(index.facts.postings).select("iri", "token", "tf", F.col("length").cast("long").alias("length"), F.array_join(F.col("at").cast("array<string>"), ",").alias("places"))
 
 
+@query
+def store_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """What each commit of a store did to its facts, with their text and weight before and after."""
+    store = fixtures.logged(spark, sf)
+    side = lambda name: (F.col(f"{name}.fact_text").alias(f"{name}_text"), F.col(f"{name}.weight").alias(f"{name}_weight"))
+    return feed.changes(store, "facts", 1, store.version()).select("version", F.col("key").alias("iri"), "kind", *side("before"), *side("after"))
+
+
 @query
 def text_candidates(spark: SparkSession, sf: str) -> DataFrame:
     led = fixtures.load(spark, sf)
