@@ -51,9 +51,12 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 NOISE = set(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promos promotion promotions nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead cookie cookies "
     "consent notice notification alert popup modal overlay newsletter subscribe subscription share sharing social related recommend recommended recommendations comment comments reply replies "
-    "disqus respond widget widgets toolbar pagination pager login signup search".split()
+    "disqus respond response responses discussion gdpr widget widgets toolbar pagination pager login signup search".split()
 )
-BESIDE = set("area bar block body bottom box button buttons container content global group holder icon icons inner item items left link links list main outer page post posts primary right row secondary section site slot text thread title top unit wrap wrapper".split())
+BESIDE = set("area bar block body bottom box button buttons container content global group holder icon icons inner item items left link links list main outer page post posts primary reader readers right row secondary section site slot text thread title top unit user users wall wrap wrapper".split())
+#: Names of reader comments, the only ones that an id inside an article is judged by; a section may be the discussion of what the article is about.
+TALK = set("comment comments reply replies disqus respond".split())
+TALKED = {"section": TALK} | dict.fromkeys(("div", "ul", "ol"), TALK | {"discussion", "response", "responses"})
 MAIN = {"article", "main"}
 #: A node is template if this share of at least so many different pages of the host have its text.
 SHARE, PAGES = 0.5, 5
@@ -78,15 +81,22 @@ class Node:
         self.children: list = []  # nodes and texts
 
 
-def says_noise(names: str) -> bool:
+def says_noise(names: str, noise: set[str] = NOISE) -> bool:
     """Whether one of the names of a class or id is made of noise words, and of words that may stand beside them, alone."""
     for name in names.lower().split():
         parts = _PART.findall(name)
-        if any(x in NOISE for x in parts) and all(x in NOISE or x in BESIDE for x in parts):
+        if any(x in noise for x in parts) and all(x in noise or x in BESIDE for x in parts):
             return True
     return False
 
 
+def named_noise(tag: str, name: str, inside: bool) -> bool:
+    """Whether the id of an element says that it is no article text; inside an article few ids do."""
+    if not name or tag[:1] == "h" and tag[1:].isdigit() or tag == "p":
+        return False
+    return says_noise(name, TALKED.get(tag, set())) if inside else says_noise(name)
+
+
 def labelled(tag: str, classes: str) -> str:
     """Numbers in class names differ from page to page and are left out."""
     names = sorted({_DIGITS.sub("", x).replace("/", "_") for x in classes.split()} - {""})
@@ -166,7 +176,7 @@ def parse(source: str) -> Node:
             continue
         given = attributes(rest)
         classes = given.get("class", "")
-        noise = tag in OUT or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or (tag not in ("body", "main") and says_noise(f"{classes} {given.get('id', '')}"))
+        noise = tag in OUT or given.get("role", "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true" or (tag not in ("body", "main") and (says_noise(classes) or named_noise(tag, given.get("id", ""), any(x.main for x in stack))))
         node = Node(tag, labelled(tag, classes), noise, tag in MAIN or given.get("role", "").lower() == "main" or given.get("itemprop", "").lower() == "articlebody")
         if tag in BLOCK:
             close({"p"}, {"td", "th", "button", "object"} | MAIN)

@@ -25,6 +25,15 @@ def test_constant_block_that_other_layouts_lack(spark):
     assert got[9000].endswith("Terms apply to all readers")  # three pages are too few to tell
 
 
+def test_ids_inside_an_article_name_its_parts(spark):
+    kept = [f'<h2 id="{x}">Part {x}</h2><p>Words</p>' for x in ("comments", "navigation", "share")] + [f'<section id="{x}"><p>Part {x}</p></section>' for x in ("search", "social", "discussion")]
+    gone = [f'<{tag} {how}="{x}"><p>Not this</p></{tag}>' for tag, how, x in (("section", "class", "reader-comments"), ("div", "id", "discussion"), ("div", "class", "user-responses"), ("section", "id", "comments"), ("div", "class", "gdpr-banner"), ("div", "class", "cookie-wall"), ("div", "class", "comment-list"))]
+    pages = [(i, f"http://a{i}.org/x", f"<article><p>First</p>{x}<p>Last</p></article>") for i, x in enumerate([*kept, *gone])] + [(99, "http://a.org/x", "<div id='navigation'>Menu</div><article><p>First</p></article>")]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all("Part " in got[i] for i in range(len(kept)))
+    assert [got[i] for i in range(len(kept), len(kept) + len(gone))] == ["First\nLast"] * len(gone) and got[99] == "First"
+
+
 def test_induction_decides_by_slot(spark):
     """Constant nodes without any telling tag or class go, the same words in another slot stay, and without induction all of it stays."""
     page = "<div class='a{0}'><ul><li>Latest news</li><li>All rights</li></ul></div><div class='b'><p>Text of page {0} that varies</p><p>{1}</p></div><div class='c'><p>Read more here</p></div>"
