@@ -60,3 +60,17 @@ def test_suggestions_among(spark):
     stored = resolve.name_index(nodes)
     assert {(r.source, r.target, round(r.similarity, 9)) for r in resolve.suggestions_among(nodes, [], created, stored).collect()} == want
     assert resolve.suggestions_among(nodes.limit(0), [], created).collect() == []
+
+
+def test_dense_names_make_no_pairs_of_two_edits(spark, monkeypatch):
+    """Numbered names have enough nodes within one edit, so the many within two never meet."""
+    nodes = frame(spark, [{"iri": f"n{i:04d}", "name": f"Customer#{i:09d}", "labels": ["Element"]} for i in range(300)])
+    asked, keep = [], resolve._listed
+    monkeypatch.setattr(resolve, "_listed", lambda a, h, edits, *more: asked.append(edits) or keep(a, h, edits, *more))
+    got = {(r.source, r.target) for r in resolve.suggestions_among(nodes, [], nodes.select("iri")).collect()}
+    assert asked == [1] and ("n0001", "n0000") in got
+    want = set()
+    for i in range(300):
+        near = sorted((distance(f"{i:09d}", f"{j:09d}"), j) for j in range(300) if j != i)[:3]
+        want |= {(f"n{max(i, j):04d}", f"n{min(i, j):04d}") for _, j in near}
+    assert got == want
