@@ -7,7 +7,7 @@ import pytest
 
 from test_walk import ledger
 
-from factledger.operators import semantic
+from factledger.operators import semantic, walk
 
 @pytest.fixture
 def large(spark):
@@ -31,3 +31,10 @@ def test_anchors_and_references_filter_facts_before_nodes_are_met(large):
     found = semantic.structural(anchors, facts, nodes, [])
     assert "SortMergeJoin [iri" not in plan(found) and plan(found).count("s_iri#") and " IN (" in plan(found)
     assert {r.iri for r in found.collect()} >= {"a000", "loop", "h0000000"}
+
+
+def test_a_walk_reads_the_facts_it_answers_and_deals_out_none(large):
+    facts, nodes = ledger(large, 50, 5)
+    found = walk.around(facts, nodes, [], "start", depth=1)
+    assert "SortMergeJoin [iri" not in plan(found)
+    assert [r.iri for r in found.collect()] == ["a000", "a001", "a002", "a003", "a004", "loop", "link"]
