@@ -4,10 +4,11 @@ import contextlib
 import io
 
 import pytest
-
+from test_name_index import frame
 from test_walk import ledger
 
-from factledger.operators import semantic, walk
+from factledger.operators import resolve, search, semantic, walk
+
 
 @pytest.fixture
 def large(spark):
@@ -18,12 +19,14 @@ def large(spark):
     yield spark
     spark.conf.set(name, before)
 
+
 def plan(df):
     out = io.StringIO()
     with contextlib.redirect_stdout(out):
         df.explain()
     return out.getvalue()
 
+
 def test_anchors_and_references_filter_facts_before_nodes_are_met(large):
     facts, nodes = ledger(large, 50, 5)
     anchors = large.createDataFrame([("link", 0.5)], "iri string, anchor_score double")
@@ -38,3 +41,14 @@ def test_a_walk_reads_the_facts_it_answers_and_deals_out_none(large):
     found = walk.around(facts, nodes, [], "start", depth=1)
     assert "SortMergeJoin [iri" not in plan(found)
     assert [r.iri for r in found.collect()] == ["a000", "a001", "a002", "a003", "a004", "loop", "link"]
+
+
+def test_facts_of_one_property_are_not_sent_to_one_task(large):
+    facts, nodes = ledger(large, 50, 5)
+    assert "SortMergeJoin" not in plan(search.property_facts(facts, nodes, "p"))
+
+
+def test_names_of_one_length_are_not_sent_to_one_task(large):
+    nodes = frame(large, [{"iri": f"n{i}", "name": f"number {i}", "labels": ["Element"]} for i in range(20)])
+    found = resolve.suggestions(nodes, [], ["n1"])
+    assert "SortMergeJoin" not in plan(found) and found.count() == 3
