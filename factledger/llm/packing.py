@@ -51,6 +51,8 @@ STEPS, NODE_STEPS = 500_000, 100
 WORK, ROUNDINGS = 3e9, 8
 #: Fillings that one pricing offers, and the share of sequences above the bound from which on columns are generated.
 FILLINGS, GAP = 24, 0.001
+#: Places of bin completion that keep their search open, and rows of a matrix that change at once.
+HELD, ROWS = 16, 64
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -312,15 +314,16 @@ def fullest(price: np.ndarray, lengths: np.ndarray, capacity: int) -> list[np.nd
     return found
 
 
-def columns(count: np.ndarray, capacity: int, work: list[float]) -> tuple[list[tuple[np.ndarray, float]], np.ndarray, int]:
-    """Fillings with the fractions of sequences that use up the counts in the fewest of them (column generation), the lengths, and a lower bound.
+def columns(count: np.ndarray, capacity: int, work: list[float]) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], np.ndarray, int]:
+    """Fillings (which lengths, how many of each) with the fractions of sequences that use up the counts in the fewest of them (column generation), the lengths, and a lower bound.
 
-    `work` holds how many numbers may still be touched; the fractions are right, but perhaps not the fewest, if that ends it.
+    `work` holds how many numbers may still be touched; the fractions are right, but perhaps not the fewest, if that ends it. One matrix is held, which changes in place.
     """
     lengths = np.flatnonzero(count)
     need = count[lengths].astype(float)
-    own = np.diag((capacity // lengths).astype(float))
-    inverse, x = np.diag(1 / np.diag(own)), need / np.diag(own)
+    most = capacity // lengths
+    own = [(np.array([i]), most[i : i + 1]) for i in range(len(lengths))]
+    inverse, x = np.diag(1 / most), need / most
     m, bound = len(lengths), 0.0
     cost = float((capacity // lengths).sum()) * capacity
     while work[0] > 0:
@@ -340,11 +343,13 @@ def columns(count: np.ndarray, capacity: int, work: list[float]) -> tuple[list[t
             by = x[out] / step[out]
             x = np.maximum(x - by * step, 0)
             x[out] = by
-            own[:, out] = new
+            used = np.flatnonzero(new)
+            own[out] = used, new[used].astype(np.int64)
             row = inverse[out] / step[out]
-            inverse -= np.outer(step, row)
+            for a in range(0, m, ROWS):
+                inverse[a : a + ROWS] -= np.outer(step[a : a + ROWS], row)
             inverse[out] = row
-    return [(own[:, i].astype(np.int64), float(x[i])) for i in np.flatnonzero(x > 1e-9)], lengths, math.ceil(bound - 1e-6)
+    return [(*own[i], float(x[i])) for i in np.flatnonzero(x > 1e-9).tolist()], lengths, math.ceil(bound - 1e-6)
 
 
 def seeded(count: np.ndarray, capacity: int, work: float = WORK) -> tuple[list[Pattern], np.ndarray, int]:
@@ -357,13 +362,12 @@ def seeded(count: np.ndarray, capacity: int, work: float = WORK) -> tuple[list[P
         goal = bound if not turn else goal
         before = len(done)
         for up in (False, True):
-            for own, x in sorted(found, key=lambda f: f[1] % 1, reverse=True):
-                used = np.flatnonzero(own)
-                most = int((left[lengths[used]] // own[used]).min())
+            for used, own, x in sorted(found, key=lambda f: f[2] % 1, reverse=True):
+                most = int((left[lengths[used]] // own).min())
                 times = min(most, int(x + 1e-9) if not up else int(x % 1 > 0.7 or len(done) == before))
                 if times:
-                    left[lengths[used]] -= times * own[used]
-                    done.append(Pattern(tuple(np.repeat(lengths, own)[::-1].tolist()), times))
+                    left[lengths[used]] -= times * own
+                    done.append(Pattern(tuple(np.repeat(lengths[used], own)[::-1].tolist()), times))
         if len(done) == before or budget[0] <= 0:
             break
     return done, left, goal
@@ -384,19 +388,28 @@ def plan(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> lis
     return complete(count, capacity, best, bins, goal, steps)
 
 
+class Place:
+    """A place of the search: the waste so far, what the next filling may waste, how many were tried and which is taken; `found` yields them and is None before the first and far from the end of the path."""
+
+    def __init__(self, waste: int, spare: int) -> None:
+        self.waste, self.spare, self.tried, self.taken, self.found = waste, spare, 0, None, None
+
+
 def complete(count: np.ndarray, capacity: int, best: list[Pattern], bins: int, goal: int, steps: int) -> list[Pattern]:
-    """Bin completion: a plan of fewer sequences than the incumbent `best` has, or that."""
+    """Bin completion: a plan of fewer sequences than the incumbent `best` has, or that.
+
+    Only the last `HELD` places of the path keep the sums that fillings are looked for by; an earlier one makes them anew if the search comes back to it, at no cost in steps.
+    """
     count = count.copy()
     total = int((count * np.arange(capacity + 1)).sum())
-    taken: list[Pattern] = []
     left = [steps]
 
-    def options(own: np.ndarray, waste: int) -> Iterator[Pattern]:
-        """Fillings around the longest piece, after sequences that waste so much."""
+    def options(own: np.ndarray, spare: int) -> Iterator[Pattern]:
+        """Fillings around the longest piece that waste at most so much."""
         longest = int(np.flatnonzero(own)[-1])
         room = capacity - longest
         own[longest] -= 1
-        for rest in fillings(own, room, min(room, (bins - 1) * capacity - total - waste), left):
+        for rest in fillings(own, room, min(room, spare), left):
             need = np.bincount((longest, *rest), minlength=capacity + 1)
             used = np.flatnonzero(need)
             most = int(((own[used] + (used == longest)) // need[used]).min())
@@ -404,29 +417,41 @@ def complete(count: np.ndarray, capacity: int, best: list[Pattern], bins: int, g
             if most > 1:
                 yield Pattern((longest, *rest), 1)
 
-    path = [(0, options(count.copy(), 0), [])] if bins > goal else []
+    def opened(place: Place) -> Iterator[Pattern]:
+        """The fillings that were not tried yet."""
+        found, spent = options(count.copy(), place.spare), left[0]
+        left[0] = 1 << 62
+        for _ in range(place.tried):
+            next(found)
+        left[0] = spent
+        return found
+
+    path = [Place(0, (bins - 1) * capacity - total)] if bins > goal else []
     while path and left[0] > 0 and bins > goal:
-        waste, found, done = path[-1]
-        if done:
-            p = done.pop()
-            taken.pop()
-            for v in p.lengths:
-                count[v] += p.times
-        p = next(found, None)
+        here = path[-1]
+        if here.taken:
+            for v in here.taken.lengths:
+                count[v] += here.taken.times
+            here.taken = None
+        here.found = here.found or opened(here)
+        p = next(here.found, None)
         if p is None:
             path.pop()
             continue
-        now = waste + p.times * (capacity - sum(p.lengths))
+        here.tried += 1
+        now = here.waste + p.times * (capacity - sum(p.lengths))
         if now > (bins - 1) * capacity - total:
             continue
         for v in p.lengths:
             count[v] -= p.times
-        done.append(p)
-        taken.append(p)
+        here.taken = p
         if count.any():
-            path.append((now, options(count.copy(), now), []))
+            path.append(Place(now, (bins - 1) * capacity - total - now))
+            if len(path) > HELD:
+                path[-1 - HELD].found = None
         else:
-            best, bins = list(taken), sum(x.times for x in taken)
+            best = [x.taken for x in path]
+            bins = sum(x.times for x in best)
     return best
 
 
