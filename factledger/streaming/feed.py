@@ -44,8 +44,11 @@ def changes(store: Store, table: str, after: int, upto: int) -> DataFrame:
         row = F.struct(*names)
         return nothing.select(F.lit(0).cast("long").alias("version"), F.col(key).alias("key"), F.lit("").alias("kind"), row.alias("before"), row.alias("after"))
     new = store._scan(table, runs, versioned(schema)).withColumn("deleted", F.coalesce("deleted", F.lit(False)))
-    old = store.read(table, after).join(new.select(key).distinct(), key, "left_semi").withColumns({"deleted": F.lit(False), "version": F.lit(after).cast("long")})
-    state = new.unionByName(old).select("version", F.col(key).alias("key"), F.when(~F.col("deleted"), F.struct(*names)).alias("after"))
+    known = new
+    if store.runs(table, after):  # else no key is old
+        old = store.read(table, after).join(new.select(key).distinct(), key, "left_semi").withColumns({"deleted": F.lit(False), "version": F.lit(after).cast("long")})
+        known = new.unionByName(old)
+    state = known.select("version", F.col(key).alias("key"), F.when(~F.col("deleted"), F.struct(*names)).alias("after"))
     found = state.withColumn("before", F.lag("after").over(W.partitionBy("key").orderBy("version"))).filter(F.col("version") > after)
     kind = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").otherwise("update")
     return found.filter(~F.col("before").eqNullSafe(F.col("after"))).select("version", "key", kind.alias("kind"), "before", "after")
