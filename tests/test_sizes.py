@@ -4,9 +4,11 @@ import contextlib
 import io
 
 import pytest
+from pyspark.sql import functions as F
 from test_name_index import frame
 from test_walk import ledger
 
+from factledger import schema as S
 from factledger.operators import resolve, search, semantic, walk
 
 
@@ -52,3 +54,20 @@ def test_names_of_one_length_are_not_sent_to_one_task(large):
     nodes = frame(large, [{"iri": f"n{i}", "name": f"number {i}", "labels": ["Element"]} for i in range(20)])
     found = resolve.suggestions(nodes, [], ["n1"])
     assert "SortMergeJoin" not in plan(found) and found.count() == 3
+
+
+def test_few_references_meet_nodes_that_are_not_dealt_out(large):
+    facts, nodes = ledger(large, 50, 5)
+    near = large.createDataFrame([("a", ["link", "a001", "gone"], [1.0], 9, 0.9)], f"{S.ACTIVATIONS}, similarity double")
+    known = semantic.resolved(facts, nodes, [], only=semantic.references(near))
+    assert "SortMergeJoin" not in plan(known)
+    assert {(r.iri, r.s_iri, r.o_iri) for r in known.select("iri", "s_iri", "o_iri").collect()} == {("link", "start", "hub"), ("a001", "start", "near001")}
+
+
+def test_hits_are_ranked_without_gathering_candidates(large, monkeypatch):
+    facts, nodes = ledger(large, 50, 5)
+    facts = facts.withColumn("fact_text", F.concat_ws(" ", "s_iri", "o_iri"))
+    plans, real = [], search.pinned
+    monkeypatch.setattr(search, "pinned", lambda df: plans.append(plan(df)) or real(df))
+    direct = semantic.direct_evidence(search.recall_text(facts, nodes, [], "start near001", S.MAX_LIMIT))
+    assert {r.iri: r.eligible for r in direct.collect()}["a001"] and "SortMergeJoin [iri" not in plans[0] and "Aggregate(keys=[iri" not in plans[0]
