@@ -71,3 +71,11 @@ def test_hits_are_ranked_without_gathering_candidates(large, monkeypatch):
     monkeypatch.setattr(search, "pinned", lambda df: plans.append(plan(df)) or real(df))
     direct = semantic.direct_evidence(search.recall_text(facts, nodes, [], "start near001", S.MAX_LIMIT))
     assert {r.iri: r.eligible for r in direct.collect()}["a001"] and "SortMergeJoin [iri" not in plans[0] and "Aggregate(keys=[iri" not in plans[0]
+
+
+def test_a_bundle_reads_the_facts_of_its_hits(large):
+    facts, _ = ledger(large, 50, 5)
+    fused = large.createDataFrame([(f"a00{i}", 1.0 - i, True, True, i + 1) for i in range(4)] + [("link", 0.5, True, False, 5)], "iri string, fused double, is_direct boolean, eligible boolean, rank long")
+    found = semantic.bundle(fused, facts)
+    assert "SortMergeJoin" not in plan(found)
+    assert [(r.iri, r.place) for r in found.orderBy("place").collect()] == [("a000", 1), ("a001", 2), ("a002", 3)]
